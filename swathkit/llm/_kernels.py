@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in slices of about this many bytes; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -98,7 +98,7 @@ class SpanHasher:
     def _powers(self, n: int) -> None:
         if len(self._up) >= n:
             return
-        n = max(n, SLICE_BYTES // 4)
+        n = max(n, SLICE_BYTES + 1)
         for name, base in (("_up", self.base), ("_down", self.inverse)):
             p = np.full(n, base & (2**64 - 1), dtype=np.uint64)
             p[0] = 1
