@@ -194,3 +194,46 @@ def rescaled(calibration: dict, s: float) -> dict:
     if calibration["kind"] != "scalar":
         raise TypeError("only a scalar calibration can be rescaled")
     return {"kind": "scalar", "log_s": calibration["log_s"] + math.log(s)}
+
+
+def standardised(points: DataFrame) -> DataFrame:
+    """Adds z = resid / sqrt(s v + observation variance)."""
+    return points.withColumn("z", F.col("resid") / F.sqrt(F.col("s") * F.col("v") + TRACK_VARIANCE))
+
+
+def family_deficits(points: DataFrame, folds: DataFrame, lanes: dict[str, Column]) -> DataFrame:
+    """Per lane: the worst coverage deficit over the regions, averaged over the folds' score sides.
+
+    ``points``: resid, v and class; ``folds``: seq, fold, score. All lanes and folds are one aggregation.
+    """
+    scored = points.join(folds.where("score"), "seq")
+    spread = scored.select("fold", "class", "resid", "v", F.explode(F.array(*[F.struct(F.lit(n).alias("lane"), c.alias("s")) for n, c in sorted(lanes.items())])).alias("l")).select("fold", "class", "resid", "v", "l.lane", "l.s")
+    worst = coverage_by(spread, "lane", "fold", "class").groupBy("lane", "fold").agg(F.max("deficit").alias("worst"))
+    return worst.groupBy("lane").agg(F.avg("worst").alias("worst_region"), F.count(F.lit(1)).alias("n_folds"))
+
+
+def acceptance_bars(regions: dict[str, dict[str, float]], most_deficit: float = 0.05, chi2: tuple[float, float] = (0.8, 1.25)) -> dict[str, bool]:
+    """Four bars: aggregate coverage and chi-square, worst region, and every region counted."""
+    a = regions["aggregate"]
+    return {"aggregate_coverage": abs(a["coverage"] - NOMINAL) <= most_deficit, "aggregate_chi2": chi2[0] <= a["chi2"] <= chi2[1], "worst_region": max(r["deficit"] for r in regions.values()) <= 2 * most_deficit, "all_counted": all(r["n"] > 0 for r in regions.values())}
+
+
+def evidence(points: DataFrame, folds: DataFrame) -> dict:
+    """Fit, select, refit and accept: lanes of growing freedom are scored on held-out folds, the winner is
+    fitted again on all points, must beat the scalar likelihood, and is clipped around its own range."""
+    u, v = unit(F.col("lon"), F.col("lat"))
+    fits = {}
+    for name, d in (("scalar", 1), ("quadratic", 3), ("poly", 5)):
+        fits[name] = fit_polynomial(points, d)
+    shapes = [F.lit(1.0), v, v * v, u, u * v]
+    fields = {n: F.exp(sum((float(a) * c for a, c in zip(theta, shapes, strict=False)), F.lit(0.0))) for n, (theta, _) in fits.items()}
+    deficits = {r["lane"]: r["worst_region"] for r in family_deficits(points, folds, fields).collect()}
+    lanes = [{"name": n, "worst_region": deficits[n], "aggregate": 0.0, "n_params": len(fits[n][0]), "valid": fits[n][1] <= fits["scalar"][1]} for n in fits if n in deficits]
+    winner, audit = select_lane(lanes)
+    if winner is None:
+        return {"winner": None, "audit": audit}
+    rows = points.withColumn("s", fields[winner["name"]])
+    table = {r["class"]: r.asDict() for r in coverage_by(rows, "class").collect()}
+    table["aggregate"] = coverage_by(rows).first().asDict()
+    low, high = rows.agg(F.min(F.log("s")), F.max(F.log("s"))).first()
+    return {"winner": winner["name"], "theta": [float(x) for x in fits[winner["name"]][0]], "clip": (low - math.log(1.25), high + math.log(1.25)), "regions": table, "bars": acceptance_bars(table), "audit": audit}

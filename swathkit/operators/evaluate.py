@@ -166,3 +166,69 @@ def leaderboard(track: DataFrame) -> DataFrame:
     """mu: skill of each day averaged; sigma: its deviation."""
     daily = track.groupBy(F.floor("t").alias("day")).agg(stats.skill(F.col("value"), F.col("mean")).alias("s"))
     return daily.agg(F.avg("s").alias("mu"), F.stddev_pop("s").alias("sigma"), F.count(F.lit(1)).alias("n_days"))
+
+
+# Ground tracks and map spectra, over a table of modes (day, kx, ky, power).
+#: Wedge half width in degrees and bins, fewest baseline modes, most widenings.
+TRACK_DEGREES, TRACK_BINS, TRACK_MODES, TRACK_WIDENINGS = 10.0, 1.5, 20, 3
+
+
+def _axial_offset(angle: Column) -> Column:
+    """Degrees between a mode's direction and an axis."""
+    return F.abs(F.pmod(F.degrees(F.atan2("ky", "kx")) - angle + 90, F.lit(180.0)) - 90)
+
+
+def track_excess(modes: DataFrame, families: DataFrame, dk: float) -> DataFrame:
+    """log10 of the mean power in each family's wedge over that of the same ring outside all wedges:
+    the median over days, with the numbers of modes, the widenings and a flag for too few modes.
+
+    ``families``: family, angle (degrees from east of the probe direction), k_lo, k_hi. The table has a
+    few rows per mission, the widths a few rows each; both are the known small side of the joins.
+    """
+    spark = modes.sparkSession
+    widths = spark.createDataFrame([(w,) for w in range(TRACK_WIDENINGS + 1)], "widening int")
+    plans = families.join(F.broadcast(widths)).withColumn("low", F.greatest(F.col("k_lo") - (TRACK_BINS + F.col("widening")) * dk, F.lit(0.5 * dk))).withColumn("high", F.col("k_hi") + (TRACK_BINS + F.col("widening")) * dk)
+    wedges = families.agg(F.collect_list(F.struct("angle", (F.col("k_lo") - TRACK_BINS * dk).alias("low"), (F.col("k_hi") + TRACK_BINS * dk).alias("high"))).alias("wedges"))
+    k = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
+    marked = modes.withColumn("k", k).join(F.broadcast(wedges)).withColumn("near_track", F.exists("wedges", lambda w: (_axial_offset(w["angle"]) <= TRACK_DEGREES) & (F.col("k") >= w["low"]) & (F.col("k") <= w["high"]))).drop("wedges")
+    rows = marked.join(F.broadcast(plans), (F.col("k") >= F.col("low")) & (F.col("k") <= F.col("high")))
+    band = _axial_offset(F.col("angle")) <= TRACK_DEGREES
+    daily = rows.groupBy("family", "widening", "day").agg(F.avg(F.when(band, F.col("power"))).alias("band"), F.avg(F.when(~F.col("near_track"), F.col("power"))).alias("base"), F.count(F.when(band, 1)).alias("n_band"), F.count(F.when(~F.col("near_track"), 1)).alias("n_base"))
+    every = daily.groupBy("family", "widening").agg(F.percentile(F.log10(F.col("band") / F.col("base")), F.lit(0.5)).alias("excess_log10"), F.max("n_band").alias("n_band"), F.max("n_base").alias("n_base"))
+    enough = (F.col("n_base") >= TRACK_MODES) | (F.col("widening") == TRACK_WIDENINGS)
+    first = F.row_number().over(W.partitionBy("family").orderBy("widening"))
+    return every.where(enough).withColumn("_k", first).where("_k = 1").drop("_k").withColumn("under_floor", F.col("n_base") < TRACK_MODES)
+
+
+def ring_table(modes: DataFrame, dk: float) -> DataFrame:
+    """Power and number of modes per day and ring."""
+    k = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
+    return modes.groupBy("day", F.rint(k / dk).cast("int").alias("ring")).agg(F.sum("power").alias("power"), F.count(F.lit(1)).alias("n"))
+
+
+def spectral_slope(rings: DataFrame, low: int, high: int) -> DataFrame:
+    """Weighted log-log slope of the rings low to high of each day, its median and quartiles over days."""
+    x, y, w = F.log("ring"), F.log(F.col("power") / F.col("n")), F.col("n").cast("double")
+    band = rings.where((F.col("ring") >= low) & (F.col("ring") <= high) & (F.col("power") > 0)).select("day", x.alias("x"), y.alias("y"), w.alias("w"))
+    sums = band.groupBy("day").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("sxy"))
+    slope = (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    days = sums.select("day", slope.alias("slope"))
+    return days.agg(*[F.percentile("slope", F.lit(q)).alias(n) for n, q in (("slope_q25", 0.25), ("slope", 0.5), ("slope_q75", 0.75))], F.count(F.lit(1)).alias("n_days"))
+
+
+def exclusive_days(windows: list[tuple[float, float]], days: DataFrame) -> DataFrame:
+    """Days that one window alone covers."""
+    spark = days.sparkSession
+    table = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(windows)], "window int, w0 double, w1 double")
+    held = days.join(F.broadcast(table), (F.col("day") >= F.col("w0")) & (F.col("day") <= F.col("w1")))
+    return held.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.min("window").alias("window")).where("n = 1").drop("n")
+
+
+def constituent_moments(parts: DataFrame, points: DataFrame) -> DataFrame:
+    """Mean and deviation of every tile at each point's node: parts (tile, node_id, mean, var), points (point, node_id)."""
+    return points.join(parts, "node_id").select("point", "tile", "mean", F.sqrt("var").alias("sigma"))
+
+
+def route(linear: bool, fidelity: str) -> str:
+    """How a derived field gets its variance: linear ones by covariance where it is stored, others by samples."""
+    return "covariance" if linear and fidelity in ("EXACT", "LOW_RANK") else "sample"

@@ -200,3 +200,94 @@ def report_rows(spark: SparkSession, product: DataFrame, run: Run, withheld: Dat
     """Withheld observations with the product's mean and variance, ready for the evaluators."""
     moved = withheld.withColumn("t", F.lit(float(run.output_times[0])))
     return at_points(product, run, moved, "seq").select("seq", F.col("sla").alias("value"), "mean", "var").where(F.col("mean").isNotNull())
+
+
+def mission_variance(obs: DataFrame, deltas: dict[str, float], r_ref: float) -> DataFrame:
+    """err_var = r_ref exp(delta of the mission); a mission without one is refused."""
+    spark = obs.sparkSession
+    table = spark.createDataFrame(sorted(deltas.items()), "mission string, _delta double")
+    joined = obs.drop("err_var").join(F.broadcast(table), "mission", "left")
+    return joined.withColumn("err_var", F.when(F.col("_delta").isNull(), F.raise_error(F.concat(F.lit("no error variance for mission "), F.col("mission")))).otherwise(r_ref * F.exp("_delta"))).drop("_delta")
+
+
+def window_maps(obs: DataFrame, run: Run, windows: miost.Windows) -> DataFrame:
+    """Multiscale maps over overlapping windows: each window is solved once, evaluated on the output days
+    that it covers, and the (one or two) covering windows of a day are blended by linear weights.
+
+    time_days, node_id, lon, lat, mean, var: the variance is that of the blended members, whose noise is
+    keyed by observation and element, so that members of two windows belong together.
+    """
+    spark = obs.sparkSession
+    spans = windows.all()
+    table = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(spans)], "window int, w0 double, w1 double")
+    cover = spark.createDataFrame([(float(d), k, w) for d in run.output_times for k, w in windows.covering(d)], "time_days double, window int, weight double")
+    p, reach = run.params, run.params.get("dt_days", 10.0)
+    own = obs.where(F.col("mission") != run.withheld).select("seq", "lon", "lat", "t", "sla", "err_var").join(F.broadcast(table), (F.col("t") >= F.col("w0") - reach) & (F.col("t") <= F.col("w1") + reach))
+    days = {k: [float(d) for d in run.output_times if k in dict(windows.covering(d))] for k in range(len(spans))}
+    lon, lat = (np.array([a.low + i * a.step for i in range(a.n)]) for a in (run.grid.lon, run.grid.lat))
+    x_deg, y_deg = (g.ravel() for g in np.meshgrid(lon, lat))
+
+    def solve(key: tuple, o: pd.DataFrame) -> pd.DataFrame:
+        k = int(key[0])
+        o = o.sort_values("seq")
+        lon0, lat0 = float(lon.mean()), float(lat.mean())
+        xn, yn = miost.to_km(x_deg, y_deg, lon0, lat0)
+        xo, yo = miost.to_km(o["lon"].to_numpy(), o["lat"].to_numpy(), lon0, lat0)
+        basis = miost.Basis((float(xn.min()), float(xn.max())), (float(yn.min()), float(yn.max())), tuple(p.get("wavelengths", (800.0, 400.0))), p.get("n_dir", 4), dt_days=reach)
+        els = basis.elements(*spans[k])
+        q = miost.prior_variance(els["lam"], p.get("rho", 1.0), p.get("q_slope", 2.0), p.get("r_ref", 0.01))
+        system = miost.Normal(basis.design(els, xo, yo, o["t"].to_numpy()), len(o), o["err_var"].to_numpy(), q)
+        identity = lattice_identity(els["x"], els["y"], 1.0) ^ (np.rint(els["t"] * 10).astype(np.int64) << 20) ^ np.rint(els["lam"] * els["angle"] + els["phase"] * 7).astype(np.int64)
+        eta, _, _ = miost.conjugate_gradient(system, miost.member_sides(system, o["sla"].to_numpy(), o["seq"].to_numpy(), identity, p.get("members", 4), run.seed))
+        parts = []
+        for d in days[k]:
+            row, column, value = basis.design(els, xn, yn, np.full(len(xn), d))
+            fields = np.stack([np.bincount(row, value * e[column], len(xn)) for e in eta.T], 1)
+            parts.append(pd.DataFrame({"window": k, "time_days": d, "node_id": np.arange(len(xn)), "lon": x_deg, "lat": y_deg, "field": list(fields)}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["window", "time_days", "node_id", "lon", "lat", "field"])
+
+    solved = own.groupBy("window").applyInPandas(solve, "window int, time_days double, node_id long, lon double, lat double, field array<double>")
+    weighted = solved.join(F.broadcast(cover), ["time_days", "window"]).select("time_days", "node_id", "lon", "lat", F.posexplode("field").alias("member", "value"), "weight")
+    blended = weighted.groupBy("time_days", "node_id", "lon", "lat", "member").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    return blended.groupBy("time_days", "node_id", "lon", "lat").agg(F.max(F.when(F.col("member") == 0, F.col("value"))).alias("mean"), F.var_samp(F.when(F.col("member") > 0, F.col("value"))).alias("var"))
+
+
+def lattice_members(obs: DataFrame, run: Run, tiles: list[Tile], members: int, driver: str = "tree_members") -> DataFrame:
+    """Coherent members of a tiled lattice posterior: time_days, member, node_id, value.
+
+    Conditioning runs along the tiles of a time, so that an output time is one group: its
+    observations are bounded by the half window and the grid by the plan. Values of nodes that
+    tiles share are blended by the partition of unity.
+    """
+    from ..kernels import coherent
+
+    p, grid = run.params, run.grid
+    shape = (p.get("range_km", 300.0), p.get("variance", 0.05), p.get("taper", 10.0))
+    key = repr(sorted(p.items()))
+    times = obs.sparkSession.createDataFrame([(float(t),) for t in run.output_times], "time_days double")
+    near = F.lit(True) if run.half_window is None else F.abs(F.col("t") - F.col("time_days")) <= run.half_window
+    own = obs.where(F.col("mission") != run.withheld).select("seq", "lon", "lat", "t", "sla", "err_var").join(F.broadcast(times), near)
+
+    def solve(group: tuple, o: pd.DataFrame) -> pd.DataFrame:
+        o = o.sort_values("seq")
+        points, y, noise = np.column_stack([o["lon"], o["lat"], o["t"]]), o["sla"].to_numpy(), o["err_var"].to_numpy()
+        axes = [np.array([a.low + i * a.step for i in range(a.n)]) for a in (grid.lon, grid.lat)]
+        parts = []
+        for t in tiles:
+            lon = axes[0][(axes[0] >= t.west - t.halo_lon) & (axes[0] <= t.east + t.halo_lon)]
+            lat = axes[1][(axes[1] >= t.south - t.halo_lat) & (axes[1] <= t.north + t.halo_lat)]
+            inside = (points[:, 0] >= lon[0]) & (points[:, 0] <= lon[-1]) & (points[:, 1] >= lat[0]) & (points[:, 1] <= lat[-1])
+            parts.append(coherent.TileDraw.of(gmrf.Field(lon, lat, points[inside], y[inside], noise[inside], float(group[0]), *shape)))
+        owner = {k: min(i for i, t in enumerate(tiles) if t.west <= k[0] <= t.east and t.south <= k[1] <= t.north) for d in parts for k in d.keys}
+        out = []
+        for m in range(members):
+            values = coherent.owner_members(parts, owner, m, key) if driver == "owner_members" else getattr(coherent, driver)(parts, m, key)
+            for i, (d, v) in enumerate(zip(parts, values, strict=True)):
+                x, yy = np.array(d.keys).T
+                out.append(pd.DataFrame({"time_days": group[0], "member": m, "tile": i, "node_id": np.rint((yy - grid.lat.low) / grid.lat.step).astype(np.int64) * grid.lon.n + np.rint((x - grid.lon.low) / grid.lon.step).astype(np.int64), "value": v}))
+        return pd.concat(out)
+
+    drawn = own.groupBy("time_days").applyInPandas(solve, "time_days double, member int, tile int, node_id long, value double")
+    spark = obs.sparkSession
+    weights = partition_weights(grid.nodes(spark).select("node_id", "lon", "lat"), "node_id", tile_table(spark, tiles)).select("node_id", "tile", "weight")
+    return drawn.join(weights, ["node_id", "tile"]).groupBy("time_days", "member", "node_id").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))

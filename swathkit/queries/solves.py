@@ -194,3 +194,87 @@ def tuned_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.tune({"length_scale": (50.0, 400.0), "variance": (0.01, 0.1)}, search.HaltonSearch(2), lambda p: search.bytes_feasible(p["length_scale"], 1e9), scorer, [search.Bar("rmse", "le", 10.0)], "rmse")
     obs.unpersist()
     return spark.createDataFrame([(t.id, round(t.params["length_scale"], 6), round(t.scores["rmse"], 6)) for t in found], "id int, length_scale double, rmse double")
+
+
+@query()
+def miost_window_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows solved once each, blended on the days that two of them cover."""
+    run = plan.Run("miost", Grid.covering((295.0, 305.0), (33.0, 43.0), 2.0), (4.0, 14.0, 24.0), {"wavelengths": (800.0,), "members": 3}, withheld="purchase")
+    return _moments(plan.window_maps(_daily(spark, sf_dir), run, miost.Windows(0.0, 30.0, 20.0, 10.0)))
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One super-observation per two-degree cell and two days: a bounded number per window."""
+    obs = _obs(spark, sf_dir)
+    cell = obs.groupBy(F.floor(F.col("t") / 2).alias("day"), F.floor(F.col("lon") / 2).alias("cx"), F.floor(F.col("lat") / 2).alias("cy"))
+    return cell.agg(F.min("seq").alias("seq"), F.lit("all").alias("mission"), *[F.avg(c).alias(c) for c in ("lon", "lat", "t", "sla")], F.first("err_var").alias("err_var")).drop("day", "cx", "cy")
+
+
+@query()
+def lattice_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of four tiles, conditioned along the spanning tree of overlaps and blended."""
+    members = plan.lattice_members(_thin(spark, sf_dir), _run("gmrf"), TILES, 4)
+    return rounded(members, "value")
+
+
+@query(f"""WITH {OBS_SQL} SELECT mission, {r6("0.01::DOUBLE * exp(CASE mission WHEN 'view' THEN 0.5 WHEN 'click' THEN -0.25 ELSE 0 END)")} AS err_var, count(*) AS n FROM obs GROUP BY mission""")
+def mission_error_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observation-error variance by mission."""
+    obs = observations(spark, sf_dir)
+    deltas = {r[0]: {"view": 0.5, "click": -0.25}.get(r[0], 0.0) for r in obs.select("mission").distinct().collect()}
+    return rounded(plan.mission_variance(obs, deltas, 0.01).groupBy("mission", "err_var").agg(F.count(F.lit(1)).alias("n")), "err_var")
+
+
+_MODES = "m AS (SELECT d AS day, i / 1000.0::DOUBLE AS kx, j / 1000.0::DOUBLE AS ky, exp(-(i * i + j * j) / 50.0::DOUBLE) * (1 + 0.1 * d) + CASE WHEN i = j THEN 0.5 ELSE 0 END AS power FROM (SELECT unnest(range(0, 3)) AS d), (SELECT unnest(range(0, 21)) AS i), (SELECT unnest(range(-20, 21)) AS j))"
+
+
+def _modes(spark: SparkSession) -> DataFrame:
+    """Closed-form power of three days with a planted diagonal signature."""
+    n = F.col("id")
+    i, j, d = F.pmod(n, F.lit(21)), F.pmod(F.floor(n / 21), F.lit(41)) - 20, F.floor(n / (21 * 41))
+    power = F.exp(-(i * i + j * j) / 50.0) * (1 + 0.1 * d) + F.when(i == j, 0.5).otherwise(0.0)
+    return spark.range(3 * 21 * 41).select(d.alias("day"), (i / 1000.0).alias("kx"), (j / 1000.0).alias("ky"), power.alias("power"))
+
+
+@query(f"""WITH {_MODES}, r AS (SELECT day, rint(sqrt(kx * kx + ky * ky) / 0.001)::INT AS ring, sum(power) AS power, count(*) AS n FROM m GROUP BY 1, 2) SELECT day, ring, {r6('power')} AS power, n FROM r""".replace("rint(", "round_even(").replace("/ 0.001)::INT", "/ 0.001::DOUBLE, 0)::INT"))
+def ring_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power by ring of wavenumber."""
+    from ..operators.evaluate import ring_table
+
+    return rounded(ring_table(_modes(spark), 0.001), "power")
+
+
+@query(f"""WITH {_MODES}, r AS (SELECT day, round_even(sqrt(kx * kx + ky * ky) / 0.001::DOUBLE, 0)::INT AS ring, sum(power) AS power, count(*) AS n FROM m GROUP BY 1, 2), b AS (SELECT day, ln(ring) AS x, ln(power / n) AS y, n::DOUBLE AS w FROM r WHERE ring BETWEEN 2 AND 10 AND power > 0),
+s AS (SELECT (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS slope FROM b GROUP BY day)
+SELECT {r6('quantile_cont(slope, 0.25)')} AS slope_q25, {r6('quantile_cont(slope, 0.5)')} AS slope, {r6('quantile_cont(slope, 0.75)')} AS slope_q75, count(*) AS n_days FROM s""")
+def spectral_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-band log-log slope by weighted least squares, over days."""
+    from ..operators.evaluate import ring_table, spectral_slope
+
+    return rounded(spectral_slope(ring_table(_modes(spark), 0.001), 2, 10), "slope_q25", "slope", "slope_q75")
+
+
+_OFF = "abs(((degrees(atan2(ky, kx)) - {a} + 90) % 180 + 180) % 180 - 90)"
+
+
+@query(f"""WITH {_MODES}, k AS (SELECT *, sqrt(kx * kx + ky * ky) AS k FROM m), f(family, angle, k_lo, k_hi) AS (VALUES ('asc', 45.0::DOUBLE, 0.008::DOUBLE, 0.01::DOUBLE), ('desc', 135.0::DOUBLE, 0.008::DOUBLE, 0.01::DOUBLE)),
+x AS (SELECT k.*, EXISTS (SELECT 1 FROM f WHERE {_OFF.format(a='angle')} <= 10 AND k >= k_lo - 0.0015 AND k <= k_hi + 0.0015) AS near_track FROM k),
+p AS (SELECT f.*, w AS widening, greatest(k_lo - (1.5 + w) * 0.001, 0.0005) AS low, k_hi + (1.5 + w) * 0.001 AS high FROM f, (SELECT unnest(range(0, 4)) AS w)),
+d AS (SELECT family, widening, day, avg(CASE WHEN {_OFF.format(a='angle')} <= 10 THEN power END) AS band, avg(CASE WHEN NOT near_track THEN power END) AS base, count(CASE WHEN {_OFF.format(a='angle')} <= 10 THEN 1 END) AS n_band, count(CASE WHEN NOT near_track THEN 1 END) AS n_base FROM x JOIN p ON k BETWEEN low AND high GROUP BY 1, 2, 3),
+e AS (SELECT family, widening, quantile_cont(log10(band / base), 0.5) AS excess, max(n_band) AS n_band, max(n_base) AS n_base FROM d GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY widening) AS r FROM e WHERE n_base >= 20 OR widening = 3)
+SELECT family, widening::INT AS widening, {r6('excess')} AS excess_log10, n_band, n_base, n_base < 20 AS under_floor FROM q WHERE r = 1""")
+def ground_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track-signature excess per family: the planted diagonal is found, its mirror isn't."""
+    from ..operators.evaluate import track_excess
+
+    families = spark.createDataFrame([("asc", 45.0, 0.008, 0.01), ("desc", 135.0, 0.008, 0.01)], "family string, angle double, k_lo double, k_hi double")
+    return rounded(track_excess(_modes(spark), families, 0.001), "excess_log10")
+
+
+@query("WITH w(k, a, b) AS (VALUES (0, 0.0, 60.0), (1, 45.0, 105.0), (2, 90.0, 150.0)) SELECT d AS day, min(k)::INT AS \"window\" FROM (SELECT unnest(range(0, 151))::DOUBLE AS d), w WHERE d BETWEEN a AND b GROUP BY d HAVING count(*) = 1")
+def exclusive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that one window covers alone."""
+    from ..operators.evaluate import exclusive_days as exclusive
+
+    return exclusive(miost.Windows(0.0, 150.0).all(), spark.range(151).select(F.col("id").cast("double").alias("day")))

@@ -142,8 +142,8 @@ def test_power_keeps_energy(shape):
 
 def test_spectral_masks_slopes_and_resolution():
     kx, ky = np.meshgrid(np.linspace(-1, 1, 21), np.linspace(-1, 1, 21))
-    wedge = spectra.wedge(kx, ky, 0, 11, 0.2, 0.8)
-    assert wedge.sum() and (wedge <= spectra.annulus(kx, ky, 0.2, 0.8)).all() and (wedge == wedge[::-1, ::-1]).all()
+    wedge = spectra.wedge(kx, ky, 0, 11, 0.25, 0.85)
+    assert wedge.sum() and (wedge <= spectra.annulus(kx, ky, 0.25, 0.85)).all() and (wedge == wedge[::-1, ::-1]).all()
     k = np.arange(1, 40) / 40
     slope, error = spectra.slope(k, 5 * k**-3.0, np.ones(39, int), 0.1, 0.9)
     assert slope == pytest.approx(-3) and error < 1e-6
@@ -161,3 +161,97 @@ def test_keyed_noise():
     assert noise.derive_seed("oi", "p", "w", 1) != noise.derive_seed("oi", "p", "w", 2) and 0 <= noise.derive_seed("a", "b", "c", 0) < 1 << 63
     np.testing.assert_allclose(noise.normal_quantile(np.array([0.5, 0.975, 0.001])), [0, 1.959964, -3.090232], atol=1e-5)
     assert (noise.lattice_identity([295.25, 296.0], [33.0, 34.0], 0.25) == noise.lattice_identity([295.25, 296.0], [33.0, 34.0], 0.25)).all()
+
+
+def lattice_tiles(halo=2):
+    from swathkit.kernels.coherent import TileDraw
+
+    lon, lat = np.arange(295.0, 304.5), np.arange(33.0, 37.5)
+    west, east = lon[: 5 + halo], lon[5 - halo :]
+    fields = []
+    for x in (west, east):
+        inside = (OBS[:, 0] >= x[0]) & (OBS[:, 0] <= x[-1]) & (OBS[:, 1] <= lat[-1])
+        fields.append(gmrf.Field(x, lat, OBS[inside], Y[inside], NOISE[inside], 2.0, 200.0, 0.05, 10.0))
+    return [TileDraw.of(f) for f in fields]
+
+
+@pytest.mark.parametrize("driver", ["tree_members", "chain_members"])
+def test_conditioned_tiles_agree_and_keep_their_covariance(driver):
+    from swathkit.kernels import coherent
+
+    tiles = lattice_tiles()
+    assert coherent.overlaps(tiles) == [(0, 1, 20)]
+    draws = [getattr(coherent, driver)(tiles, m, "p") for m in range(1500)]
+    for a, b in draws[:20]:
+        left, right = dict(zip(tiles[0].keys, a, strict=True)), dict(zip(tiles[1].keys, b, strict=True))
+        np.testing.assert_allclose([left[k] for k in left if k in right], [right[k] for k in left if k in right], atol=1e-8)
+    first = np.stack([d[0] for d in draws], 1)
+    np.testing.assert_allclose(first.var(1), tiles[0].field.variance(), rtol=0.2)
+    alone = np.stack([tiles[1].alone(1, m, "p") for m in range(1500)], 1)
+    np.testing.assert_allclose(alone.var(1), tiles[1].field.variance(), rtol=0.2)
+
+
+def test_owner_and_shared_basis_drivers():
+    from swathkit.kernels import coherent
+
+    tiles = lattice_tiles()
+    owner = {k: int(k[0] > 299.5) for t in tiles for k in t.keys}
+    a, b = coherent.owner_members(tiles, owner, 0, "p")
+    left, right = dict(zip(tiles[0].keys, a, strict=True)), dict(zip(tiles[1].keys, b, strict=True))
+    assert all(left[k] == right[k] for k in left if k in right)
+    f = RNG.standard_normal((12, 3))
+    rotation = np.linalg.qr(RNG.standard_normal((3, 3)))[0]
+    half = np.full(12, 0.5)
+    draws = np.stack([coherent.shared_basis_field([f, f @ rotation], np.stack([half, half]), m, "oi", "p") for m in range(3000)], 1)
+    np.testing.assert_allclose(np.cov(draws), f @ f.T, atol=0.5)  # a rotated factor is the same field
+    assert coherent.select_driver("precision") == "tree_members" and coherent.select_driver("?") == "independent"
+
+
+def test_evaluation_rows_and_regrid():
+    from swathkit.kernels import ensembles
+
+    post = oi.Posterior(covariance.matern_space_time(0.05, 300.0, 10.0), OBS, Y, NOISE)
+    factor, resid, _ = oi.low_rank(post, AT, len(AT), 0)
+    points = AT[[3, 17]]
+    rows, left = ensembles.evaluation_rows(post, points, AT, factor)
+    np.testing.assert_allclose(rows @ factor.T, post.covariance(points, AT), atol=1e-6)
+    assert (left < 1e-5).all()
+    x, y = AT[:, 0] * 0.5 + 148.75, AT[:, 1]
+    mean, new, rest = ensembles.regrid(LON, LAT, post.mean(AT), factor, resid, x, y, 10, members=3000)
+    nodes, w = gmrf.bilinear(LON, LAT, x, y)
+    cov = factor @ factor.T + np.diag(resid)
+    exact = [w[i] @ cov[np.ix_(nodes[i], nodes[i])] @ w[i] for i in range(len(x))]
+    np.testing.assert_allclose((new**2).sum(1) + rest, exact, rtol=0.15)
+
+
+def test_members_partitions_and_nulls():
+    from swathkit.kernels import ensembles
+    from swathkit.operators.evaluate import expected_ratio
+
+    assert len(set(ensembles.choose_members(10, 4, 1))) == 4
+    with pytest.raises(ValueError):
+        ensembles.choose_members(3, 4, 1)
+    parts = ensembles.disjoint_partitions(8, 3, 20, 2)
+    assert parts.shape == (20, 2, 3) and all(not set(a) & set(b) for a, b in parts.tolist())
+    with pytest.raises(ValueError):
+        ensembles.disjoint_partitions(4, 2, 4, 0)
+    t = ensembles.null_ratios(10, 400, 300, 0)
+    c4 = expected_ratio(10)
+    assert t.mean() == pytest.approx(np.sqrt(2 * 9 * (1 - c4 * c4)), rel=0.05)
+    assert ensembles.independent_nodes(np.broadcast_to(RNG.standard_normal((1, 6, 7)), (5, 6, 7))) < 60
+    assert ensembles.independent_nodes(RNG.standard_normal((12, 12, 12))) > 1000
+    q = gmrf.precision(LON, LAT, 300.0, 0.05)
+    back = np.zeros_like(q)
+    for i, j, v in ensembles.coo(q):
+        back[i, j] = back[j, i] = v
+    np.testing.assert_array_equal(back, q)
+
+
+def test_scattered_plane_is_recovered():
+    from swathkit.kernels import ensembles
+
+    x, y = RNG.uniform(0, 10, 200), RNG.uniform(0, 10, 200)
+    at = np.array([[3.0, 4.0], [5.5, 6.5], [50.0, 50.0]])
+    got = ensembles.scattered_to_grid(x, y, 2 * x - y, at)
+    np.testing.assert_allclose(got[:2], [2.0, 4.5], atol=1e-9)
+    assert got[2] == (2 * x - y)[((np.column_stack([x, y]) - at[2]) ** 2).sum(1).argmin()]
