@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Aimed size of the files of a saved table.
+FILE_BYTES = 32 << 20
 #: Words of a text: runs of characters other than these white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -38,8 +40,12 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, nbytes: float | None = None) -> DataFrame:
+        """Write and read again. Where the table's size is known to be about ``nbytes``, shuffle
+        partitions are written together into files of ``FILE_BYTES``, at least two for each core."""
         out = f"{self.path}/{name}"
+        if nbytes is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-int(nbytes) // FILE_BYTES)))
         df.write.mode("overwrite").parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
@@ -69,7 +75,8 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b", ro
     before the shuffle, so that a hub costs no more than its rows. Rounds end when the edge set
     is a set of stars; ``rounds`` is a guard that raises instead of giving a partial result.
     """
-    now = work.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges-0")
+    nbytes = 32 * edges.count()
+    now = work.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges-0", nbytes)
     last = None
     for k in range(1, rounds + 1):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,12 +85,12 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b", ro
         # Small star: each node links its smaller neighbours, and itself, to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        new = work.save(small, f"edges-{k}")
+        new = work.save(small, f"edges-{k}", nbytes)
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work.drop(f"edges-{k - 1}")
         now = new
         if mark == last:
             roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-            return work.save(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+            return work.save(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "roots", nbytes)
         last = mark
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -7,7 +7,8 @@ string are kept in buckets, and buckets are refined until their members agree on
 1. Each start p is represented by its anchor: of the ``GRAM``-byte strings inside its 200 bytes,
    the leftmost with the smallest hash. Equal strings have equal anchors, at the same distance
    d = anchor - p, so that whole runs of starts share one row. The hash of the anchor's gram is the
-   initial bucket; buckets with one member end here.
+   initial bucket. Buckets with one member end here: a bounded sketch of the bucket sizes, merged
+   from one for each part of the input, drops nearly all of them before any row is shuffled.
 2. A bucket is refined by the identifier of what lies around the anchor as far as any of its starts
    reach. Members that still share a bucket are copies for all of their starts.
 3. Members left alone there, and one member of each refined bucket, are compared start by start:
@@ -16,7 +17,7 @@ string are kept in buckets, and buckets are refined until their members agree on
    each step; the refined bucket number of one step is the pointer that the next one sorts on.
 
 Identifiers are hashes of content, so that no step needs a global ranking. A decision never rests
-on fewer than 128 bits. Initial buckets are counted with a combining aggregation and joined, so a
+on fewer than 128 bits. Refined buckets are counted with a combining aggregation and joined, so a
 frequent gram is no single task's work; buckets of more than ``bucket_rows`` members in step 3
 are counted start by start in Spark instead of being gathered.
 """
@@ -33,46 +34,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._kernels import FIRST, SECOND, mix, sliding_argmin, text_slices
+from ._sketch import DEPTH, estimated, merged_sketch, of_texts, sketch_bits
 from .common import Workspace, arrow_batches, partitions
 
 WIDTH, GRAM = 200, 64
 BUCKET_ROWS = 8192
+#: Bytes of text per anchor.
+ANCHOR_BYTES = 60
 #: Stands for a null doc_id in joins.
 NULL_ID = -(1 << 63)
 _REACH = WIDTH - GRAM  # the largest distance of a start from its anchor
 
 
-def anchors(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per run of starts with one anchor: text number, anchor's place in its text, smallest and
-    largest distance, gram bucket, identifier of the surroundings."""
+def anchor_runs(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per run of starts with one anchor: the anchor's place, first and last start, gram bucket."""
     n = len(body)
-    prefix, prefix2 = FIRST.prefix(body), SECOND.prefix(body)
-    grams = FIRST.windows(prefix, GRAM)
+    grams = FIRST.windows(FIRST.prefix(body), GRAM)
     best = sliding_argmin(grams, _REACH + 1)
     text_end = np.repeat(offsets[1:], np.diff(offsets))
     starts = np.flatnonzero(np.arange(n) + WIDTH <= text_end)
     at = best[starts]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(at)) - 1 if len(at) else first
-    at, low, high = at[first], starts[first], starts[last]
+    at = at[first]
+    return at, starts[first], starts[last], grams[at]
+
+
+def anchors(body: np.ndarray, offsets: np.ndarray, twice: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """Per run of starts whose bucket the sketch doesn't call single: text number, anchor's place in
+    its text, smallest and largest distance, gram bucket, identifier of the surroundings."""
+    at, low, high, gram = anchor_runs(body, offsets)
+    kept = estimated(twice, gram, bits)
+    at, low, high, gram = at[kept], low[kept], high[kept], gram[kept]
+    prefix = SECOND.prefix(body)
     owner = np.searchsorted(offsets, at, side="right") - 1
     left = np.maximum(at - _REACH, offsets[owner])
     right = np.minimum(at + WIDTH, offsets[owner + 1])
-    around = SECOND.spans(prefix2, left, right)
+    around = SECOND.spans(prefix, left, right)
     around = mix(around ^ ((at - left) * 1024 + (right - at)).astype(np.uint64))
-    return owner, at - offsets[owner], at - high, at - low, grams[at], around
+    return owner, at - offsets[owner], at - high, at - low, gram, around
 
 
 _ANCHORS = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("gram", pa.int64()), ("around", pa.int64()), ("place", pa.int64())])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for first, last, body, offsets in text_slices(batch.column(2)):
-            owner, at, near, far, gram, around = anchors(body, offsets)
-            place = at << 16 | near << 8 | far
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first:last][owner], key[first:last][owner], gram.view(np.int64), around.view(np.int64), place)], schema=_ANCHORS)
+def anchor_rows(texts: DataFrame, total: int) -> DataFrame:
+    """The rows of ``_ANCHORS`` for the anchors that may have company; ``total``: bytes of all texts."""
+    bits = sketch_bits(total / ANCHOR_BYTES)
+    twice = texts.sparkSession.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, of_texts(lambda body, offsets: anchor_runs(body, offsets)[3])).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(twice.value, np.uint8).reshape(DEPTH, -1)
+        for batch in batches:
+            doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, last, body, offsets in text_slices(batch.column(2)):
+                owner, at, near, far, gram, around = anchors(body, offsets, table, bits)
+                place = at << 16 | near << 8 | far
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first:last][owner], key[first:last][owner], gram.view(np.int64), around.view(np.int64), place)], schema=_ANCHORS)
+
+    return texts.mapInArrow(run, "doc long, text_key long, gram long, around long, place long")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,23 +220,23 @@ def repeated_starts(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_
     arrow_batches(spark)
     keyed = _with_keys(docs.select("doc_id", "text"))
     texts = keyed.select("_sk_doc", "_sk_text", "text")
-    found = texts.mapInArrow(_anchor_rows, "doc long, text_key long, gram long, around long, place long")
-    shared = work.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    work.drop()
-    held = work.save(found.join(shared, "gram", "left_semi"), "held")
-    work.drop("grams")
+    total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    held = work.save(anchor_rows(texts, total), "held")
     member = F.struct("doc", "text_key", "place")
-    buckets = work.save(held.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("x")), "buckets")
+    buckets = work.save(held.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("x")), "buckets", total // 4)
     copies = held.join(buckets.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi")
     at = F.shiftright("place", 16)
-    resolved = work.save(copies.select("doc", "text_key", (at - F.col("place").bitwiseAND(255)).alias("low"), (at - F.shiftright("place", 8).bitwiseAND(255)).alias("high")), "resolved")
+    resolved = work.save(copies.select("doc", "text_key", (at - F.col("place").bitwiseAND(255)).alias("low"), (at - F.shiftright("place", 8).bitwiseAND(255)).alias("high")), "resolved", total // 4)
+    work.drop("held")
     # Buckets that step 2 split: those left alone, and one member of each refined bucket.
-    split = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    split = work.save(buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "split", total // 32)
     rows = buckets.join(split, "gram").select("x.doc", "x.text_key", F.struct("x.place", "gram", (F.col("n") == 1).alias("alone"), "size").alias("member"))
-    wanted = work.save(rows.groupBy("doc", "text_key").agg(F.collect_list("member").alias("members")), "wanted")
-    work.drop("held", "buckets")
+    wanted = work.save(rows.groupBy("doc", "text_key").agg(F.collect_list("member").alias("members")), "wanted", total // 4)
+    work.drop("buckets", "split")
     joined = keyed.join(wanted, (F.col("_sk_doc") == F.col("doc")) & (F.col("_sk_text") == F.col("text_key")))
     contexts = joined.select("_sk_doc", "_sk_text", "text", "members").mapInArrow(_contexts, "doc long, text_key long, gram long, place long, alone boolean, size long, context binary")
+    contexts = work.save(contexts, "contexts")
+    work.drop()
     few = contexts.where(F.col("size") <= bucket_rows).repartition(partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(_refined, _RANGES)
     parts = [resolved, few]
     if wanted.where(F.exists("members", lambda m: m["size"] > bucket_rows)).limit(1).count():
@@ -253,8 +273,9 @@ def _cut(raw: bytes, ranges: pa.Scalar) -> tuple[bytes, int, int]:
 def with_ranges(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with _sk_ranges: the repeated starts of each row's text, null without one."""
     ranges = repeated_starts(docs, work, bucket_rows).groupBy("doc", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("_sk_ranges"))
-    ranges = work.save(ranges.select(F.col("doc").alias("_sk_doc"), F.col("text_key").alias("_sk_text"), "_sk_ranges"), "ranges")
-    work.drop("resolved", "wanted")
+    total = int(docs.agg(F.count(F.lit(1))).first()[0])
+    ranges = work.save(ranges.select(F.col("doc").alias("_sk_doc"), F.col("text_key").alias("_sk_text"), "_sk_ranges"), "ranges", 500 * total)
+    work.drop("resolved", "wanted", "contexts", "starts")
     return _with_keys(docs).join(ranges, ["_sk_doc", "_sk_text"], "left").drop("_sk_doc", "_sk_text")
 
 
