@@ -86,16 +86,16 @@ def mix(docs: DataFrame, work: Workspace, carry: list[str], quality: Callable[[C
     sized = docs.select(own, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
     weight = F.greatest(F.coalesce(quality(F.col("size")).cast("double"), F.lit(1e-6)), F.lit(1e-6))
     keyed = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"), F.col("_text"))) / weight)
-    totals = work.save(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), "sources")
+    totals = work.save(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), "sources", 0)
     aimed = targets(cyclic_weights(totals))
     plan = aimed.select(F.col("source").alias("_source"), "source_size", "target", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_buckets"), epochs().alias("_epochs")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    plan = work.save(plan, "plan")
+    plan = work.save(plan, "plan", 0)
     # The table of sources joins without a shuffle where Spark finds it small, by its size limit.
     placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")))
     placed = placed.drop("_source")
     sums = placed.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_in"))
     before = sums.withColumn("_before", F.sum("_in").over(W.partitionBy("_s").orderBy("_b")) - F.col("_in")).drop("_in")
-    before = work.save(before, "before")
+    before = work.save(before, "before", 0)
     rows = placed.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
     run = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "_text").rowsBetween(W.unboundedPreceding, W.currentRow)
     ahead = F.coalesce(F.col("_before"), F.lit(0)) + F.sum("size").over(run) - F.col("size")

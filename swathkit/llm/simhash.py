@@ -171,11 +171,12 @@ def _signed(x: int) -> int:
 def links(prints: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that give all components."""
     spark = prints.sparkSession
+    nbytes = 32 * prints.count()
     pairs = list(combinations(range(BANDS), BANDS - RADIUS))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(_band_mask(p)))).alias("key")) for k, p in enumerate(pairs)])
     banded = prints.select("fp", F.explode(keys).alias("x")).select("x.k", "x.key", "fp")
-    sizes = work.save(banded.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
-    held = work.save(banded.join(sizes, ["k", "key"]), "held")
+    sizes = work.save(banded.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups", nbytes)
+    held = work.save(banded.join(sizes, ["k", "key"]), "held", nbytes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -192,7 +193,7 @@ def links(prints: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> D
 
     small = held.where(F.col("n") <= group_rows).select("k", "key", "fp").repartition(partitions(spark), "k", "key").sortWithinPartitions("k", "key").mapInArrow(search, "a long, b long")
     if not sizes.where(F.col("n") > group_rows).limit(1).count():
-        return work.save(small.distinct(), "links")
+        return work.save(small.distinct(), "links", nbytes)
     # Two fingerprints of a group link exactly if some masking of two free bits makes them equal.
     large = held.where(F.col("n") > group_rows)
     parts = []
@@ -205,7 +206,7 @@ def links(prints: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> D
         masked = masked.unionAll(p)
     least = masked.groupBy("mask", "masked").agg(F.min("fp").alias("b"), F.max("fp").alias("m")).where("b < m").drop("m")
     star = masked.join(least, ["mask", "masked"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return work.save(small.unionAll(star).distinct(), "links")
+    return work.save(small.unionAll(star).distinct(), "links", nbytes)
 
 
 def _link_batch(rows: np.ndarray) -> pa.RecordBatch:
@@ -230,12 +231,13 @@ def classes(docs: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> D
     only if there is none. Repeated rows give repeated results; an empty table an empty one.
     """
     prints = work.save(document_fingerprints(docs), "prints")
-    distinct = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    nbytes = 32 * prints.count()
+    distinct = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", nbytes)
     roots = components(links(distinct.select("fp"), work, group_rows), work)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = work.save(named, "named")
+    named = work.save(named, "named", nbytes)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = work.save(named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "components")
+    named = work.save(named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "components", nbytes)
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "_text", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -244,9 +246,9 @@ def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
 
     Rows that repeat the kept one entirely go too.
     """
-    named = classes(docs, work).select("component_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_sk_doc"), F.col("_text").alias("_sk_text"), F.col("doc_id").isNull().alias("_null"))
+    named = work.save(classes(docs, work), "classes").select("component_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_sk_doc"), F.col("_text").alias("_sk_text"), F.col("doc_id").isNull().alias("_null"))
     chosen = named.groupBy("component_id").agg(F.min(F.struct("_null", "_sk_doc", "_sk_text")).alias("x")).select("x._sk_doc", "x._sk_text")
-    chosen = work.save(chosen, "chosen")
+    chosen = work.save(chosen, "chosen", 32 * named.count())
     keyed = docs.withColumn("_sk_doc", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("_sk_text", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)))
     joined = keyed.join(chosen, ["_sk_doc", "_sk_text"], "left_semi")
     return joined.dropDuplicates(["_sk_doc", "_sk_text"]).select(*docs.columns)
