@@ -1,91 +1,113 @@
 """WARC archives with an index: write records, index them, then read coalesced byte ranges.
 
-Archives are written by Spark's text writer, whose line separator is the blank line that ends a
-WARC record, into one file per shard under the shared folder. The order within a shard is fixed,
-so that offsets are running sums of record lengths; the index (file, offset, length, url, digest)
-is a table of its own. A read picks rows of the index, sorts them by place, merges ranges that
-are close, and fetches each merged range with one read.
+Records are gzip members of their own, so that any of them can be read alone. A task writes its
+records to files that it names itself, under the shared folder, and returns a row per record for
+the index (file, offset, length, url, digest); the index, a table that Spark commits, knows only
+the files of tasks that ended well, so that retries leave nothing but unread files. A read picks
+rows of the index, sorts them by place, merges ranges that are close, and fetches each merged
+range with one read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, arrow_batches
 
 #: Payloads from this size on are deduplicated.
 REVISIT_BYTES = 100
-#: A shard's aimed size; ranges that one task reads at once; gaps that are read over.
-SHARD_BYTES, RANGE_BYTES, GAP_BYTES = 64 << 20, 4 << 20, 64 << 10
+#: A file's largest size; ranges that one task reads at once; gaps that are read over.
+FILE_BYTES, RANGE_BYTES, GAP_BYTES = 256 << 20, 4 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
-_END = "\r\n"
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def _line(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), value, F.lit(_END))
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path; Spark may write local paths as file:/x, which means file:///x."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri)
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, payload_bytes, record_type, refers_to and the record itself.
+def record(page: int | None, url: str, payload: bytes, digest: str, first: int | None) -> bytes:
+    """One record: a response with its payload, or, with ``first``, a revisit without it."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http + payload if first is None else http
+    kind = "response" if first is None else "revisit"
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if first is not None:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{first}>"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def typed_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest and first (the page that a revisit refers to, else null).
 
     Null html is an empty payload; a null url an empty target. Of rows with equal payloads of at
     least 100 bytes, the smallest page_id is the response; should that row be repeated, or all
-    page_ids be null, each such row is a response. The table of repeated digests is aggregated
-    before it is shuffled, and its join is one whose skewed partitions Spark can split.
+    page_ids be null, each such row is a response. Payloads are shuffled once: who is a revisit is
+    found among digests, aggregated before they are shuffled, and then joined by row.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select("page_id", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", " ").alias("url"), payload.alias("_payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    small = pages.select("page_id", F.octet_length(payload).alias("_n"), F.sha2(payload.cast("binary"), 256).alias("_digest"))
-    repeated = small.where(F.col("_n") >= REVISIT_BYTES).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1").drop("_copies")
-    rows = base.join(repeated, F.col("digest") == F.col("_digest"), "left").drop("_digest")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_first")
-    is_response = F.col("record_type") == "response"
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}"), _line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(_END))
-    block = F.when(is_response, F.concat(http, F.col("_payload"))).otherwise(http)
-    number = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    head = F.concat(F.lit(f"WARC/1.0{_END}"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number, F.lit(">"))), _line("WARC-Date", F.lit(DATE)), _line("WARC-Target-URI", F.col("url")), _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))))
-    refers = F.concat(_line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))
-    head = F.concat(head, F.when(is_response, F.lit("")).otherwise(refers), _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", F.octet_length(block).cast("string")), F.lit(_END))
-    return rows.withColumn("record", F.concat(head, block)).drop("_payload")
-
-
-def write_archives(pages: DataFrame, work: Workspace, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    base = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", " ").alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    keyed = base.withColumn("row", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    narrow = keyed.where(F.octet_length("payload") >= REVISIT_BYTES).select("row", "page_id", "digest")
+    repeated = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    revisits = narrow.join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("row", "digest", "first").dropDuplicates(["row", "digest"])
+    return keyed.join(revisits, ["row", "digest"], "left").select("page_id", "url", "payload", "digest", "first")
+
+
+_INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
+
+
+def write_archives(pages: DataFrame, work: Workspace, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the archives; returns the index: file, offset, length, url, digest, page_id, record_type."""
-    spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length("html") + 700)).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
-    shard = F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(shards)).cast("int")
-    placed = records(pages).withColumn("shard", shard).repartition(shards, "shard")
-    order = ["page_id", "digest", "url"]
-    out = f"{work.path}/archives"
-    placed.sortWithinPartitions("shard", *order).select("shard", "record").write.partitionBy("shard").option("lineSep", _END * 2).option("compression", "none").text(out)
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(out)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = [(int(s.getPath().getParent().getName().partition("=")[2]), s.getPath().toString()) for s in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{out}/shard=*/part-*")) or []]
-    if len({k for k, _ in files}) != len(files):
-        raise RuntimeError("a shard was written in more than one file")
-    named = spark.createDataFrame(files, "shard int, file string")
-    # One row per record without its payload; a shard holds a bounded number of bytes.
-    run = W.partitionBy("shard").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    lengths = records(pages).withColumn("shard", shard).select("shard", *order, "record_type", (F.octet_length("record") + 4).cast("long").alias("length"))
-    index = lengths.withColumn("offset", F.sum("length").over(run) - F.col("length"))
-    return work.save(index.join(named, "shard").select("file", "offset", "length", "url", "digest", "page_id", "record_type"), "index")
+    arrow_batches(pages.sparkSession, 500)
+    folder = f"{work.path}/archives"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(folder)
+        system.create_dir(root, recursive=True)
+        out, name, at = None, "", 0
+        try:
+            for batch in batches:
+                rows = []
+                for page, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if out is None or at >= file_bytes:
+                        if out is not None:
+                            out.close()
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = system.open_output_stream(f"{root}/{name}", compression=None)
+                    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+                    raw = packer.compress(record(page, url, payload.encode(), digest, first)) + packer.flush()
+                    out.write(raw)
+                    rows.append((f"{folder}/{name}", at, len(raw), url, digest, page, "response" if first is None else "revisit"))
+                    at += len(raw)
+                if rows:
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "offset", "length", "url", "digest", "page_id", "record_type"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return work.save(typed_pages(pages).mapInArrow(write, _INDEX), "index")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
 
 def parse_record(raw: bytes) -> tuple:
-    """The row of one record: a response's size and digest come from its payload, a revisit's from its headers."""
+    """The row of one gzip member: a response's size and digest come from its payload, a revisit's from its headers."""
+    raw = zlib.decompress(raw, 31)
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = dict(x.partition(b": ")[::2] for x in head.split(b"\r\n")[1:])
     if len(block) != int(fields[b"Content-Length"]) + 4 or not raw.startswith(b"WARC/1.0\r\n"):
@@ -115,8 +137,7 @@ def read_records(selected: DataFrame, payloads: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # Spark writes local paths as file:/x, which means file:///x.
-                system, path = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+                system, path = file_system(file)
                 rows, at = [], 0
                 with system.open_input_file(path) as source:
                     while at < len(entries):

@@ -94,7 +94,7 @@ def test_warc_round_trip(spark):
     big = "<p>" + "ä" * 5000 + "\r\n\r\nWARC/1.0\r\n</p>"
     pages = [(5, "http://a/5", big), (3, None, big), (9, "http://b/\r\nX: y", big), (4, "u", None), (7, "u", ""), (8, "u", "short"), (6, "u", "short"), (5, "http://a/5", big), (None, "n", big), (None, None, None), (10, "u", prose(1, 200))]
     df = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, offset int, digest string").repartition(3)
-    index = warc.write_archives(df, Workspace(spark, "t"), shard_bytes=12_000)
+    index = warc.write_archives(df, Workspace(spark, "t"), file_bytes=500)
     assert index.select("file").distinct().count() > 1
     got = warc.read_records(index, payloads=True).collect()
     expected = []
