@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
+from .common import FILE_BYTES, Workspace, partitions
 
 #: Neighbours per node, those of one kind joined in a round, rounds, share of changed edges at which they end.
 DEGREE, SAMPLE, ROUNDS, SETTLED = 24, 14, 6, 0.03
@@ -112,7 +112,7 @@ class Graph:
         rank = F.row_number().over(W.partitionBy("vector").orderBy("id"))
         few = rows.withColumn("_r", rank).where(F.col("_r") <= members)
         nodes = few.groupBy("vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("members"))
-        self.nodes = work.save(nodes.select("id", "vector", "members").mapInArrow(_pack_rows, "id long, vector array<double>, members array<long>, packed binary"), "nodes")
+        self.nodes = work.save(nodes.select("id", "vector", "members").mapInArrow(_pack_rows, "id long, vector array<double>, members array<long>, packed binary"), "nodes", 10 * self.dimension * rows.count())
         self.n = self.nodes.count()
         self.edges = self._descend(self._first(), rounds)
 
@@ -146,8 +146,8 @@ class Graph:
         return once.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("_r") <= self.degree).drop("_r")
 
     def _descend(self, first: DataFrame, rounds: int) -> DataFrame:
-        work, degree = self.work, self.degree
-        now = work.save(self._merge(first.withColumn("new", F.lit(1))), "edges-0")
+        work, degree, nbytes = self.work, self.degree, 24 * self.degree * self.n
+        now = work.save(self._merge(first.withColumn("new", F.lit(1))), "edges-0", nbytes)
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, ...]] = []
@@ -182,7 +182,7 @@ class Graph:
         for k in range(1, rounds + 1):
             order = F.xxhash64("v", "u", F.lit(k))
             ranked = now.withColumn("_r", F.row_number().over(W.partitionBy("v", "new").orderBy(order)))
-            used = work.save(ranked.where(F.col("_r") <= SAMPLE).select("v", "u", "new"), "used")
+            used = work.save(ranked.where(F.col("_r") <= SAMPLE).select("v", "u", "new"), "used", nbytes)
             back = used.select(F.col("u").alias("v"), F.col("v").alias("u"), "new").withColumn("_r", F.row_number().over(W.partitionBy("v", "new").orderBy(F.xxhash64("v", "u", F.lit(k))))).where(F.col("_r") <= SAMPLE).drop("_r")
             lists = used.unionByName(back).groupBy("v", "u").agg(F.max("new").alias("fresh"))
             bars = now.groupBy("v").agg(F.when(F.count(F.lit(1)) >= degree, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("bar"))
@@ -190,7 +190,7 @@ class Graph:
             joined = lists.join(ends, "u").select("v", "u", "fresh", "bar", "packed")
             found = joined.repartition(partitions(self.spark), "v").sortWithinPartitions("v").mapInArrow(local, "v long, u long, d float")
             kept = now.join(used.where("new = 1").select("v", "u", F.lit(1).alias("_used")), ["v", "u"], "left").select("v", "u", "d", F.when(F.col("_used").isNotNull(), 0).otherwise(F.col("new")).alias("new"))
-            after = work.save(self._merge(kept.unionByName(found.withColumn("new", F.lit(1)))), f"edges-{k}")
+            after = work.save(self._merge(kept.unionByName(found.withColumn("new", F.lit(1)))), f"edges-{k}", nbytes)
             changed = after.join(now.select("v", "u"), ["v", "u"], "left_anti").count()
             work.drop(f"edges-{k - 1}", "used")
             now = after
@@ -204,7 +204,9 @@ class Graph:
         lists = both.select("v", "u").distinct().join(self.nodes.select(F.col("id").alias("u"), "packed"), "u")
         grouped = lists.groupBy(F.col("v").alias("node")).agg(F.collect_list(F.struct("u", "packed")).alias("near"))
         name = f"sk_adjacency_{uuid.uuid4().hex}"
-        grouped.repartition(partitions(self.spark), "node").write.bucketBy(partitions(self.spark), "node").format("parquet").saveAsTable(name)
+        row = self.degree * (self.dimension + 12) * 2
+        files = max(2 * self.spark.sparkContext.defaultParallelism, -(-self.n * row // FILE_BYTES))
+        grouped.repartition(files, "node").write.bucketBy(files, "node").format("parquet").saveAsTable(name)
         return name
 
 
@@ -223,7 +225,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
     A row of the index with the id of the query is not a candidate of it.
     """
     spark, work = graph.spark, graph.work
-    asked = work.save(queries.where(F.size("vector") == graph.dimension).select("query", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["query"]), "queries")
+    asked = work.save(queries.where(F.size("vector") == graph.dimension).select("query", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["query"]), "queries", graph.n * graph.dimension)
     sample = graph.nodes.orderBy(F.xxhash64("id", F.lit(_SEED)), "id").limit(ENTRIES).select("id", "packed").collect()  # bounded by ENTRIES
     entries = spark.sparkContext.broadcast(([r["id"] for r in sample], b"".join(bytes(r["packed"]) for r in sample)))
 
@@ -255,22 +257,22 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
             new[1:] = (query[1:] != query[:-1]) | (node[1:] != node[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(query[new]), pa.array(node[new]), pa.array(d[new].astype(np.float32)), pa.array(np.zeros(int(new.sum()), np.int32))], names=["query", "node", "d", "done"])
 
-    name = graph.adjacency()
-    now = work.save(asked.mapInArrow(begin, "query long, node long, d float, done int"), "beam-0")
+    name, nbytes = graph.adjacency(), 24 * beam * asked.count()
+    now = work.save(asked.mapInArrow(begin, "query long, node long, d float, done int"), "beam-0", nbytes)
     ordered = W.partitionBy("query").orderBy("d", "node")
     k_round = 0
     # A round expands something in every open beam, and an expanded node stays so.
     while True:
         k_round += 1
         frontier = now.where("done = 0").withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= EXPAND).select("query", "node")
-        frontier = work.save(frontier, f"frontier-{k_round}")
+        frontier = work.save(frontier, f"frontier-{k_round}", nbytes)
         if not frontier.limit(1).count():
             break
         given = frontier.join(asked, "query").join(spark.table(name), "node").select("query", "vector", "near")
         found = given.mapInArrow(expand, "query long, node long, d float, done int")
         expanded = frontier.withColumn("d", F.lit(float("inf")).cast("float")).withColumn("done", F.lit(1)).select("query", "node", "d", "done")
         union = now.unionByName(found).unionByName(expanded).groupBy("query", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
-        after = work.save(union.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= beam).drop("_r"), f"beam-{k_round}")
+        after = work.save(union.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= beam).drop("_r"), f"beam-{k_round}", nbytes)
         work.drop(f"beam-{k_round - 1}", f"frontier-{k_round}")
         now = after
     spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -279,7 +281,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
     score = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     rows = exact.select("query", score.alias("score"), F.explode("members").alias("id")).where("id <> query")
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "id"))).where(F.col("rank") <= k)
-    return work.save(rows.select("query", "id", "score", F.col("rank").cast("int").alias("rank")), "results")
+    return work.save(rows.select("query", "id", "score", F.col("rank").cast("int").alias("rank")), "results", nbytes)
 
 
 def neighbours(vectors: DataFrame, work: Workspace, every: int, k: int = 10) -> DataFrame:
