@@ -2,16 +2,21 @@
 
 A window is ``WINDOW`` (13) words; it goes if its word sequence starts in a document with a smaller
 doc_id too. Pass 1 counts in sketches, one for each part of the input, which are merged; pass 2
-groups exactly, by 128-bit keys, only the windows that the merged sketch estimates to be repeated.
+groups exactly, by 128-bit keys, only windows that the merged sketch estimates to be repeated.
 
 What the sketch counts for a window is its anchor, the leftmost of its runs of ``GRAM`` words with
 the smallest hash. Equal windows have equal anchors, so an anchor's count is never below the
 window's: with the usual collisions on top, estimates are too high or right and no repeated window
 is lost. Neighbouring windows mostly share an anchor, which makes the sketch 3.5 times smaller.
 
-A merged sketch holds one bit per counter, "two or more", since nothing else is asked. It is the
-only data that is broadcast; its width follows the size of the input up to ``MOST_BITS`` (32 MB
-each row). On a corpus beyond that estimates grow coarser and pass 2 larger, results stay the same.
+The exact pass has two steps for the same reason. All windows of an anchor lie in its surroundings,
+the words as far as any of them reaches. Documents whose surroundings an earlier document has too
+lose all of these windows at once. An anchor with one kind of surroundings is done then: its first
+document is the first for each window. For anchors with several, the first documents of each kind
+are grouped window by window; they are picked out of the texts by a second bit table, of (anchor,
+surroundings, document), whose false hits cost a little work and change nothing.
+
+Both tables are bounded (see ``_sketch``) and the only data that is broadcast.
 """
 
 from __future__ import annotations
@@ -25,145 +30,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._kernels import FIRST, SECOND, mix, sliding_argmin, text_slices, window_hashes, word_spans
-from .common import Workspace, arrow_batches, partitions
+from ._sketch import DEPTH, estimated, merged_sketch, of_texts, sketch_bits
+from .common import Workspace, arrow_batches
 
 WINDOW, GRAM = 13, 8
-DEPTH, MOST_BITS, SLICE_BITS = 2, 28, 16
-#: Anchors that a task holds before it hands its sketch on.
-FLUSH = 2_000_000
+#: Bytes of prose per anchor: 6.6 for a word, 3.5 words to an anchor.
+ANCHOR_BYTES = 23
 
 
 class Windows:
-    """Hashes of the windows of a slice of texts, and their anchors."""
+    """The windows of a slice of texts, in runs that share an anchor."""
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray) -> None:
         starts, ends, self.of = word_spans(body, offsets)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.of))
         self.spans = (body, starts, ends)
         self.words = FIRST.spans(FIRST.prefix(body), starts, ends)
-        self.grams = window_hashes(FIRST, self.words, GRAM)
+        grams = window_hashes(FIRST, self.words, GRAM)
         inside = owner[WINDOW - 1 :] == owner[: max(len(owner) - WINDOW + 1, 0)]
-        self.at = np.flatnonzero(inside)
-        self.owner = owner[self.at]
-        self.anchor = sliding_argmin(self.grams, WINDOW - GRAM + 1)[self.at]
-
-    def anchors(self) -> np.ndarray:
-        """The hash of each anchor once for each place that it is at."""
-        new = np.ones(len(self.anchor), dtype=bool)
-        new[1:] = self.anchor[1:] != self.anchor[:-1]
-        return self.grams[self.anchor[new]]
-
-    def keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit keys of the chosen windows, from independent hashes of their words."""
+        window = np.flatnonzero(inside)
+        anchor = sliding_argmin(grams, WINDOW - GRAM + 1)[window]
+        new = np.ones(len(anchor), dtype=bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(anchor)) - 1 if len(first) else first
+        self.anchor, self.owner = anchor[first], owner[window[first]]
+        self.low, self.high = window[first], window[last]
+        self.hash = grams[self.anchor]
+
+    def keep(self, chosen: np.ndarray) -> None:
+        """Go on with some of the runs."""
+        for name in ("anchor", "owner", "low", "high", "hash"):
+            setattr(self, name, getattr(self, name)[chosen])
+
+    def surroundings(self) -> np.ndarray:
+        """Key of each run's surroundings, cut at the ends of its text; with the anchor's hash it has 128 bits."""
         body, starts, ends = self.spans
-        other = SECOND.spans(SECOND.prefix(body), starts, ends)
-        return window_hashes(FIRST, self.words, WINDOW)[self.at[chosen]], window_hashes(SECOND, other, WINDOW)[self.at[chosen]]
-
-
-def counters(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The counter of each hash in a row of the sketch."""
-    return (mix(hashes + np.uint64(row)) >> np.uint64(64 - bits)).astype(np.int64)
-
+        left = np.maximum(self.anchor - (WINDOW - GRAM), self.of[self.owner])
+        right = np.minimum(self.anchor + WINDOW, self.of[self.owner + 1])
+        cut = ((self.anchor - left) * 64 + (right - self.anchor)).astype(np.uint64)
+        self.other = SECOND.spans(SECOND.prefix(body), starts, ends)
+        return mix(SECOND.spans(SECOND.prefix(self.other), left, right) ^ cut)
 
-def _slices(anchors: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A part's sketch, cut into slices: counters that hold one, and those that hold more."""
-    width = min(SLICE_BITS, bits)
-    for row in range(DEPTH):
-        at, count = np.unique(counters(anchors, row, bits), return_counts=True)
-        slice_of, inner = at >> width, (at & ((1 << width) - 1)).astype(np.uint16)
-        cuts = np.flatnonzero(np.concatenate([[True], slice_of[1:] != slice_of[:-1]])) if len(at) else []
-        edges = [*cuts, len(at)]
-        rows = [(row, int(slice_of[a]), inner[a:b][count[a:b] == 1].tobytes(), inner[a:b][count[a:b] > 1].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["row", "slice", "ones", "more"])
+    def each(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Run, place and two 64-bit keys of every window (after ``surroundings``)."""
+        n = self.high - self.low + 1
+        run = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + self.low[run]
+        return run, at, window_hashes(FIRST, self.words, WINDOW)[at], window_hashes(SECOND, self.other, WINDOW)[at]
 
 
-def sketch(texts: DataFrame, bits: int) -> np.ndarray:
-    """The merged sketch as packed bits, DEPTH rows: counters that reached two."""
-    spark = texts.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for _, _, body, offsets in text_slices(batch.column(0)):
-                held.append(Windows(body, offsets).anchors())
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield from _slices(np.concatenate(held), bits)
-                    held, n = [], 0
-        if n:
-            yield from _slices(np.concatenate(held), bits)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, np.zeros(1 << min(SLICE_BITS, bits), np.uint8)
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], names=["row", "slice", "twice"])
-
-        for batch in batches:
-            for row, part, ones, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (row, part):
-                    if now is not None:
-                        yield packed()
-                    now = (row, part)
-                    counts[:] = 0
-                one = np.frombuffer(ones, np.uint16)
-                counts[one] = np.minimum(counts[one] + 1, 2)
-                counts[np.frombuffer(more, np.uint16)] = 2
-        if now is not None:
-            yield packed()
-
-    parts = texts.select("text").mapInArrow(count, "row int, slice int, ones binary, more binary")
-    merged = parts.repartition(partitions(spark), "row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, twice binary")
-    width = 1 << max(min(SLICE_BITS, bits) - 3, 0)
-    out = np.zeros((DEPTH, max((1 << bits) // 8, width)), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["row"], row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["twice"], np.uint8)
-    return out
-
-
-def sketch_bits(total_bytes: int) -> int:
-    """Width of a row, as a power of two: three counters for each anchor that prose would have."""
-    return int(np.clip(int(np.ceil(np.log2(max(total_bytes, 1) * 3 / 23))), 16, MOST_BITS))
+def _of_document(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hash of (anchor, surroundings, document)."""
+    return mix(gram ^ mix(around ^ mix(doc.view(np.uint64))))
 
 
 def removed_words(docs: DataFrame, work: Workspace, bits: int | None = None) -> DataFrame:
-    """(doc, mark, places): the first words of all windows to remove, for each document that has one.
+    """(doc, mark, places): runs (low, n) of first words of windows to remove, for each document that has one.
 
     ``mark`` tells texts of one doc_id apart, by 24 bits of a hash.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    if bits is None:
-        bits = sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = sketch_bits(total / ANCHOR_BYTES) if bits is None else bits
     known = docs.where("doc_id IS NOT NULL").select("doc_id", _mark().alias("mark"), "text")
-    twice = spark.sparkContext.broadcast(sketch(known, bits).tobytes())
+    twice = spark.sparkContext.broadcast(merged_sketch(known.select("text"), bits, of_texts(lambda body, offsets: Windows(body, offsets).hash)).tobytes())
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Windows that the sketch estimates to be repeated, with their documents and marks."""
         table = np.frombuffer(twice.value, np.uint8).reshape(DEPTH, -1)
+        doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for first, last, body, offsets in text_slices(batch.column(2)):
+            w = Windows(body, offsets)
+            w.keep(estimated(table, w.hash, bits))
+            yield w, w.surroundings(), doc[first:last][w.owner], mark[first:last][w.owner]
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, around, doc, mark in runs(batch):
+                place = (w.low - w.of[w.owner]) << 32 | (w.high - w.low + 1) << 24 | mark
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash.view(np.int64), around.view(np.int64), doc, place)], names=["gram", "around", "doc", "place"])
+
+    # Step 1: surroundings that an earlier document has; anchors with several kinds stay open.
+    found = work.save(known.mapInArrow(contexts, "gram long, around long, doc long, place long"), "around")
+    classes = work.save(found.groupBy("gram", "around").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "classes", total // 4)
+    shared = classes.where("least < most").select("gram", "around", "least")
+    settled = work.save(found.join(shared, ["gram", "around"]).where("doc > least").select("doc", "place"), "settled", total // 8)
+    work.drop("around")
+    several = work.save(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several", total // 16)
+    left = work.save(classes.join(several, "gram").select("gram", "around", "least"), "left", total // 16)
+    work.drop("classes", "several")
+    open_bits = sketch_bits(left.count())
+    held = spark.sparkContext.broadcast(merged_sketch(left, open_bits, lambda b: iter([_of_document(*(b.column(k).to_numpy().view(np.uint64) for k in range(3)))]), least=1).tobytes())
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(held.value, np.uint8).reshape(DEPTH, -1)
         for batch in batches:
-            doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, last, body, offsets in text_slices(batch.column(2)):
-                w = Windows(body, offsets)
-                hashes = w.grams[w.anchor]
-                likely = np.ones(len(hashes), dtype=bool)
-                for row in range(DEPTH):
-                    at = counters(hashes, row, bits)
-                    likely &= (table[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                chosen = np.flatnonzero(likely)
-                one, two = w.keys(chosen)
-                own = w.owner[chosen]
-                place = (w.at[chosen] - w.of[own]) << 24 | mark[first:last][own]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), doc[first:last][own], place)], names=["one", "two", "doc", "place"])
-
-    found = known.mapInArrow(candidates, "one long, two long, doc long, place long")
-    # The exact pass: smallest document of each window, combined before the shuffle.
-    least = found.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("one", "two", "least")
-    least = work.save(least, "windows")
-    work.drop()
-    later = found.join(least, ["one", "two"]).where("doc > least").select("doc", F.col("place").bitwiseAND((1 << 24) - 1).alias("mark"), F.shiftright("place", 24).cast("int").alias("at"))
-    out = work.save(later.groupBy("doc", "mark").agg(F.collect_list("at").alias("places")), "places")
-    work.drop("windows")
+            for w, around, doc, mark in runs(batch):
+                chosen = estimated(table, _of_document(w.hash, around, doc), open_bits)
+                w.keep(chosen)
+                doc, mark = doc[chosen], mark[chosen]
+                run, at, one, two = w.each()
+                place = (at - w.of[w.owner[run]]) << 32 | 1 << 24 | mark[run]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), doc[run], place)], names=["one", "two", "doc", "place"])
+
+    # Step 2: windows one by one, their smallest document combined before the shuffle.
+    each = work.save(known.mapInArrow(windows, "one long, two long, doc long, place long"), "each")
+    least = each.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("one", "two", "least")
+    later = each.join(least, ["one", "two"]).where("doc > least").select("doc", "place")
+    gone = settled.unionByName(later)
+    run = F.struct(F.shiftright("place", 32).cast("int").alias("low"), F.shiftright("place", 24).bitwiseAND(255).cast("int").alias("n"))
+    places = gone.groupBy("doc", F.col("place").bitwiseAND((1 << 24) - 1).alias("mark")).agg(F.collect_list(run).alias("places"))
+    out = work.save(places, "places", total // 8)
+    work.drop("settled", "each", "left")
     return out
 
 
@@ -178,9 +158,9 @@ def _keep(text: str | None, places: pa.Scalar) -> tuple[bytes, int, int]:
     n = len(starts)
     gone = np.zeros(n + 1, np.int64)
     if places.is_valid:
-        at = np.unique(places.values.to_numpy())
-        np.add.at(gone, at, 1)
-        np.add.at(gone, np.minimum(at + WINDOW, n), -1)
+        low, m = (places.values.field(k).to_numpy() for k in range(2))
+        np.add.at(gone, low, 1)
+        np.add.at(gone, low + m - 1 + WINDOW, -1)
     kept = np.flatnonzero(np.cumsum(gone)[:n] == 0)
     raw = body.tobytes()
     return b" ".join([raw[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]), n, n - len(kept)
@@ -199,7 +179,7 @@ def dedup(docs: DataFrame, work: Workspace, bits: int | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_keep(t.as_py(), p) for t, p in zip(batch.column(1), batch.column(2), strict=True)]
+            rows = [_keep(t.as_py(), p) for t, p in zip(*batch.columns[1:], strict=True)]
             kept, n, removed = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
