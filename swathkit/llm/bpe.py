@@ -2,8 +2,9 @@
 
 A pre-token that is in the vocabulary is one token, found by a perfect hash without empty slots
 (one displacement for each bucket of keys) and confirmed by its bytes. Any other one is merged:
-its bytes are a doubly linked list, and a heap holds the mergeable pairs by (rank, place), so
-that a pre-token of n bytes takes n log n steps, however long it is.
+its bytes are a doubly linked list of tokens, and a heap holds the mergeable pairs by (rank,
+place), so that a pre-token of n bytes takes n log n steps, however long it is. What two
+neighbouring tokens merge to is a table of pairs, made once from the splits of the vocabulary.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_batches
 
-#: Pre-tokens whose result a worker keeps; beyond, it starts afresh.
-CACHED = 200_000
+#: Pre-tokens whose result a worker keeps, and their longest length; when full, it starts afresh.
+CACHED, CACHED_CHARS = 1_000_000, 48
 
 
 class PerfectHash:
@@ -71,17 +73,50 @@ class PerfectHash:
         return self.slots[-d - 1 if d < 0 else self._place(h, d)]
 
 
+class Pieces(dict):
+    """Pre-token -> (ids in decimal with commas, number of ids, the bytes that they decode to)."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> tuple[str, int, bytes]:
+        ids = self.codec.encode_piece(piece)
+        known = (",".join(map(str, ids)), len(ids), self.codec.decode(ids))
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = known
+        return known
+
+
 class Codec:
-    """Encoder and decoder of a rank file's vocabulary."""
+    """Encoder and decoder of a rank file's vocabulary, which holds every single byte."""
 
     def __init__(self, rank_file: bytes, pattern: str) -> None:
         pairs = [line.split() for line in rank_file.splitlines() if line.strip()]
         self.keys = [base64.b64decode(k) for k, _ in pairs]
         self.ranks = [int(r) for _, r in pairs]
+        rank_of = dict(zip(self.keys, self.ranks, strict=True))
         self.bytes_of = dict(zip(self.ranks, self.keys, strict=True))
+        self.single = [rank_of[bytes([b])] for b in range(256)]
         self.hash = PerfectHash(self.keys)
+        self.merged = {}
+        for key, rank in rank_of.items():
+            for cut in range(1, len(key)):
+                left, right = rank_of.get(key[:cut]), rank_of.get(key[cut:])
+                if left is not None and right is not None:
+                    self.merged[left << 32 | right] = rank
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces = Pieces(self)
+
+    def __getstate__(self) -> dict:
+        """Tables and pattern travel (a few MB for 50,000 tokens); cached pieces don't."""
+        return {k: v for k, v in self.__dict__.items() if k != "pieces"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.pieces = Pieces(self)
 
     def rank(self, key: bytes) -> int:
         """The rank of a byte string, -1 if it isn't in the vocabulary."""
@@ -90,26 +125,33 @@ class Codec:
 
     def merge(self, raw: bytes) -> list[int]:
         """Token ids of one pre-token: the pair of lowest rank is merged first, the leftmost of equals."""
-        n = len(raw)
+        n, find = len(raw), self.merged.get
+        token = [self.single[b] for b in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))  # of the part that begins at a place
-        live = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.rank(raw[i : i + 2])) >= 0]
+        heap = []
+        for i in range(n - 1):
+            rank = find(token[i] << 32 | token[i + 1])
+            if rank is not None:
+                heap.append((rank, i, token[i], token[i + 1]))
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if live[i] else n
-            if j >= n or end[j] != stop:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if token[i] != left or j >= n or token[j] != right:
                 continue  # one of the two has been merged meanwhile
-            live[j] = False
-            end[i], after[i] = stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := self.rank(raw[i : end[after[i]]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if (h := before[i]) >= 0 and (r := self.rank(raw[h:stop])) >= 0:
-                heapq.heappush(heap, (r, h, stop))
-        return [self.rank(raw[i : end[i]]) for i in range(n) if live[i]]
+            token[i], token[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                new = find(rank << 32 | token[k])
+                if new is not None:
+                    heapq.heappush(heap, (new, i, rank, token[k]))
+            h = before[i]
+            if h >= 0:
+                new = find(token[h] << 32 | rank)
+                if new is not None:
+                    heapq.heappush(heap, (new, h, token[h], rank))
+        return [t for t in token if t >= 0]
 
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -124,32 +166,14 @@ class Codec:
 
     def round_trip(self, text: str) -> tuple[int, str, bytes]:
         """Number of ids, the ids in decimal with commas, and the bytes that they decode to."""
-        cache, found = self.cache, []
-        for piece in self.pattern.findall(text):
-            known = cache.get(piece)
-            if known is None:
-                ids = self.encode_piece(piece)
-                known = (",".join(map(str, ids)), len(ids), self.decode(ids))
-                if len(piece) <= 64:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[piece] = known
-            found.append(known)
-        if not found:
-            return 0, "", b""
-        texts, counts, parts = zip(*found, strict=True)
-        return sum(counts), ",".join(texts), b"".join(parts)
-
-
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    """A worker's codec for a vocabulary, built once."""
-    key = (hashlib.sha256(rank_file).hexdigest(), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(rank_file, pattern)
-    return _CODECS[key]
+        found = list(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return sum([f[1] for f in found]), ",".join([f[0] for f in found]), b"".join([f[2] for f in found])
+
+
+def shared_codec(spark: SparkSession, rank_path: str, pattern: str) -> Broadcast:
+    """The codec of a rank file on the driver, as a broadcast: its size is the vocabulary's."""
+    with open(rank_path, "rb") as f:
+        return spark.sparkContext.broadcast(Codec(f.read(), pattern))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -160,15 +184,14 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     A null text is an empty one: no tokens, and the digest of nothing, twice. Null doc_ids stay
     null, repeated rows give repeated results, an empty table an empty one, and other columns
-    are not read. The vocabulary is under 1 MB and goes out as a broadcast.
+    are not read.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 256)
-    with open(rank_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+    shared = shared_codec(spark, rank_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
+        own = shared.value
         for batch in batches:
             n, ids, decoded = [], [], []
             for value in batch.column(1):
@@ -185,11 +208,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
     spark = docs.sparkSession
     arrow_batches(spark, 256)
-    with open(rank_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+    shared = shared_codec(spark, rank_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
+        own = shared.value
         for batch in batches:
             ids = [np.array(own.encode(v.as_py() or ""), np.int32) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
