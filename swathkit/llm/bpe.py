@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_batches
 
 #: Pre-tokens whose result a worker keeps, and their longest length; when full, it starts afresh.
-CACHED, CACHED_CHARS = 1_000_000, 48
+CACHED, CACHED_CHARS = 600_000, 48
 
 
 class PerfectHash:
