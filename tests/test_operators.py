@@ -252,3 +252,50 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
         k = (r[1].date(), r[3])
         expected[k] = expected.get(k, 0) + 1
     assert got == expected
+
+
+def test_evidence_fits_selects_and_accepts(spark):
+    rng = np.random.default_rng(4)
+    n = 3000
+    lon, lat = rng.uniform(295, 305, n), rng.uniform(33, 43, n)
+    s = np.exp(0.2 + 0.9 * (lat - 38) / 5)
+    resid = rng.standard_normal(n) * np.sqrt(s * 0.5 + calibrate.TRACK_VARIANCE)
+    rows = [(i, float(a), float(b), float(r), 0.5, ("N" if b > 38 else "S"), int(i % 12) + 1) for i, (a, b, r) in enumerate(zip(lon, lat, resid, strict=True))]
+    points = spark.createDataFrame(rows, "seq long, lon double, lat double, resid double, v double, class string, month int")
+    found = calibrate.evidence(points, splits.month_folds(points).select("seq", "fold", "score"))
+    assert found["winner"] in ("quadratic", "poly") and found["bars"]["aggregate_coverage"] and found["bars"]["all_counted"]
+    assert found["clip"][0] < found["clip"][1] and set(found["regions"]) == {"N", "S", "aggregate"}
+    z = calibrate.standardised(points.withColumn("s", F.lit(1.0))).agg(F.stddev("z")).first()[0]
+    assert 0.8 < z < 2
+
+
+def test_autocorrelation_shrinks_the_count(spark):
+    rows = [(i, 0, i // 100, float(np.sin(i / 3))) for i in range(1000)]
+    points = spark.createDataFrame(rows, "seq long, day int, pass_id int, z double")
+    rho = calibrate.lag_correlations(points, 5)
+    total = calibrate.truncated_rho_sum(rho).first()[0]
+    assert 0 < total < 5
+    n = spark.range(1).select(calibrate.effective_n(F.lit(1000.0), F.lit(total)).alias("n")).first()[0]
+    assert n == pytest.approx(1000 / (1 + 2 * total))
+
+
+def test_routes_and_constituents(spark):
+    assert evaluate.route(True, "LOW_RANK") == "covariance" and evaluate.route(False, "EXACT") == "sample"
+    parts = spark.createDataFrame([(0, 5, 1.0, 4.0), (1, 5, 2.0, 9.0), (1, 6, 3.0, 1.0)], "tile int, node_id long, mean double, var double")
+    points = spark.createDataFrame([("p", 5)], "point string, node_id long")
+    got = {(r["tile"], r["mean"], r["sigma"]) for r in evaluate.constituent_moments(parts, points).collect()}
+    assert got == {(0, 1.0, 2.0), (1, 2.0, 3.0)}
+
+
+def test_super_observations_and_identity(obs):
+    assert src.superobs(obs, None) is obs
+    out = src.superobs(obs.withColumn("mission", F.lit("one")), 7)
+    per_day = {r["d"]: r["count"] for r in obs.groupBy(F.floor("t").alias("d")).count().collect()}
+    assert out.count() == sum(c // 7 for c in per_day.values())
+
+
+def test_mission_variance_refuses_unknown(spark, obs):
+    with pytest.raises(Exception, match="no error variance"):
+        reconstruct.mission_variance(obs, {"alg": 0.0}, 0.01).agg(F.sum("err_var")).collect()
+    out = reconstruct.mission_variance(obs, {"alg": 0.0, "j3": 1.0, "c2": -1.0}, 0.01)
+    assert out.where("mission = 'j3'").first()["err_var"] == pytest.approx(0.01 * np.e)
