@@ -81,7 +81,7 @@ def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WOR
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("_text", pa.int64()), ("fp", pa.int64())])
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
+def document_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, _text (a key of the text) and fp (the fingerprint as a signed long) per row."""
     arrow_batches(docs.sparkSession)
 
@@ -89,7 +89,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, last, body, offsets in text_slices(batch.column(2)):
                 own = [batch.column(k).slice(first, last - first) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(body, offsets).view(np.int64))], schema=_PRINTS)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(body, offsets, words).view(np.int64))], schema=_PRINTS)
 
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)).alias("_text"), "text").mapInArrow(run, "doc_id long, _text long, fp long")
 
@@ -246,7 +246,12 @@ def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
 
     Rows that repeat the kept one entirely go too.
     """
-    named = work.save(classes(docs, work), "classes").select("component_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_sk_doc"), F.col("_text").alias("_sk_text"), F.col("doc_id").isNull().alias("_null"))
+    return keep_least(docs, classes(docs, work), work)
+
+
+def keep_least(docs: DataFrame, named: DataFrame, work: Workspace) -> DataFrame:
+    """One row of each component, of rows named by doc_id, _text and component_id."""
+    named = work.save(named, "classes").select("component_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_sk_doc"), F.col("_text").alias("_sk_text"), F.col("doc_id").isNull().alias("_null"))
     chosen = named.groupBy("component_id").agg(F.min(F.struct("_null", "_sk_doc", "_sk_text")).alias("x")).select("x._sk_doc", "x._sk_text")
     chosen = work.save(chosen, "chosen", 32 * named.count())
     keyed = docs.withColumn("_sk_doc", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("_sk_text", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)))

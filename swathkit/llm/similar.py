@@ -1,0 +1,150 @@
+"""Near-duplicates by word shingles: texts whose sets of shingles have a Jaccard similarity of at
+least ``similarity``, all of them, and the components that these pairs form.
+
+64-bit fingerprints alone can't find them: at a similarity of 0.8 fingerprints differ in about ten
+bits, too many for bands of any use. So they are one source of candidates, prefixes are the other:
+
+- shingles are put in one order for all texts, those that a merged sketch calls single first, then
+  by hash. Two texts as similar as asked share a shingle among the first n - ceil(similarity * n) + 1
+  of n of each (prefix filter), which no single one can be; what is left of a text's prefix are its
+  keys. Texts without a key have no partner;
+- candidates are first the texts that SimHash links and, for each key, its texts against a few
+  centres, then all pairs of a key's texts that aren't yet in the same component. Every link is
+  confirmed on the whole sets.
+
+A text of fewer words than a shingle has one, of all its words; texts without a word are alike.
+A-Z are lower-cased. Shingles are compared by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import simhash
+from ._kernels import FIRST, text_slices, window_hashes, word_spans
+from ._sketch import DEPTH, estimated, merged_sketch, of_texts, sketch_bits
+from .common import Workspace, arrow_batches, components
+
+WORDS, SIMILARITY = 5, 0.8
+#: Centres of a key that all its texts are compared with before they are compared with each other.
+CENTRES = 3
+
+
+def shingles(body: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every distinct shingle, in the order of both."""
+    low = np.where((body >= 65) & (body <= 90), body + 32, body).astype(np.uint8)
+    starts, ends, of = word_spans(low, offsets)
+    n_words = np.diff(of)
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    each = FIRST.spans(FIRST.prefix(low), starts, ends)
+    grams = window_hashes(FIRST, each, words)
+    whole = owner[: len(grams)] == owner[words - 1 :] if len(grams) else np.zeros(0, dtype=bool)
+    short = np.flatnonzero(n_words < words)
+    few = FIRST.spans(FIRST.prefix(each), of[short], of[short + 1]) if len(each) else np.zeros(len(short), np.uint64)
+    few = np.where(n_words[short] > 0, few, np.uint64(0))
+    text, h = np.concatenate([owner[: len(grams)][whole], short]), np.concatenate([grams[whole], few])
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+    return text[new], h[new]
+
+
+def least_common(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Shingles that a text of n has to share with any text that is similar enough."""
+    return np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64)
+
+
+def _open_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """t, n, keys and held (the sorted shingles, 8 bytes each) of the texts that have a key."""
+    spark = texts.sparkSession
+    total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = sketch_bits(total / 6)
+    twice = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), bits, of_texts(lambda body, offsets: shingles(body, offsets, words)[1])).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(twice.value, np.uint8).reshape(DEPTH, -1)
+        for batch in batches:
+            ts = batch.column(0).to_numpy()
+            for first, last, body, offsets in text_slices(batch.column(1)):
+                text, h = shingles(body, offsets, words)
+                again = estimated(table, h, bits)
+                at = np.searchsorted(text, np.arange(last - first + 1))
+                n = np.diff(at)
+                n_keys = np.maximum(n - least_common(n, similarity) + 1 - np.add.reduceat(~again, at[:-1], dtype=np.int64), 0)
+                rows = []
+                for k in np.flatnonzero(n_keys):
+                    own = h[at[k] : at[k + 1]]
+                    keys = own[again[at[k] : at[k + 1]]][: n_keys[k]]
+                    rows.append((int(ts[first + k]), int(n[k]), keys.view(np.int64), own.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["t", "n", "keys", "held"])
+
+    return texts.select("t", "text").mapInArrow(run, "t long, n long, keys array<long>, held binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for k, (p, q) in enumerate(zip(x, y, strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]))
+                common = int((both[1:] == both[:-1]).sum())
+                good[k] = common >= similarity * (len(both) - common) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in range(2)], names=["a", "b"])
+
+    left, right = sets.select(F.col("t").alias("a"), F.col("held").alias("_x")), sets.select(F.col("t").alias("b"), F.col("held").alias("_y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+
+
+def _simhash_pairs(texts: DataFrame, work: Workspace, words: int) -> DataFrame:
+    """Pairs of texts that SimHash links, through the least text of each fingerprint."""
+    prints = work.save(simhash.document_fingerprints(texts.select(F.col("t").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("t"), "fp"), "prints")
+    least = work.save(prints.groupBy("fp").agg(F.min("t").alias("least")), "least", 16 * prints.count())
+    linked = simhash.links(least.select("fp"), work)
+    far = linked.join(least.select(F.col("fp").alias("a"), F.col("least").alias("_a")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("_b")), "b")
+    return prints.join(least, "fp").where("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b")).unionAll(far.select("_a", "_b"))
+
+
+def classes(docs: DataFrame, work: Workspace, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, _text (a key of the text) and component_id (of texts that chains of pairs connect) per row."""
+    arrow_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)).alias("_text"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = work.save(rows.select(F.col("_text").alias("t"), "text").dropDuplicates(["t"]), "texts")
+    sets = work.save(_open_texts(texts, words, similarity), "sets")
+    nbytes = 32 * sets.count()
+    spread = sets.select("t", "n", F.explode("keys").alias("h"))
+    shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    keys = work.save(spread.join(shared, "h"), "keys")
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+
+    pairs = _simhash_pairs(texts.join(sets.select("t"), "t", "left_semi"), work, words)
+    for k in range(CENTRES):
+        centre = keys.groupBy("h").agg(F.min(F.struct(F.xxhash64("t", F.lit(k)).alias("o"), "t", F.col("n").alias("m"))).alias("x")).select("h", F.col("x.t").alias("b"), F.col("x.m").alias("m"))
+        pairs = pairs.unionAll(keys.join(centre, "h").where((F.col("t") != F.col("b")) & near).select("t", "b"))
+    pairs = work.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first", nbytes)
+    links = work.save(_confirmed(pairs, sets, similarity), "first-links", nbytes)
+    roots = components(links, work)
+
+    named = keys.join(roots, keys["t"] == roots["node"], "left").select("h", "t", "n", F.coalesce("root", "t").alias("root"))
+    open_ = named.groupBy("h").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("h")
+    named = work.save(named.join(open_, "h"), "named")
+    other = named.select("h", F.col("t").alias("b"), F.col("n").alias("m"), F.col("root").alias("_root"))
+    rest = named.join(other, "h").where((F.col("t") < F.col("b")) & (F.col("root") != F.col("_root")) & near).select(F.col("t").alias("a"), "b").distinct()
+    rest = work.save(_confirmed(rest, sets, similarity), "rest-links", nbytes)
+    roots = components(links.unionAll(rest), work)
+    work.drop("texts", "sets", "keys", "named")
+    return rows.select("doc_id", "_text").join(roots, F.col("_text") == F.col("node"), "left").select("doc_id", "_text", F.coalesce("root", "_text").alias("component_id"))
+
+
+def dedup(docs: DataFrame, work: Workspace, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component, with the columns of ``docs``, as ``simhash.dedup`` chooses it."""
+    return simhash.keep_least(docs, classes(docs, work, words, similarity), work)

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from swathkit.llm import bpe, mixing, quality, simhash, substring_dedup, suffix_dedup
+from swathkit.llm import bpe, mixing, quality, similar, simhash, substring_dedup, suffix_dedup
 from swathkit.llm.common import Workspace, components
 
 from .helpers import SCHEMA, corpus, frame, prose, words
@@ -162,6 +162,34 @@ def test_near_dedup_keeps_one_of_each(spark):
     assert simhash.dedup(frame(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def test_near_dedup_stage_finds_all_similar_texts(spark):
+    """Five-word shingles, Jaccard similarity of 0.8 or more, against all pairs."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(7), corpus()
+    for k in range(60):
+        text = prose(500 + k % 12, 40 + 20 * (k % 4)).split()
+        for _ in range(k // 12):
+            text[rng.randrange(len(text))] = "other"
+        rows.append((1000 + k, " ".join(text), "en", "s", 1, "", 0))
+    low = [words((r[1] or "").translate({c: c + 32 for c in range(65, 91)})) for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in low]
+    root, far = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += (fingerprint(rows[i][1]) ^ fingerprint(rows[j][1])).bit_count() > simhash.RADIUS
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    assert far > 10  # SimHash within two bits lets these pass
+    expected = []
+    for r in set(root):
+        expected.append(min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if root[i] == r))
+    found = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == sorted(expected)
+    assert similar.dedup(frame(spark, []), Workspace(spark, "t")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     work = Workspace(spark, "t")
     order = list(range(60))
