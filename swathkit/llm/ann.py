@@ -6,8 +6,9 @@ neighbours of a node, new ones with all, forward and (sampled) reverse ones, and
 nearer than a node's present neighbours, until few edges change. All of it is joins and group-bys
 of Spark; a task holds one node's lists at a time.
 
-Between tables vectors travel as one scale and a signed byte per component; that orders
-candidates. The results' distances are computed from the original vectors in double precision.
+Between tables vectors travel as they are, in 4 or 8 bytes a component by the column's type, and
+candidates are ordered by them. The whole beam of a query is measured again at the end, in double
+precision and without the clipping of components beyond 1e30.
 
 The search keeps a beam per query and expands its nearest nodes that weren't expanded yet, for all
 queries at once, until every beam is done. Adjacency rows hold the neighbours' vectors, and are
@@ -17,13 +18,14 @@ bucketed by node, so that a round shuffles the queries' frontier only.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import FILE_BYTES, Workspace, partitions
 
@@ -31,8 +33,8 @@ from .common import FILE_BYTES, Workspace, partitions
 DEGREE, SAMPLE, ROUNDS, SETTLED = 24, 14, 6, 0.03
 #: Random-hyperplane tables and chunk size of the first graph.
 TABLES, CHUNK = 3, 64
-#: Beam, nodes that a query expands in a round, and candidates measured exactly at the end.
-BEAM, EXPAND, EXACT = 640, 96, 64
+#: Beam, and nodes that a query expands in a round.
+BEAM, EXPAND = 640, 96
 #: Size of the bounded sample of nodes that searches start from, and nodes of it that a query takes.
 ENTRIES, STARTS = 512, 24
 _SEED = 20240
@@ -44,21 +46,13 @@ def usable(column: Column) -> Column:
     return column.isNotNull() & (F.size(column) > 0) & finite & F.exists(column, lambda x: x != 0)
 
 
-def pack(vectors: np.ndarray) -> np.ndarray:
-    """Rows of bytes: a 4-byte scale and a signed byte per component."""
-    scale = np.abs(vectors).max(axis=1, keepdims=True).astype(np.float32) / np.float32(127)
-    scale = np.maximum(scale, np.finfo(np.float32).tiny)
-    codes = np.rint(vectors / scale).clip(-127, 127).astype(np.int8)
-    return np.concatenate([scale.view(np.uint8).reshape(len(vectors), 4), codes.view(np.uint8)], axis=1)
-
-
-def unpack(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw[:, :4]).view(np.float32) * raw[:, 4:].view(np.int8).astype(np.float32)
+def unpack(raw: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(raw).view(kind).astype(np.float64)
 
 
 def _packed(column: pa.Array) -> np.ndarray:
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1) if parts else np.zeros((0, 5), np.uint8)
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1) if parts else np.zeros((0, 8), np.uint8)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -67,6 +61,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b."""
+    if len(a):  # near copies of one vector differ by little of their length
+        a, b = a - a[0], b - a[0]
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
 
 
@@ -104,7 +100,8 @@ class Graph:
 
     def __init__(self, vectors: DataFrame, work: Workspace, members: int, degree: int = DEGREE, rounds: int = ROUNDS) -> None:
         self.spark, self.work, self.degree = vectors.sparkSession, work, degree
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        self.kind = kind = np.float32 if isinstance(vectors.schema["vector"].dataType.elementType, FloatType) else np.float64
         sizes = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
         self.dimension = sizes["n"] if sizes else 1
         rows = vectors.where(F.size("vector") == self.dimension).select("id", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["id", "vector"])
@@ -112,33 +109,33 @@ class Graph:
         rank = F.row_number().over(W.partitionBy("vector").orderBy("id"))
         few = rows.withColumn("_r", rank).where(F.col("_r") <= members)
         nodes = few.groupBy("vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("members"))
-        self.nodes = work.save(nodes.select("id", "vector", "members").mapInArrow(_pack_rows, "id long, vector array<double>, members array<long>, packed binary"), "nodes", 10 * self.dimension * rows.count())
+        self.nodes = work.save(nodes.select("id", "vector", "members").mapInArrow(_pack_rows(kind), "id long, vector array<double>, members array<long>, packed binary"), "nodes", 10 * self.dimension * rows.count())
         self.n = self.nodes.count()
         self.edges = self._descend(self._first(), rounds)
 
     def _first(self) -> DataFrame:
         """Neighbours inside chunks of buckets of random hyperplanes."""
-        bits, dimension, degree = max(0, int(np.log2(max(self.n / CHUNK, 1)))), self.dimension, self.degree
+        bits, dimension, degree, kind = max(0, int(np.log2(max(self.n / CHUNK, 1)))), self.dimension, self.degree, self.kind
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             planes = np.random.default_rng(_SEED).standard_normal((TABLES, max(bits, 1), dimension)).astype(np.float32)
             for batch in batches:
-                x = unpack(_packed(batch.column(1)))
+                x = unpack(_packed(batch.column(1)), kind)
                 for t in range(TABLES):
                     key = ((x @ planes[t].T > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64) * TABLES + t), batch.column(0), batch.column(1)], names=["bucket", "id", "packed"])
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _runs(batches, "bucket"):
-                ids, x = part["id"].to_numpy(), unpack(_packed(part["packed"].combine_chunks()))
-                for lo in range(0, len(ids), CHUNK):  # in the order of buckets, so that chunks mix close ones
+                ids, x = part["id"].to_numpy(), unpack(_packed(part["packed"].combine_chunks()), kind)
+                for lo in range(0, len(ids), CHUNK):  # in another order in each table, so that chunks of one bucket connect
                     own, y = ids[lo : lo + CHUNK], x[lo : lo + CHUNK]
                     d = distances(y, y)
                     i, j = np.nonzero(~np.eye(len(own), dtype=bool))
                     yield _edges(own[i], own[j], d[i, j], degree)
 
         spread = self.nodes.select("id", "packed").mapInArrow(placed, "bucket long, id long, packed binary")
-        return spread.repartition(partitions(self.spark), "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, self.n // 50_000)))).sortWithinPartitions("bucket", "id").mapInArrow(near, "v long, u long, d float")
+        return spread.repartition(partitions(self.spark), "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, self.n // 50_000)))).sortWithinPartitions("bucket", F.xxhash64("id", "bucket")).mapInArrow(near, "v long, u long, d float")
 
     def _merge(self, edges: DataFrame) -> DataFrame:
         """Nearest ``degree`` edges of each node; an edge is new if no source holds it as old."""
@@ -146,7 +143,7 @@ class Graph:
         return once.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("_r") <= self.degree).drop("_r")
 
     def _descend(self, first: DataFrame, rounds: int) -> DataFrame:
-        work, degree, nbytes = self.work, self.degree, 24 * self.degree * self.n
+        work, degree, kind, nbytes = self.work, self.degree, self.kind, 24 * self.degree * self.n
         now = work.save(self._merge(first.withColumn("new", F.lit(1))), "edges-0", nbytes)
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +155,7 @@ class Graph:
 
             for part in _runs(batches, "v"):
                 v, u, fresh, bar = (part[c].to_numpy() for c in ("v", "u", "fresh", "bar"))
-                x = unpack(_packed(part["packed"].combine_chunks()))
+                x = unpack(_packed(part["packed"].combine_chunks()), kind)
                 at = np.append(np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])), len(v))
                 for lo, hi in zip(at[:-1], at[1:], strict=True):
                     isnew = np.flatnonzero(fresh[lo:hi] == 1)
@@ -204,19 +201,22 @@ class Graph:
         lists = both.select("v", "u").distinct().join(self.nodes.select(F.col("id").alias("u"), "packed"), "u")
         grouped = lists.groupBy(F.col("v").alias("node")).agg(F.collect_list(F.struct("u", "packed")).alias("near"))
         name = f"sk_adjacency_{uuid.uuid4().hex}"
-        row = self.degree * (self.dimension + 12) * 2
+        row = self.degree * (self.dimension * np.dtype(self.kind).itemsize + 12) * 2
         files = max(2 * self.spark.sparkContext.defaultParallelism, -(-self.n * row // FILE_BYTES))
         grouped.repartition(files, "node").write.bucketBy(files, "node").format("parquet").saveAsTable(name)
         return name
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = batch.column(1)
-        flat = column.flatten().to_numpy()
-        x = flat.reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 1))
-        # Doubles beyond a float's range keep their direction.
-        yield pa.RecordBatch.from_arrays([batch.column(0), column, batch.column(2), _binary(pack(np.clip(x, -1e30, 1e30).astype(np.float32)))], names=["id", "vector", "members", "packed"])
+def _pack_rows(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat = column.flatten().to_numpy()
+            x = flat.reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 1))
+            # Components beyond 1e30 keep their direction.
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, batch.column(2), _binary(np.clip(x, -1e30, 1e30).astype(kind))], names=["id", "vector", "members", "packed"])
+
+    return run
 
 
 def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
@@ -224,7 +224,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
 
     A row of the index with the id of the query is not a candidate of it.
     """
-    spark, work = graph.spark, graph.work
+    spark, work, kind = graph.spark, graph.work, graph.kind
     asked = work.save(queries.where(F.size("vector") == graph.dimension).select("query", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["query"]), "queries", graph.n * graph.dimension)
     sample = graph.nodes.orderBy(F.xxhash64("id", F.lit(_SEED)), "id").limit(ENTRIES).select("id", "packed").collect()  # bounded by ENTRIES
     entries = spark.sparkContext.broadcast(([r["id"] for r in sample], b"".join(bytes(r["packed"]) for r in sample)))
@@ -234,8 +234,8 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
         for batch in batches:
             if not batch.num_rows or not ids:
                 continue
-            y = unpack(np.frombuffer(raw, np.uint8).reshape(len(ids), -1))
-            x = np.clip(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), -1e30, 1e30).astype(np.float32)
+            y = unpack(np.frombuffer(raw, np.uint8).reshape(len(ids), -1), kind)
+            x = np.clip(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), -1e30, 1e30)
             d = distances(x, y)
             best = np.argsort(d, axis=1, kind="stable")[:, :STARTS]
             query = np.repeat(batch.column(0).to_numpy(), best.shape[1])
@@ -246,8 +246,8 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
             near = batch.column(2)
             count = near.value_lengths().to_numpy()
             flat = near.flatten()
-            y = unpack(_packed(flat.field(1)))
-            x = np.clip(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), -1e30, 1e30).astype(np.float32)
+            y = unpack(_packed(flat.field(1)), kind)
+            x = np.clip(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), -1e30, 1e30)
             x = np.repeat(x, count, axis=0)
             d = ((x - y) ** 2).sum(1)
             query, node = np.repeat(batch.column(0).to_numpy(), count), flat.field(0).to_numpy()
@@ -276,7 +276,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
         work.drop(f"beam-{k_round - 1}", f"frontier-{k_round}")
         now = after
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    best = now.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= max(EXACT, 4 * k)).select("query", "node")
+    best = now.select("query", "node")
     exact = best.join(asked.withColumnRenamed("vector", "_x"), "query").join(graph.nodes.select(F.col("id").alias("node"), F.col("vector").alias("_y"), "members"), "node")
     score = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     rows = exact.select("query", score.alias("score"), F.explode("members").alias("id")).where("id <> query")

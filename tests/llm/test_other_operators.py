@@ -38,6 +38,20 @@ def test_nearest_neighbours(spark):
     assert {r["query_id"] for r in got} == {k for k in good if k % 50 == 0} and hits / n >= 0.95
 
 
+def test_nearest_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(8)
+    one = rng.standard_normal(64)
+    x = one / np.linalg.norm(one) + 1e-4 * rng.standard_normal((1200, 64))
+    x[:, 0] += 5  # one dominant component
+    got = ann.neighbours(vectors(spark, [(k, list(map(float, v)), "") for k, v in enumerate(x)]), Workspace(spark, "t"), every=40, k=10).collect()
+    hits = 0
+    for q in range(0, 1200, 40):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits / 300 >= 0.9
+
+
 def test_nearest_neighbours_of_few_rows(spark):
     few = vectors(spark, [(0, [1.0, 0.0], ""), (1, [1.0, 0.0], ""), (2, [0.0, 2.0], "")])
     got = ann.neighbours(few, Workspace(spark, "t"), every=2, k=10).orderBy("query_id", "rank").collect()
