@@ -1,8 +1,9 @@
 """NumPy kernels over the buffers of Arrow string columns.
 
-Nulls count as empty texts everywhere. Hashes of spans come from prefix sums of
-``table[byte] * base**i`` modulo 2**64, so that the hash of any span of a slice costs one
-subtraction and one multiplication; ``base`` is odd and so has an inverse.
+Nulls count as empty texts everywhere. Keys that decide anything have 128 bits: spans of bytes
+have their XXH3 digest, and windows of a fixed number of digests are joined pair by pair, twice as
+wide at each step, by a function that is scrambled at every step. Nothing in a key is linear, so
+that no family of texts (Thue-Morse words, say) collides by algebra.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Texts are handled in slices of about this many bytes; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Texts are handled in slices of about this many bytes, which keeps their arrays in cache; a longer text makes a slice of its own.
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -74,6 +76,9 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+_ROOT = np.uint64(0x243F6A8885A308D3)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit values one to one."""
     h = h ^ (h >> np.uint64(32))
@@ -84,53 +89,128 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class SpanHasher:
-    """Hashes of spans of a sequence of small integers (bytes) or of 64-bit values."""
-
-    def __init__(self, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self._up = np.ones(1, np.uint64)
-        self._down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self._up) >= n:
-            return
-        n = max(n, SLICE_BYTES + 1)
-        for name, base in (("_up", self.base), ("_down", self.inverse)):
-            p = np.full(n, base & (2**64 - 1), dtype=np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            setattr(self, name, p)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums, one longer than the values."""
-        n = len(values)
-        self._powers(n + 1)
-        own = self.table[values] if values.dtype == np.uint8 else values | np.uint64(1)
-        out = np.zeros(n + 1, np.uint64)
-        np.multiply(own, self._up[:n], out=out[1:])
-        np.add.accumulate(out, out=out)
-        return out
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value of two, not alike for (b, a); one to one in each of them while the other is fixed."""
+    h = a ^ (a >> np.uint64(32))
+    h *= np.uint64(0x9FB21C651E98DF25)
+    h += b
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * self._down[starts])
 
-    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
-        """Hash of the span of ``width`` values at each place."""
-        n = max(len(prefix) - width, 0)
-        return mix((prefix[width : width + n] - prefix[:n]) * self._down[:n])
+def window_keys(values: np.ndarray, width: int) -> np.ndarray:
+    """Key of each run of ``width`` 64-bit values: of two halves, which may overlap."""
+    n = max(len(values) - width + 1, 0)
+    out, have = values, 1
+    while 2 * have <= width and n:
+        out = joined(out[: len(out) - have], out[have:])
+        have *= 2
+    if have < width and n:
+        out = joined(out[:n], out[width - have : width - have + n])
+    return out[:n]
+
+
+def byte_windows(body: np.ndarray, width: int) -> np.ndarray:
+    """Key of each run of ``width`` bytes; ``width`` is 8 times a power of two."""
+    n = max(len(body) - width + 1, 0)
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw, eights = body.tobytes(), np.empty(len(body) - 7, np.uint64)
+    for k in range(8):
+        own = eights[k::8]
+        own[:] = np.frombuffer(raw, "<u8", len(own), k)
+    out, have = mix(eights), 8
+    while have < width:
+        out = joined(out[: len(out) - have], out[have:])
+        have *= 2
+    return out
+
+
+def _eight(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at]).view("<u8").reshape(-1)
+
+
+def span_digests(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two values, of each span of bytes.
+
+    Up to 16 bytes these are two scrambled forms of (first eight bytes, last eight bytes, length),
+    which tell any two such spans apart; longer spans have their XXH3 digest.
+    """
+    padded = np.concatenate([body, np.zeros(16, np.uint8)])
+    length = ends - starts
+    first = _eight(padded, starts)
+    room = np.where(length < 8, (8 - length) * 8, 0).astype(np.uint64)  # bits after a short span
+    first = np.where(length > 0, (first << room) >> room, 0).astype(np.uint64)
+    last = np.where(length > 8, _eight(padded, np.maximum(ends - 8, 0)), 0).astype(np.uint64)
+    size = length.astype(np.uint64)
+    one, two = joined(joined(first, last), size), joined(joined(size + _ROOT, last), mix(first + _ROOT))
+    long = np.flatnonzero(length > 16)
+    if len(long):
+        raw, digest = body.tobytes(), xxhash.xxh3_128_digest
+        keys = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), "<u8").reshape(-1, 2)
+        one[long], two[long] = keys[:, 0], keys[:, 1]
+    return one, two
+
+
+#: Fixed values of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by)
+
+
+def xxh64(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each span: all spans below 32 bytes step by step together, longer ones by the library."""
+    padded, length = np.concatenate([body, np.zeros(8, np.uint8)]), ends - starts
+    h = np.full(len(starts), seed, np.uint64) + _P5 + length.astype(np.uint64)
+    at = starts.copy()
+    for _ in range(3):
+        more = ends - at >= 8
+        h = np.where(more, _rotated(h ^ _rotated(_eight(padded, at) * _P2, 31) * _P1, 27) * _P1 + _P4, h)
+        at += more * 8
+    more = ends - at >= 4
+    h = np.where(more, _rotated(h ^ (_eight(padded, at) & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3, h)
+    at += more * 4
+    for _ in range(3):
+        more = ends > at
+        h = np.where(more, _rotated(h ^ padded[at].astype(np.uint64) * _P5, 11) * _P1, h)
+        at += more
+    for by, factor in ((33, _P2), (29, _P3)):
+        h ^= h >> np.uint64(by)
+        h *= factor
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(length >= 32)
+    if len(long):
+        raw, digest = body.tobytes(), xxhash.xxh64_intdigest
+        h[long] = np.fromiter((digest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
 
 
-#: Two independent hashers; together they give keys of 128 bits.
-FIRST, SECOND = SpanHasher(0x5EED1), SpanHasher(0x5EED2)
+#: For each byte, a 64-bit number with its bits in eight bytes, the highest bit in the lowest byte.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view("<u8").reshape(-1)
 
 
-def window_hashes(hasher: SpanHasher, words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` values of ``words``."""
-    return hasher.windows(hasher.prefix(words), width)
+def majority_bits(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For runs of ``count`` values each, the bits that over half of a run have set; zero for an empty run."""
+    out = np.zeros(len(count), np.uint64)
+    some = np.flatnonzero(count)
+    if not len(some):
+        return out
+    n = count[some]
+    pieces = -(-n // 255)  # sums of up to 255 ones fit in a byte
+    first = np.cumsum(n) - n
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(first, pieces) + piece * 255
+    owner = np.cumsum(pieces) - pieces
+    for byte in range(8):
+        sums = np.add.reduceat(_SPREAD[(h >> np.uint64(8 * byte)) & np.uint64(255)], begin)
+        ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), owner, axis=0, dtype=np.int64)
+        out[some] |= np.packbits(2 * ones > n[:, None], axis=1).reshape(-1).astype(np.uint64) << np.uint64(8 * byte)
+    return out
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from ._kernels import mix, text_slices
 from .common import partitions
 
-DEPTH, LEAST_BITS, MOST_BITS, SLICE_BITS = 2, 16, 28, 16
+DEPTH, LEAST_BITS, MOST_BITS, BLOCK_BITS = 2, 16, 28, 16
+#: Rows that a part's sketch has for each row of counters, at most, whatever its width.
+SLICES = 32
 #: Hashes that a task holds before it hands its sketch on.
 FLUSH = 1_000_000
 
@@ -34,15 +36,34 @@ def counters(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _slices(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A part's sketch, cut into slices: counters that hold one, and those that hold more."""
+    """A part's sketch, cut into at most ``SLICES`` slices a row: counters that hold one, and those that hold more.
+
+    A slice lists, for each 2**16 counters, how many there are, and then their places.
+    """
+    wide = _blocks(bits)
     for row in range(DEPTH):
         at, count = np.unique(counters(hashes, row, bits), return_counts=True)
-        slice_of, inner = at >> SLICE_BITS, (at & ((1 << SLICE_BITS) - 1)).astype(np.uint16)
-        cuts = np.flatnonzero(np.concatenate([[True], slice_of[1:] != slice_of[:-1]])) if len(at) else []
-        edges = [*cuts, len(at)]
-        rows = [(row, int(slice_of[a]), inner[a:b][count[a:b] == 1].tobytes(), inner[a:b][count[a:b] > 1].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, wide << BLOCK_BITS))
+        rows = []
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a < b:
+                lists = [row, k]
+                for chosen in (at[a:b][count[a:b] == 1], at[a:b][count[a:b] > 1]):
+                    lists += [np.bincount((chosen >> BLOCK_BITS) - k * wide, minlength=wide).astype(np.uint32).tobytes(), (chosen & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes()]
+                rows.append(lists)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["row", "slice", "ones", "more"])
+            types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["row", "slice", "ones_n", "ones", "more_n", "more"])
+
+
+def _blocks(bits: int) -> int:
+    """Blocks of 2**BLOCK_BITS counters in a slice."""
+    return max((1 << (bits - BLOCK_BITS)) // SLICES, 1)
+
+
+def _places(number: bytes, inner: bytes) -> np.ndarray:
+    n = np.frombuffer(number, np.uint32)
+    return np.repeat(np.arange(len(n)), n) << BLOCK_BITS | np.frombuffer(inner, np.uint16)
 
 
 def of_texts(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
@@ -71,30 +92,32 @@ def merged_sketch(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch],
         if n:
             yield from _slices(np.concatenate(held), bits)
 
+    wide = _blocks(bits)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, np.zeros(1 << SLICE_BITS, np.uint8)
+        now, counts = None, np.zeros(wide << BLOCK_BITS, np.uint8)
 
         def packed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], names=["row", "slice", "twice"])
 
         for batch in batches:
-            for row, part, ones, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, part, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != (row, part):
                     if now is not None:
                         yield packed()
                     now = (row, part)
                     counts[:] = 0
-                one = np.frombuffer(ones, np.uint16)
+                one = _places(*lists[:2])
                 counts[one] = np.minimum(counts[one] + 1, 2)
-                counts[np.frombuffer(more, np.uint16)] = 2
+                counts[_places(*lists[2:])] = 2
         if now is not None:
             yield packed()
 
-    parts = rows.mapInArrow(count, "row int, slice int, ones binary, more binary")
+    parts = rows.mapInArrow(count, "row int, slice int, ones_n binary, ones binary, more_n binary, more binary")
     merged = parts.repartition(partitions(rows.sparkSession), "row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, twice binary")
-    width = 1 << (SLICE_BITS - 3)
+    width = wide << (BLOCK_BITS - 3)
     out = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # at most DEPTH * SLICES rows, together at most DEPTH << MOST_BITS bits: 64 MiB
         out[row["row"], row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["twice"], np.uint8)
     return out
 

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Aimed size of the files of a saved table.
@@ -59,6 +59,26 @@ class Workspace:
         jvm.System.gc()
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def text_key(text: Column) -> Column:
+    """64 bits that tell texts of one doc_id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7))
+
+
+def carried(df: DataFrame, *without: str) -> Column:
+    """All columns of a row in one struct, ``_row``, so that no name can clash on the way."""
+    return F.struct(*[named(c) for c in df.columns if c not in without]).alias("_row")
+
+
+def restored(rows: DataFrame, columns: list[str], **new: Column | None) -> DataFrame:
+    """The columns of ``_row`` again, those in ``new`` with another value."""
+    return rows.select(*[(new[c] if new.get(c) is not None else F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch to a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

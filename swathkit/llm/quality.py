@@ -1,10 +1,11 @@
 """Quality rules with cross-document line frequency per host.
 
 Lines are normalised (lower case, white space runs to one space, trimmed) and hashed; for each
-host (the ``source`` of a document) the number of distinct documents that hold a line is counted,
-exact copies of a text being one document. Lines held by more than ``share`` of a host's
-documents, and by at least ``least`` of them, are removed; a document is rejected when that takes
-more than half of its words, or when it fails a base rule.
+host (the ``source`` of a document) the number of distinct documents that hold a line is counted.
+A line goes from a document if ``limit`` or more other documents of the host hold it, at whatever
+size the host has; a document is rejected when that takes more than half of its words, or when it
+fails a base rule. Exact copies of a document count as documents for every other one, but don't
+count against the document itself: a text is not boilerplate for having been copied.
 """
 
 from __future__ import annotations
@@ -16,24 +17,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import FIRST, SECOND, text_slices, window_hashes, word_spans
-from .common import WORD_PATTERN, Workspace, arrow_batches
+from ._kernels import span_digests, text_slices, window_keys, word_spans
+from .common import WORD_PATTERN, Workspace, arrow_batches, carried, restored, text_key
 
-#: Share of a host's distinct documents, and number of them, above which a line is boilerplate.
-LINE_SHARE, LINE_LEAST = 0.10, 10
+#: Other documents of a host that make a line boilerplate when they hold it too.
+LINE_LIMIT = 20
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
 _STATS = pa.schema([("_doc", pa.int64()), ("_host", pa.string()), ("_text", pa.int64())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 
 
-def _repeated(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Marks each (owner, key) that is there twice or more."""
-    order = np.lexsort((keys, owner))
-    o, k = owner[order], keys[order]
-    same = np.zeros(len(o) + 1, dtype=bool)
-    same[1:-1] = (o[1:] == o[:-1]) & (k[1:] == k[:-1])
-    out = np.empty(len(o), dtype=bool)
+def _repeated(*keys: np.ndarray) -> np.ndarray:
+    """Marks each entry whose keys are all there twice or more."""
+    order = np.lexsort(keys)
+    same = np.zeros(len(order) + 1, dtype=bool)
+    same[1:-1] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    out = np.empty(len(order), dtype=bool)
     out[order] = same[1:] | same[:-1]
     return out
 
@@ -52,15 +52,14 @@ def text_stats(body: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     n_symbols = sums[offsets[1:]] - sums[offsets[:-1]]
     owner = np.repeat(np.arange(n), n_words)
     # Windows of three words that are found again in their text.
-    prefix, prefix2 = FIRST.prefix(body), SECOND.prefix(body)
-    words = FIRST.spans(prefix, starts, ends)
-    grams = window_hashes(FIRST, words, 3)
+    one, two = span_digests(body, starts, ends)
+    grams, grams2 = window_keys(one, 3), window_keys(two, 3)
     n_repeat = np.zeros(n, np.int64)
     if len(grams):
         inside = owner[2:] == owner[:-2]
         again = np.zeros(len(grams), dtype=bool)
-        again[inside] = _repeated(owner[: len(grams)][inside], grams[inside])
-        covered = np.zeros(len(words), dtype=bool)
+        again[inside] = _repeated(grams2[inside], grams[inside], owner[: len(grams)][inside])
+        covered = np.zeros(len(one), dtype=bool)
         for k in range(3):
             covered[k : k + len(again)] |= again
         n_repeat = np.bincount(owner[covered], minlength=n)
@@ -76,7 +75,7 @@ def text_stats(body: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     begin, stop, line_of = begin[with_word], stop[with_word], line_of[with_word]
     n_dup = np.zeros(n, np.int64)
     if len(begin):
-        key, key2 = FIRST.spans(prefix, begin, stop), SECOND.spans(prefix2, begin, stop)
+        key, key2 = span_digests(body, begin, stop)
         order = np.lexsort((begin, key2, key, line_of))
         same = (line_of[order][1:] == line_of[order][:-1]) & (key[order][1:] == key[order][:-1]) & (key2[order][1:] == key2[order][:-1])
         n_dup = np.bincount(line_of[order][1:][same], minlength=n)
@@ -94,39 +93,42 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
-def text_key(text: Column) -> Column:
-    """Tells texts of one doc_id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7))
-
-
 def document_lines(docs: DataFrame) -> DataFrame:
     """_doc, _host, _text, _at, _line: the lines with a word; _line is a digest of 128 bits."""
     lines = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("source", F.lit("")).alias("_host"), text_key(F.col("text")).alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_at", "_raw")).where(F.col("_raw").rlike(WORD_PATTERN))
     return lines.select("_doc", "_host", "_text", "_at", F.unhex(F.md5(normalised(F.col("_raw")))).alias("_line"), F.regexp_count("_raw", F.lit(WORD_PATTERN)).cast("long").alias("_n"))
 
 
-def boilerplate(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_LEAST) -> DataFrame:
-    """(_host, _line) of the lines above the limits; every count is over all documents."""
+def boilerplate(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(_host, _line, _held) of the lines that more than ``limit`` documents hold; over all documents."""
     lines = document_lines(docs)
-    # Two combining aggregations: one row per line and text, then one per line.
-    held = lines.groupBy("_host", "_line", "_text").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_held")).where(F.col("_held") >= least)
-    size = docs.select(F.coalesce("source", F.lit("")).alias("_h"), text_key(F.col("text")).alias("_t")).groupBy("_h", "_t").agg(F.lit(1).alias("_one")).groupBy("_h").agg(F.count(F.lit(1)).alias("_of"))
-    return held.join(size, F.col("_host") == F.col("_h")).where(F.col("_held") > share * F.col("_of")).select("_host", "_line")
+    # Two combining aggregations: one row per line and document, then one per line.
+    held = lines.groupBy("_host", "_line", "_doc", "_text").agg(F.lit(1).alias("_one")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_held"))
+    return held.where(F.col("_held") > limit)
+
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(_h, _t, _copies) of the texts that more than one document of a host has."""
+    own = docs.select(F.coalesce("source", F.lit("")).alias("_h"), text_key(F.col("text")).alias("_t"), F.col("doc_id").alias("_d"))
+    return own.groupBy("_h", "_t", "_d").agg(F.lit(1).alias("_one")).groupBy("_h", "_t").agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1)
 
-def judge(docs: DataFrame, work: Workspace, share: float = LINE_SHARE, least: int = LINE_LEAST) -> DataFrame:
-    """One row per row of ``docs``: _doc, _text, the counts, n_line_words (words of removed lines),
-    _cut (their places), base_failed and kept.
+
+def judge(docs: DataFrame, work: Workspace, limit: int = LINE_LIMIT) -> DataFrame:
+    """One row per row of ``docs``: _doc, _host, _text, the counts, n_line_words (words of removed
+    lines), _cut (their places), base_failed and kept.
 
     Null and empty texts have no words and fail the base rules; null sources are one host; null
-    doc_ids are kept as they are. Rows that repeat entirely get the same verdict. An empty table
-    gives an empty result; columns other than doc_id, text and source are not read.
+    doc_ids are kept as they are and told apart by their texts. Rows that repeat entirely are one
+    document and get the same verdict. Long texts are read whole. An empty table gives an empty
+    result; columns other than doc_id, text and source are not read.
     """
     arrow_batches(docs.sparkSession)
-    limit = work.save(boilerplate(docs, share, least), "boilerplate")
-    # The limit table holds at most 1/share lines for each line of a mean document of a host; it is
-    # broadcast only where Spark knows it to be below its size limit.
-    cut = document_lines(docs).join(limit, ["_host", "_line"]).groupBy("_doc", "_host", "_text", "_at").agg(F.first("_n").alias("_n"))
+    docs = docs.select("doc_id", "text", "source")
+    above = work.save(boilerplate(docs, limit), "boilerplate")
+    # Both tables may be of any size: they are broadcast only where Spark knows them to be below its size limit.
+    cut = document_lines(docs).join(above, ["_host", "_line"])
+    cut = cut.join(copies(docs), (F.col("_host") == F.col("_h")) & (F.col("_text") == F.col("_t")), "left").where(F.col("_held") - F.coalesce("_copies", F.lit(1)) >= limit)
+    cut = cut.groupBy("_doc", "_host", "_text", "_at").agg(F.first("_n").alias("_n"))
     cut = cut.groupBy("_doc", "_host", "_text").agg(F.sum("_n").alias("n_line_words"), F.collect_list("_at").alias("_cut"))
     cut = cut.select(F.col("_doc").alias("_d"), F.col("_host").alias("_h"), F.col("_text").alias("_t"), "n_line_words", "_cut")
     stats = docs.select("doc_id", F.coalesce("source", F.lit("")), text_key(F.col("text")), "text").mapInArrow(_stats, "_doc long, _host string, _text long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
@@ -137,16 +139,18 @@ def judge(docs: DataFrame, work: Workspace, share: float = LINE_SHARE, least: in
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def clean(docs: DataFrame, work: Workspace, share: float = LINE_SHARE, least: int = LINE_LEAST) -> DataFrame:
+def clean(docs: DataFrame, work: Workspace, limit: int = LINE_LIMIT) -> DataFrame:
     """The documents that pass, without their boilerplate lines, with the columns of ``docs``.
 
-    n_chars, where there is one, counts the code points of the new text.
+    n_chars, where there is one, counts the code points of the new text. Other columns, whatever
+    their names, come back as they are; nulls, empty and long texts, repeated rows and empty
+    tables are judged as ``judge`` says, and every row of a kept document stays.
     """
-    verdict = judge(docs, work, share, least).where("kept").select(F.col("_doc").alias("_d"), F.col("_host").alias("_h"), F.col("_text").alias("_t"), "_cut").dropDuplicates(["_d", "_h", "_t"])
-    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.coalesce(docs["source"], F.lit("")) == F.col("_h")) & (text_key(docs["text"]) == F.col("_t")))
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda line, at: ~F.array_contains(F.col("_cut"), at))
-    text = F.when(F.col("_cut").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    new = {"text": text, "n_chars": F.when(F.col("_cut").isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
-    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
-
-
+    verdict = judge(docs, work, limit).where("kept").select("_doc", "_host", "_text", "_cut").dropDuplicates(["_doc", "_host", "_text"])
+    rows = docs.select(carried(docs), F.col("doc_id").alias("_d"), F.coalesce("source", F.lit("")).alias("_h"), text_key(F.col("text")).alias("_t"))
+    rows = rows.join(verdict, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_host")) & (F.col("_t") == F.col("_text")))
+    old = F.col("_row").getField("text")
+    kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda line, at: ~F.array_contains(F.col("_cut"), at)), "\n")
+    text = F.when(F.col("_cut").isNull(), old).otherwise(kept)
+    n_chars = F.when(F.col("_cut").isNull(), F.col("_row").getField("n_chars")).otherwise(F.length(kept).cast("long")) if "n_chars" in docs.columns else None
+    return restored(rows, docs.columns, text=text, n_chars=n_chars)

@@ -81,13 +81,12 @@ g AS (SELECT rid, i, word AS a, lead(word, 1) OVER p AS b, lead(word, 2) OVER p
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
 cover AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
 counts AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rid),
-raw AS (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-lines AS (SELECT rid, host, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+raw AS (SELECT rid, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT rid, doc_id, host, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-held AS (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY host, norm),
-hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-over AS (SELECT held.host, norm FROM held JOIN hosts USING (host) WHERE held.n >= 10 AND held.n > 0.10 * hosts.n),
-cut AS (SELECT rid, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM lines JOIN over USING (host, norm) GROUP BY rid),
+held AS (SELECT host, norm, count(*) AS n FROM (SELECT DISTINCT host, norm, doc_id, text FROM lines) GROUP BY host, norm),
+copies AS (SELECT host, text, count(*) AS n FROM (SELECT DISTINCT host, text, doc_id FROM d) GROUP BY host, text),
+cut AS (SELECT rid, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM lines JOIN held USING (host, norm) JOIN copies USING (host, text) WHERE held.n - copies.n >= 20 GROUP BY rid),
 s AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
   coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(cut.n, 0)::BIGINT AS n_line_words

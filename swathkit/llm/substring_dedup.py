@@ -16,7 +16,8 @@ document is the first for each window. For anchors with several, the first docum
 are grouped window by window; they are picked out of the texts by a second bit table, of (anchor,
 surroundings, document), whose false hits cost a little work and change nothing.
 
-Both tables are bounded (see ``_sketch``) and the only data that is broadcast.
+Surroundings and windows are compared by keys of 128 bits, texts of one doc_id are told apart by
+64 bits of their own. Both tables are bounded (see ``_sketch``) and the only data that is broadcast.
 """
 
 from __future__ import annotations
@@ -29,33 +30,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import FIRST, SECOND, mix, sliding_argmin, text_slices, window_hashes, word_spans
+from ._kernels import mix, sliding_argmin, span_digests, text_slices, window_keys, word_spans
 from ._sketch import DEPTH, estimated, merged_sketch, of_texts, sketch_bits
-from .common import Workspace, arrow_batches
+from .common import Workspace, arrow_batches, text_key
 
 WINDOW, GRAM = 13, 8
 #: Bytes of prose per anchor: 6.6 for a word, 3.5 words to an anchor.
 ANCHOR_BYTES = 23
 
 
+#: Words that the surroundings of an anchor have before it, and in all.
+BEFORE, AROUND = WINDOW - GRAM, 2 * WINDOW - GRAM
+
+
 class Windows:
-    """The windows of a slice of texts, in runs that share an anchor."""
+    """The windows of a slice of texts, in runs that share an anchor.
+
+    Words are kept with ``BEFORE`` empty places before, between and behind texts, so that
+    surroundings have the same width everywhere and end where their text does.
+    """
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray) -> None:
         starts, ends, self.of = word_spans(body, offsets)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.of))
-        self.spans = (body, starts, ends)
-        self.words = FIRST.spans(FIRST.prefix(body), starts, ends)
-        grams = window_hashes(FIRST, self.words, GRAM)
-        inside = owner[WINDOW - 1 :] == owner[: max(len(owner) - WINDOW + 1, 0)]
-        window = np.flatnonzero(inside)
-        anchor = sliding_argmin(grams, WINDOW - GRAM + 1)[window]
+        at = np.arange(len(owner)) + BEFORE * (owner + 1)
+        self.words = np.zeros((2, len(owner) + BEFORE * len(offsets)), np.uint64)
+        self.words[:, at] = span_digests(body, starts, ends)
+        grams = window_keys(self.words[0], GRAM)
+        window = np.flatnonzero(owner[WINDOW - 1 :] == owner[: max(len(owner) - WINDOW + 1, 0)])
+        anchor = sliding_argmin(grams, WINDOW - GRAM + 1)[at[window]]
         new = np.ones(len(anchor), dtype=bool)
         new[1:] = anchor[1:] != anchor[:-1]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(anchor)) - 1 if len(first) else first
         self.anchor, self.owner = anchor[first], owner[window[first]]
-        self.low, self.high = window[first], window[last]
+        self.low, self.high = window[first], window[last]  # counted without the empty places
         self.hash = grams[self.anchor]
 
     def keep(self, chosen: np.ndarray) -> None:
@@ -63,21 +72,16 @@ class Windows:
         for name in ("anchor", "owner", "low", "high", "hash"):
             setattr(self, name, getattr(self, name)[chosen])
 
-    def surroundings(self) -> np.ndarray:
-        """Key of each run's surroundings, cut at the ends of its text; with the anchor's hash it has 128 bits."""
-        body, starts, ends = self.spans
-        left = np.maximum(self.anchor - (WINDOW - GRAM), self.of[self.owner])
-        right = np.minimum(self.anchor + WINDOW, self.of[self.owner + 1])
-        cut = ((self.anchor - left) * 64 + (right - self.anchor)).astype(np.uint64)
-        self.other = SECOND.spans(SECOND.prefix(body), starts, ends)
-        return mix(SECOND.spans(SECOND.prefix(self.other), left, right) ^ cut)
-
-    def each(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Run, place and two 64-bit keys of every window (after ``surroundings``)."""
+    def surroundings(self) -> list[np.ndarray]:
+        """Two 64-bit keys of each run's surroundings, cut at the ends of its text."""
+        return [window_keys(w, AROUND)[self.anchor - BEFORE] for w in self.words]
+
+    def each(self) -> tuple[np.ndarray, ...]:
+        """Run, place and two 64-bit keys of every window."""
         n = self.high - self.low + 1
         run = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + self.low[run]
-        return run, at, window_hashes(FIRST, self.words, WINDOW)[at], window_hashes(SECOND, self.other, WINDOW)[at]
+        return run, at, *(window_keys(w, WINDOW)[at + BEFORE * (self.owner[run] + 1)] for w in self.words)
 
 
 def _of_document(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -86,37 +90,36 @@ def _of_document(gram: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.nd
 
 
 def removed_words(docs: DataFrame, work: Workspace, bits: int | None = None) -> DataFrame:
-    """(doc, mark, places): runs (low, n) of first words of windows to remove, for each document that has one.
-
-    ``mark`` tells texts of one doc_id apart, by 24 bits of a hash.
-    """
+    """(doc, key, places): runs (low, n) of first words of windows to remove, for each document that
+    has one; ``key`` tells texts of one doc_id apart."""
     spark = docs.sparkSession
     arrow_batches(spark)
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bits = sketch_bits(total / ANCHOR_BYTES) if bits is None else bits
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", _mark().alias("mark"), "text")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", text_key(F.col("text")).alias("key"), "text")
     twice = spark.sparkContext.broadcast(merged_sketch(known.select("text"), bits, of_texts(lambda body, offsets: Windows(body, offsets).hash)).tobytes())
 
     def runs(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """Windows that the sketch estimates to be repeated, with their documents and marks."""
+        """Windows that the sketch estimates to be repeated, with their documents and keys."""
         table = np.frombuffer(twice.value, np.uint8).reshape(DEPTH, -1)
-        doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, last, body, offsets in text_slices(batch.column(2)):
             w = Windows(body, offsets)
             w.keep(estimated(table, w.hash, bits))
-            yield w, w.surroundings(), doc[first:last][w.owner], mark[first:last][w.owner]
+            yield w, w.surroundings(), doc[first:last][w.owner], key[first:last][w.owner]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, around, doc, mark in runs(batch):
-                place = (w.low - w.of[w.owner]) << 32 | (w.high - w.low + 1) << 24 | mark
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash.view(np.int64), around.view(np.int64), doc, place)], names=["gram", "around", "doc", "place"])
+            for w, around, doc, key in runs(batch):
+                place = (w.low - w.of[w.owner]) << 8 | (w.high - w.low + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash.view(np.int64), *(x.view(np.int64) for x in around), doc, key, place)], names=["gram", "around", "around2", "doc", "key", "place"])
 
     # Step 1: surroundings that an earlier document has; anchors with several kinds stay open.
-    found = work.save(known.mapInArrow(contexts, "gram long, around long, doc long, place long"), "around")
-    classes = work.save(found.groupBy("gram", "around").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "classes", total // 4)
-    shared = classes.where("least < most").select("gram", "around", "least")
-    settled = work.save(found.join(shared, ["gram", "around"]).where("doc > least").select("doc", "place"), "settled", total // 8)
+    same = ["around", "around2"]
+    found = work.save(known.mapInArrow(contexts, "gram long, around long, around2 long, doc long, key long, place long"), "around")
+    classes = work.save(found.groupBy("gram", *same).agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "classes", total // 4)
+    shared = classes.where("least < most").select(*same, "least")
+    settled = work.save(found.join(shared, same).where("doc > least").select("doc", "key", "place"), "settled", total // 8)
     work.drop("around")
     several = work.save(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several", total // 16)
     left = work.save(classes.join(several, "gram").select("gram", "around", "least"), "left", total // 16)
@@ -127,30 +130,25 @@ def removed_words(docs: DataFrame, work: Workspace, bits: int | None = None) ->
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(held.value, np.uint8).reshape(DEPTH, -1)
         for batch in batches:
-            for w, around, doc, mark in runs(batch):
-                chosen = estimated(table, _of_document(w.hash, around, doc), open_bits)
+            for w, around, doc, key in runs(batch):
+                chosen = estimated(table, _of_document(w.hash, around[0], doc), open_bits)
                 w.keep(chosen)
-                doc, mark = doc[chosen], mark[chosen]
+                doc, key = doc[chosen], key[chosen]
                 run, at, one, two = w.each()
-                place = (at - w.of[w.owner[run]]) << 32 | 1 << 24 | mark[run]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), doc[run], place)], names=["one", "two", "doc", "place"])
+                place = (at - w.of[w.owner[run]]) << 8 | 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), doc[run], key[run], place)], names=["one", "two", "doc", "key", "place"])
 
     # Step 2: windows one by one, their smallest document combined before the shuffle.
-    each = work.save(known.mapInArrow(windows, "one long, two long, doc long, place long"), "each")
+    each = work.save(known.mapInArrow(windows, "one long, two long, doc long, key long, place long"), "each")
     least = each.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("one", "two", "least")
-    later = each.join(least, ["one", "two"]).where("doc > least").select("doc", "place")
-    gone = settled.unionByName(later)
-    run = F.struct(F.shiftright("place", 32).cast("int").alias("low"), F.shiftright("place", 24).bitwiseAND(255).cast("int").alias("n"))
-    places = gone.groupBy("doc", F.col("place").bitwiseAND((1 << 24) - 1).alias("mark")).agg(F.collect_list(run).alias("places"))
-    out = work.save(places, "places", total // 8)
+    later = each.join(least, ["one", "two"]).where("doc > least").select("doc", "key", "place")
+    run = F.struct(F.shiftright("place", 8).cast("int").alias("low"), F.col("place").bitwiseAND(255).cast("int").alias("n"))
+    # Rows that repeat entirely name the same places: a set holds them once.
+    out = work.save(settled.unionByName(later).groupBy("doc", "key").agg(F.collect_set(run).alias("places")), "places", total // 8)
     work.drop("settled", "each", "left")
     return out
 
 
-def _mark() -> F.Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)).bitwiseAND((1 << 24) - 1)
-
-
 def _keep(text: str | None, places: pa.Scalar) -> tuple[bytes, int, int]:
     """Kept words joined by a space, number of words, number of words removed."""
     body = np.frombuffer((text or "").encode(), np.uint8)
@@ -169,13 +167,13 @@ def _keep(text: str | None, places: pa.Scalar) -> tuple[bytes, int, int]:
 def dedup(docs: DataFrame, work: Workspace, bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the remaining text) of every row of ``docs``.
 
-    Null texts have no words. A null doc_id is smaller than none and none is smaller than it: such
+    Null texts have no words. Texts of any length are read whole. A null doc_id is smaller than none and none is smaller than it: such
     rows stay whole. Rows that share a doc_id never remove each other's words, whether their texts
     are equal or not. An empty table gives an empty result; other columns are not read.
     """
     places = removed_words(docs, work, bits)
-    keyed = docs.select("doc_id", _mark().alias("_mark"), "text")
-    joined = keyed.join(places, (F.col("doc_id") == F.col("doc")) & (F.col("_mark") == F.col("mark")), "left").select("doc_id", "text", "places")
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
+    joined = keyed.join(places, (F.col("doc_id") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

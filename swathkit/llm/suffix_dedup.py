@@ -6,20 +6,20 @@ string are kept in buckets, and buckets are refined until their members agree on
 
 1. Each start p is represented by its anchor: of the ``GRAM``-byte strings inside its 200 bytes,
    the leftmost with the smallest hash. Equal strings have equal anchors, at the same distance
-   d = anchor - p, so that whole runs of starts share one row. The hash of the anchor's gram is the
-   initial bucket. Buckets with one member end here: a bounded sketch of the bucket sizes, merged
+   d = anchor - p, so that whole runs of starts share one row. The anchor's gram is the initial
+   bucket of its row. Buckets with one member end here: a bounded sketch of the bucket sizes, merged
    from one for each part of the input, drops nearly all of them before any row is shuffled.
-2. A bucket is refined by the identifier of what lies around the anchor as far as any of its starts
-   reach. Members that still share a bucket are copies for all of their starts.
-3. Members left alone there, and one member of each refined bucket, are compared start by start:
-   (gram bucket, d) is refined by the identifier of the first half of the string, and what is left
-   of it by the identifier at the later offset of the second half. Starts left alone drop out at
-   each step; the refined bucket number of one step is the pointer that the next one sorts on.
-
-Identifiers are hashes of content, so that no step needs a global ranking. A decision never rests
-on fewer than 128 bits. Refined buckets are counted with a combining aggregation and joined, so a
-frequent gram is no single task's work; buckets of more than ``bucket_rows`` members in step 3
-are counted start by start in Spark instead of being gathered.
+2. Rows of a bucket whose surroundings, as far as any of their starts reach, are the same bytes (by
+   128-bit digests) are copies for all of their starts, and go on as one row.
+3. What is left of a bucket is refined with bucket pointers: every place of its surroundings begins
+   in the bucket of its eight bytes; then places are sorted on the pair (own bucket, bucket of the
+   place ``have`` bytes later), which gives the buckets of strings twice as long, and these numbers
+   are the pointers that the next step sorts on, from 8 to 16, 32, 64 and 128 bytes, and by two
+   overlapping pointers to 200. Places alone in their bucket drop out at each step. Buckets are
+   numbered by sorting the bytes themselves, so that this step is exact.
+
+Initial buckets that still have more than ``bucket_rows`` rows in step 3 aren't gathered: their
+starts are counted one by one in Spark, by 128-bit digests of their 200 bytes.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._kernels import FIRST, SECOND, mix, sliding_argmin, text_slices
+from ._kernels import byte_windows, sliding_argmin, text_slices
 from ._sketch import DEPTH, estimated, merged_sketch, of_texts, sketch_bits
-from .common import Workspace, arrow_batches, partitions
+from .common import Workspace, arrow_batches, carried, partitions, restored, text_key
 
 WIDTH, GRAM = 200, 64
-BUCKET_ROWS = 8192
+#: Rows of an initial bucket that one task may gather, and rows that are refined at once.
+BUCKET_ROWS, BATCH_ROWS = 512, 2048
 #: Bytes of text per anchor.
 ANCHOR_BYTES = 60
 #: Stands for a null doc_id in joins.
@@ -49,7 +51,7 @@ _REACH = WIDTH - GRAM  # the largest distance of a start from its anchor
 def anchor_runs(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per run of starts with one anchor: the anchor's place, first and last start, gram bucket."""
     n = len(body)
-    grams = FIRST.windows(FIRST.prefix(body), GRAM)
+    grams = byte_windows(body, GRAM)
     best = sliding_argmin(grams, _REACH + 1)
     text_end = np.repeat(offsets[1:], np.diff(offsets))
     starts = np.flatnonzero(np.arange(n) + WIDTH <= text_end)
@@ -62,20 +64,21 @@ def anchor_runs(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
 
 def anchors(body: np.ndarray, offsets: np.ndarray, twice: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Per run of starts whose bucket the sketch doesn't call single: text number, anchor's place in
-    its text, smallest and largest distance, gram bucket, identifier of the surroundings."""
+    its text, smallest and largest distance, gram bucket, digest (two values) of the surroundings."""
     at, low, high, gram = anchor_runs(body, offsets)
     kept = estimated(twice, gram, bits)
     at, low, high, gram = at[kept], low[kept], high[kept], gram[kept]
-    prefix = SECOND.prefix(body)
     owner = np.searchsorted(offsets, at, side="right") - 1
     left = np.maximum(at - _REACH, offsets[owner])
     right = np.minimum(at + WIDTH, offsets[owner + 1])
-    around = SECOND.spans(prefix, left, right)
-    around = mix(around ^ ((at - left) * 1024 + (right - at)).astype(np.uint64))
-    return owner, at - offsets[owner], at - high, at - low, gram, around
+    raw, digest = body.tobytes(), xxhash.xxh3_128_digest
+    # How far the surroundings reach on both sides is the digest's seed.
+    found = b"".join([digest(raw[a:b], c) for a, b, c in zip(left.tolist(), right.tolist(), ((at - left) * 1024 + (right - at)).tolist(), strict=True)])
+    around = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return owner, at - offsets[owner], at - high, at - low, gram, around[:, 0], around[:, 1]
 
 
-_ANCHORS = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("gram", pa.int64()), ("around", pa.int64()), ("place", pa.int64())])
+_ANCHORS = pa.schema([(n, pa.int64()) for n in ("doc", "text_key", "gram", "around", "around2", "place")])
 
 
 def anchor_rows(texts: DataFrame, total: int) -> DataFrame:
@@ -88,11 +91,11 @@ def anchor_rows(texts: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, last, body, offsets in text_slices(batch.column(2)):
-                owner, at, near, far, gram, around = anchors(body, offsets, table, bits)
+                owner, at, near, far, gram, around, around2 = anchors(body, offsets, table, bits)
                 place = at << 16 | near << 8 | far
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first:last][owner], key[first:last][owner], gram.view(np.int64), around.view(np.int64), place)], schema=_ANCHORS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first:last][owner], key[first:last][owner], gram.view(np.int64), around, around2, place)], schema=_ANCHORS)
 
-    return texts.mapInArrow(run, "doc long, text_key long, gram long, around long, place long")
+    return texts.mapInArrow(run, "doc long, text_key long, gram long, around long, around2 long, place long")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,44 +119,36 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[first:last][own]), pa.array(key[first:last][own]), pa.array(gram[lo : lo + 8192]), pa.array(own_place), pa.array(alone[lo : lo + 8192]), pa.array(size[lo : lo + 8192]), binary], names=["doc", "text_key", "gram", "place", "alone", "size", "context"])
 
 
-def _again(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries share all keys with another, and the number of each entry's bucket."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), dtype=bool)
-    for k in keys:
-        own = k[order]
-        new[1:] |= own[1:] != own[:-1]
-    bucket = np.empty(len(order), np.int64)
-    bucket[order] = np.cumsum(new)
-    count = np.bincount(bucket) if len(bucket) else np.zeros(0, np.int64)
-    return count[bucket] > 1, bucket
+def _numbered(keys: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bucket numbers of the live entries by their keys, -1 for those alone in theirs; how many there are."""
+    _, inverse, count = np.unique(keys[live], return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    out = np.full(keys.shape, -1, np.int64)
+    out[live] = np.where(count[inverse] > 1, number[inverse], -1)
+    return out, int((count > 1).sum())
 
 
-def _halves(context: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, distance and identifiers (first half, second half, second half again) of every start."""
-    m = len(context)
+def _starts_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and distance from the anchor of every start."""
     distance = np.arange(_REACH + 1)
-    row, d = np.nonzero((distance >= near[:, None]) & (distance <= far[:, None]))
-    column = _REACH - d
-    half = WIDTH // 2
-    out = []
-    for hasher, pieces in ((FIRST, (0, half)), (SECOND, (half,))):
-        hasher._powers(context.shape[1] + 1)
-        prefix = np.zeros((m, context.shape[1] + 1), np.uint64)
-        np.multiply(hasher.table[context], hasher._up[: context.shape[1]], out=prefix[:, 1:])
-        np.add.accumulate(prefix, axis=1, out=prefix)
-        for piece in pieces:
-            out.append(mix((prefix[row, column + piece + half] - prefix[row, column + piece]) * hasher._down[column + piece]))
-    return row, d, out[0], out[1], out[2]
-
-
-def refine(gram: np.ndarray, place: np.ndarray, alone: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and distances of the starts, of members that were alone, whose string is there twice."""
-    row, d, early, later, later2 = _halves(context, (place >> 8) & 255, place & 255)
-    live, bucket = _again(gram[row], early, d)
-    row, d, bucket, later, later2 = row[live], d[live], bucket[live], later[live], later2[live]
-    live, _ = _again(bucket, later, later2)
-    live &= alone[row]
+    return np.nonzero((distance >= ((place >> 8) & 255)[:, None]) & (distance <= (place & 255)[:, None]))
+
+
+def refine(place: np.ndarray, alone: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and distances of the starts, of rows that were alone, whose string is there twice."""
+    width = context.shape[1]
+    eight = np.zeros((len(context), width - 7), np.uint64)
+    for k in range(8):
+        eight |= context[:, k : width - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+    pointer, n = _numbered(eight, np.ones(eight.shape, dtype=bool))
+    have = 8
+    while 2 * have <= WIDTH:
+        own, later = pointer[:, :-have], pointer[:, have:]
+        pointer, n = _numbered(own * n + later, (own >= 0) & (later >= 0))
+        have *= 2
+    row, d = _starts_of(place)
+    own, later = pointer[row, _REACH - d], pointer[row, _REACH - d + WIDTH - have]
+    live = (_numbered(own * n + later, (own >= 0) & (later >= 0))[0] >= 0) & alone[row]
     return row[live], d[live]
 
 
@@ -164,7 +159,7 @@ def _table(batch: pa.Table) -> tuple[np.ndarray, ...]:
     batch = batch.combine_chunks()
     n, width = batch.num_rows, _REACH + WIDTH
     context = np.frombuffer(b"".join(batch["context"].to_pylist()), np.uint8).reshape(n, width)
-    return (*(batch[c].to_numpy() for c in ("doc", "text_key", "gram", "place", "alone")), context)
+    return (*(batch[c].to_numpy() for c in ("doc", "text_key", "place", "alone")), context)
 
 
 def _starts(doc: np.ndarray, key: np.ndarray, place: np.ndarray, row: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -183,14 +178,14 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole buckets of rows that come sorted by bucket, a few thousand rows at a time."""
 
     def done(part: pa.Table) -> pa.RecordBatch:
-        doc, key, gram, place, alone, context = _table(part)
-        return _starts(doc, key, place, *refine(gram, place, alone, context))
+        doc, key, place, alone, context = _table(part)
+        return _starts(doc, key, place, *refine(place, alone, context))
 
     rest = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
         rest = now if rest is None else pa.concat_tables([rest, now])
-        if rest.num_rows >= BUCKET_ROWS // 2:
+        if rest.num_rows >= BATCH_ROWS:
             gram = rest["gram"].to_numpy()
             cut = int(np.searchsorted(gram, gram[-1]))
             if cut:
@@ -201,30 +196,33 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _each_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
-            doc, key, gram, place, alone, context = _table(pa.Table.from_batches([batch.slice(lo, 2048)]))
-            row, d, early, later, later2 = _halves(context, (place >> 8) & 255, place & 255)
-            early = mix(early ^ gram[row].view(np.uint64)) + mix(later)
-            arrays = [doc[row], key[row], (place[row] >> 16) - d, alone[row], early.view(np.int64), later2.view(np.int64)]
+            doc, key, place, alone, context = _table(pa.Table.from_batches([batch.slice(lo, 2048)]))
+            row, d = _starts_of(place)
+            raw, begin = context.tobytes(), row * context.shape[1] + _REACH - d
+            keys = np.frombuffer(b"".join([digest(raw[a : a + WIDTH]) for a in begin.tolist()]), "<i8").reshape(-1, 2)
+            arrays = [doc[row], key[row], (place[row] >> 16) - d, alone[row], keys[:, 0], keys[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["doc", "text_key", "low", "alone", "one", "two"])
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_sk_doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("_sk_text", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)))
+def _keys() -> tuple[Column, Column]:
+    """_doc (null doc_ids have a number of their own) and _key: which text a row has."""
+    return F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), text_key(F.col("text")).alias("_key")
 
 
 def repeated_starts(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc, text_key, low, high): all places, low to high, whose string starts elsewhere too."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    keyed = _with_keys(docs.select("doc_id", "text"))
-    texts = keyed.select("_sk_doc", "_sk_text", "text")
+    texts = docs.select(*_keys(), "text")
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     held = work.save(anchor_rows(texts, total), "held")
     member = F.struct("doc", "text_key", "place")
-    buckets = work.save(held.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("x")), "buckets", total // 4)
-    copies = held.join(buckets.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi")
+    same = ["around", "around2"]
+    buckets = work.save(held.groupBy("gram", *same).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("x")), "buckets", total // 4)
+    copies = held.join(buckets.where("n > 1").select(*same), same, "left_semi")
     at = F.shiftright("place", 16)
     resolved = work.save(copies.select("doc", "text_key", (at - F.col("place").bitwiseAND(255)).alias("low"), (at - F.shiftright("place", 8).bitwiseAND(255)).alias("high")), "resolved", total // 4)
     work.drop("held")
@@ -233,10 +231,10 @@ def repeated_starts(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_
     rows = buckets.join(split, "gram").select("x.doc", "x.text_key", F.struct("x.place", "gram", (F.col("n") == 1).alias("alone"), "size").alias("member"))
     wanted = work.save(rows.groupBy("doc", "text_key").agg(F.collect_list("member").alias("members")), "wanted", total // 4)
     work.drop("buckets", "split")
-    joined = keyed.join(wanted, (F.col("_sk_doc") == F.col("doc")) & (F.col("_sk_text") == F.col("text_key")))
-    contexts = joined.select("_sk_doc", "_sk_text", "text", "members").mapInArrow(_contexts, "doc long, text_key long, gram long, place long, alone boolean, size long, context binary")
+    # Rows that repeat entirely are one text here; they have been found to be copies before.
+    joined = texts.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("text_key"))).groupBy("_doc", "_key").agg(F.first("text").alias("text"), F.first("members").alias("members"))
+    contexts = joined.mapInArrow(_contexts, "doc long, text_key long, gram long, place long, alone boolean, size long, context binary")
     contexts = work.save(contexts, "contexts")
-    work.drop()
     few = contexts.where(F.col("size") <= bucket_rows).repartition(partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(_refined, _RANGES)
     parts = [resolved, few]
     if wanted.where(F.exists("members", lambda m: m["size"] > bucket_rows)).limit(1).count():
@@ -271,20 +269,23 @@ def _cut(raw: bytes, ranges: pa.Scalar) -> tuple[bytes, int, int]:
 
 
 def with_ranges(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` with _sk_ranges: the repeated starts of each row's text, null without one."""
-    ranges = repeated_starts(docs, work, bucket_rows).groupBy("doc", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("_sk_ranges"))
+    """_row (the columns of ``docs`` but its text), text, and _ranges: the repeated starts of each row's text, null without one."""
+    # A set, since rows that repeat entirely name the same ranges.
+    ranges = repeated_starts(docs.select("doc_id", "text"), work, bucket_rows).groupBy("doc", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("_ranges"))
     total = int(docs.agg(F.count(F.lit(1))).first()[0])
-    ranges = work.save(ranges.select(F.col("doc").alias("_sk_doc"), F.col("text_key").alias("_sk_text"), "_sk_ranges"), "ranges", 500 * total)
+    ranges = work.save(ranges, "ranges", 500 * total)
     work.drop("resolved", "wanted", "contexts", "starts")
-    return _with_keys(docs).join(ranges, ["_sk_doc", "_sk_text"], "left").drop("_sk_doc", "_sk_text")
+    rows = docs.select(carried(docs, "text"), *_keys(), "text")
+    return rows.join(ranges, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("text_key")), "left").select("_row", "text", "_ranges")
 
 
 def report(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
-    Null texts are empty. Rows with a null doc_id, or one that others have too, are documents of
-    their own, told apart by their texts; rows that repeat entirely are copies of each other. An
-    empty table gives an empty result; columns other than doc_id and text are not read.
+    Null texts are empty; texts of any length are read whole. Rows with a null doc_id, or one that
+    others have too, are documents of their own, told apart by their texts; rows that repeat
+    entirely are copies of each other. An empty table gives an empty result; columns other than
+    doc_id and text are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,28 +299,28 @@ def report(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_ROWS) ->
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_ranges(docs.select("doc_id", "text"), work, bucket_rows).select("doc_id", "text", "_sk_ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_ranges(docs.select("doc_id", "text"), work, bucket_rows).select("_row.doc_id", "text", "_ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, work: Workspace, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` without the repeated bytes, with its own columns; n_chars, if there, is counted anew.
 
-    Bytes of a character that was cut in two are dropped with it. Every row stays, be its text empty.
+    Bytes of a character that was cut in two are dropped with it. Every row stays, be its text
+    empty; a null text stays null. Nulls, long texts, repeated rows and empty tables count as
+    ``report`` says; other columns, whatever their names, come back as they are.
     """
-    columns = docs.columns
-    schema = T.StructType([docs.schema[c] for c in columns])
+    rows = with_ranges(docs, work, bucket_rows)
+    schema = T.StructType([rows.schema["_row"], T.StructField("_kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, ranges in zip(batch.column(columns.index("text")), batch.column(len(columns)), strict=True):
+            for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
                 value = text.as_py()
                 if value is not None and ranges.is_valid:
                     value = _cut(value.encode(), ranges)[0].decode("utf-8", "ignore")
                 texts.append(value)
-            own = {c: batch.column(k) for k, c in enumerate(columns)}
-            own["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_kept"])
 
-    out = with_ranges(docs, work, bucket_rows).select(*[F.col(f"`{c}`") for c in columns], "_sk_ranges").mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
+    n_chars = F.coalesce(F.length("_kept"), F.lit(0)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return restored(rows.mapInArrow(run, schema), docs.columns, text=F.col("_kept"), n_chars=n_chars)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import FIRST, mix, text_slices
+from ._kernels import mix, span_digests, text_slices
 from .common import arrow_batches
 
 #: Words for groups of people, in the languages of the corpus.
@@ -49,10 +49,9 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         starts = np.flatnonzero(letter & (~before | edge[:n]))
         ends = np.flatnonzero(letter & (~after | edge[1:])) + 1
         owner = np.searchsorted(offsets, starts, side="right") - 1
-        prefix = FIRST.prefix(body)
-        whole = FIRST.spans(prefix, starts, ends) >> np.uint64(64 - BITS)
+        whole = span_digests(body, starts, ends)[0] >> np.uint64(64 - BITS)
         long = ends - starts > PREFIX_BYTES
-        begin = mix(FIRST.spans(prefix, starts[long], starts[long] + PREFIX_BYTES) + np.uint64(1)) >> np.uint64(64 - BITS)
+        begin = mix(span_digests(body, starts[long], starts[long] + PREFIX_BYTES)[0] + np.uint64(1)) >> np.uint64(64 - BITS)
         both = np.unique(np.concatenate([owner << BITS | whole.astype(np.int64), owner[long] << BITS | begin.astype(np.int64)]))
         yield first, last, both >> BITS, both & ((1 << BITS) - 1)
 
