@@ -2,20 +2,24 @@
 
 Fingerprints have 64 bits; two link at ``radius`` (2) or fewer differing bits. Distinct
 fingerprints only are compared. Cut into radius + 2 = 4 bands, two linked fingerprints agree in at
-least 2 bands; for each of the 6 pairs of bands, the fingerprints that agree there form a group,
-and a group is searched by an index of its own:
-
-- its fingerprints are sorted by Gray rank, which brings those with few differing bits together;
-- runs of them become the leaves of a tree, whose nodes hold the bits that all of their
-  fingerprints share (a mask and a pattern), upper nodes only what is common to their children;
+least 2 bands; for each of the 6 pairs of bands, the fingerprints that agree there form a group.
+Groups above ``GROUP_ROWS`` are cut again in the same way by four bands of the bits that are still
+free, as often as needed, which loses no link either. All groups that a task then holds are searched
+in one index:
+
+- fingerprints are sorted by group and Gray rank, which brings those with few differing bits together;
+- runs of them become the leaves of a forest of one tree a group, whose nodes hold the bits that all
+  of their fingerprints share (a mask and a pattern), upper nodes only what is common to their children;
 - a search adds up, from the root down, the differences between its fingerprint and the shared
   bits of each node, and drops a whole node once that sum exceeds the radius.
 
-A search emits links to representatives of linked fingerprints already in the same component,
-not pairs, so a group gives at most one link fewer than it has members. Groups above
-``GROUP_ROWS`` aren't gathered: each of their fingerprints is masked at every two of the bits that
-may differ there, and equal masked patterns are linked to their smallest member by a group-by
-minimum, which is exact as well.
+Of the links found, those are emitted that join what a search has not joined yet, so a group gives
+at most one link fewer than it has members.
+
+``near_classes`` is the same operator for texts that are similar by their word shingles, five words
+and a Jaccard similarity of 0.8 unless told otherwise: at that similarity fingerprints differ in
+about ten bits, which no index of bits can search, so there the links of fingerprints are the first
+candidates, ``_jaccard`` adds those that fingerprints miss, and all are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -25,20 +29,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import text_slices, word_spans
-from .common import Workspace, arrow_batches, components, partitions
+from . import _jaccard
+from ._kernels import majority_bits, text_slices, word_spans, xxh64
+from .common import Workspace, arrow_batches, carried, components, partitions, restored, text_key
 
-RADIUS, BANDS, WIDTH, SEED = 2, 4, 16, 42
+RADIUS, BANDS, SEED = 2, 4, 42
 SHINGLE_WORDS = 3
-#: Members of a group that one task may hold.
-GROUP_ROWS = 4096
+#: Members of a group that one task may hold; queries that it searches at once.
+GROUP_ROWS, SEARCHED = 4096, 4096
+#: Bits of a group that are free to differ, below which it is never cut again: 16 fingerprints at most.
+LEAST_FREE = 4
 LEAF, FANOUT = 8, 8
-#: Stands for a null doc_id in joins.
-_NULL_ID = -(1 << 63)
+_ALL = (1 << 64) - 1
 
 
 def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -66,16 +71,7 @@ def fingerprints(body: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WOR
     owner = np.repeat(np.arange(len(n_words)), n_shingles)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles) + of[:-1][owner]
     last = np.minimum(at + words, of[1:][owner]) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[s:e], SEED) for s, e in zip(begin[at].tolist(), stop[last].tolist(), strict=True)), np.uint64, len(owner))
-    out = np.zeros(len(n_words), np.uint64)
-    some = np.flatnonzero(n_shingles)
-    if len(some):
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts = np.add.reduceat(bits, (np.cumsum(n_shingles) - n_shingles)[some], axis=0, dtype=np.int32)
-        majority = counts * 2 > n_shingles[some][:, None]
-        out[some] = np.packbits(majority, axis=1).view(">u8").reshape(-1).astype(np.uint64)
-    return out
+    return majority_bits(xxh64(np.frombuffer(text, np.uint8), begin[at], stop[last], SEED), n_shingles)
 
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("_text", pa.int64()), ("fp", pa.int64())])
@@ -91,7 +87,7 @@ def document_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFr
                 own = [batch.column(k).slice(first, last - first) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(body, offsets, words).view(np.int64))], schema=_PRINTS)
 
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)).alias("_text"), "text").mapInArrow(run, "doc_id long, _text long, fp long")
+    return docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text").mapInArrow(run, "doc_id long, _text long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -103,124 +99,120 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Index of distinct fingerprints for searches within a Hamming radius."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        every = np.uint64(0xFFFFFFFFFFFFFFFF)
-        ones, zeros = self.codes.copy(), ~self.codes  # bits that are set, or unset, in all below
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up
-        width = LEAF
-        while True:
-            at = np.arange(0, len(ones), width)
+    """Index of distinct fingerprints in groups, for searches within a Hamming radius of a group."""
+
+    def __init__(self, group: np.ndarray, codes: np.ndarray) -> None:
+        order = np.lexsort((gray_rank(codes), group))
+        self.codes, group = codes[order], group[order]
+        new = np.ones(len(codes), dtype=bool)
+        new[1:] = group[1:] != group[:-1]
+        self.group = np.cumsum(new) - 1  # the root of each code
+        ones, zeros = self.codes, ~self.codes  # bits that are set, or unset, in all below
+        root, width = self.group, LEAF
+        #: From the leaves up: shared bits, their values, first member one level below, first code.
+        self.levels: list[list[np.ndarray]] = []
+        while not self.levels or len(ones) > self.group[-1] + 1:
+            start = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+            place = np.arange(len(root)) - np.repeat(start, np.diff(np.append(start, len(root))))
+            at = np.flatnonzero(place % width == 0)
             ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
-            self.levels.append((ones | zeros, ones))
-            width = FANOUT
-            if len(ones) == 1:
-                break
+            below = self.levels[-1][3] if self.levels else np.arange(len(codes))
+            self.levels.append([ones | zeros, ones, np.append(at, len(root)), below[at]])
+            root, width = root[at], FANOUT
         # What an upper node has counted its children leave out.
-        for k in range(len(self.levels) - 1):
-            mask, pattern = self.levels[k]
-            above = self.levels[k + 1][0][np.arange(len(mask)) // FANOUT]
-            self.levels[k] = (mask & (every ^ above), pattern & (every ^ above))
-
-    def search(self, code: np.uint64, radius: int = RADIUS) -> np.ndarray:
-        """Places, in Gray order, of the fingerprints within the radius."""
-        at, spent = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            mask, pattern = self.levels[k]
-            spent = spent + np.bitwise_count((code ^ pattern[at]) & mask[at])
-            live = spent <= radius
-            at, spent = at[live], spent[live]
-            width, n = (FANOUT, len(self.levels[k - 1][0])) if k else (LEAF, len(self.codes))
-            at = (at[:, None] * width + np.arange(width)).ravel()
-            spent = np.repeat(spent, width)[at < n]
-            at = at[at < n]
-        return at[np.bitwise_count(code ^ self.codes[at]) <= radius]
-
-
-def group_links(codes: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints."""
-    index = GrayIndex(codes)
-    root = np.arange(len(codes))
+        for low, high in zip(self.levels[:-1], self.levels[1:], strict=True):
+            free = ~np.repeat(high[0], np.diff(high[2]))
+            low[0], low[1] = low[0] & free, low[1] & free
+
+    def pairs(self, first: int, last: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places i (from first to last) and j < i of the fingerprints of a group within the radius."""
+        query = np.arange(first, last)
+        node, spent = self.group[query], np.zeros(len(query), np.int64)
+        for mask, pattern, members, begin in reversed(self.levels):
+            spent = spent + np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node])
+            live = (spent <= radius) & (begin[node] < query)
+            query, node, spent = query[live], node[live], spent[live]
+            n = members[node + 1] - members[node]
+            node = np.repeat(members[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            query, spent = np.repeat(query, n), np.repeat(spent, n)
+        good = (node < query) & (np.bitwise_count(self.codes[query] ^ self.codes[node]) <= radius)
+        return query[good], node[good]
+
+
+def group_links(group: np.ndarray, codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the distinct fingerprints of each group."""
+    if not len(codes):
+        return codes, codes
+    index = GrayIndex(group, codes)
+    root = list(range(len(codes)))
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
-            i = int(root[i])
+            i = root[i]
         return i
 
     links = []
-    for i, code in enumerate(index.codes):
-        for j in index.search(code):
-            if j < i and (a := find(i)) != (b := find(int(j))):
+    for first in range(0, len(codes), SEARCHED):
+        for i, j in zip(*(x.tolist() for x in index.pairs(first, min(first + SEARCHED, len(codes)), radius)), strict=True):
+            a, b = find(i), find(j)
+            if a != b:
                 root[max(a, b)] = min(a, b)
-                links.append((i, int(j)))
-    signed = index.codes.view(np.int64)
-    return [(int(signed[i]), int(signed[j])) for i, j in links]
+                links.append((i, j))
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return index.codes[at[:, 0]], index.codes[at[:, 1]]
 
 
-def _band_mask(pair: tuple[int, ...]) -> int:
-    return sum(((1 << WIDTH) - 1) << (WIDTH * b) for b in pair)
+def _cuts(mask: int, radius: int) -> list[int]:
+    """``mask`` (the bits that agree) with each choice of bands of the free bits that two linked fingerprints may agree in."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    bands = [sum(1 << b for b in free[k * len(free) // (radius + 2) : (k + 1) * len(free) // (radius + 2)]) for k in range(radius + 2)]
+    return [mask | x | y for x, y in combinations(bands, 2)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> DataFrame:
+def links(prints: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that give all components."""
     spark = prints.sparkSession
     nbytes = 32 * prints.count()
-    pairs = list(combinations(range(BANDS), BANDS - RADIUS))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(_band_mask(p)))).alias("key")) for k, p in enumerate(pairs)])
-    banded = prints.select("fp", F.explode(keys).alias("x")).select("x.k", "x.key", "fp")
-    sizes = work.save(banded.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups", nbytes)
-    held = work.save(banded.join(sizes, ["k", "key"]), "held", nbytes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            part = pa.Table.from_batches([batch]).select(["k", "key", "fp"]).combine_chunks()
-            now = np.stack([part[c].to_numpy() for c in ("k", "key", "fp")])
+            now = np.stack([batch.column(k).to_numpy() for k in range(3)])
             now = now if rest is None else np.concatenate([rest, now], axis=1)
             new = np.flatnonzero((now[0, 1:] != now[0, :-1]) | (now[1, 1:] != now[1, :-1])) + 1
             cut = int(new[-1]) if len(new) else 0
             rest = now[:, cut:]
-            yield _link_batch(now[:, :cut])
+            yield found(now[:, :cut])
         if rest is not None:
-            yield _link_batch(rest)
-
-    small = held.where(F.col("n") <= group_rows).select("k", "key", "fp").repartition(partitions(spark), "k", "key").sortWithinPartitions("k", "key").mapInArrow(search, "a long, b long")
-    if not sizes.where(F.col("n") > group_rows).limit(1).count():
-        return work.save(small.distinct(), "links", nbytes)
-    # Two fingerprints of a group link exactly if some masking of two free bits makes them equal.
-    large = held.where(F.col("n") > group_rows)
-    parts = []
-    for k, pair in enumerate(pairs):
-        free = [b for b in range(64) if not _band_mask(pair) >> b & 1]
-        masks = F.array(*[F.lit(_signed((1 << 64) - 1 ^ (1 << i) ^ (1 << j))) for i, j in combinations(free, 2)])
-        parts.append(large.where(F.col("k") == k).select("fp", F.explode(masks).alias("mask")).withColumn("masked", F.col("fp").bitwiseAND(F.col("mask"))))
-    masked = parts[0]
+            yield found(rest)
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(rows.shape[1], dtype=bool)
+        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+        a, b = group_links(np.cumsum(new), rows[2].astype(np.int64).view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+    masks, rows, parts, depth = [0], prints.select("fp", F.lit(0).cast("long").alias("agreed")), [], 0
+    while masks:
+        cuts = [(m, c) for m in masks for c in _cuts(m, radius)]
+        # At most 6 ** 4 short rows: masks of a depth, whatever the input.
+        table = spark.createDataFrame([(_signed(m), _signed(c)) for m, c in cuts], "agreed long, mask long")
+        banded = rows.join(F.broadcast(table), "agreed").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        sizes = work.save(banded.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"groups-{depth}", nbytes)
+        held = work.save(banded.join(sizes, ["mask", "key"]), f"held-{depth}", nbytes)
+        masks = [c for _, c in cuts if 64 - c.bit_count() > LEAST_FREE] if sizes.where(F.col("n") > group_rows).limit(1).count() else []
+        small = held.where(F.col("n") <= group_rows) if masks else held
+        parts.append(small.select("mask", "key", "fp").repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key").mapInArrow(search, "a long, b long"))
+        rows, depth = held.where(F.col("n") > group_rows).select("fp", F.col("mask").alias("agreed")), depth + 1
+    out = parts[0]
     for p in parts[1:]:
-        masked = masked.unionAll(p)
-    least = masked.groupBy("mask", "masked").agg(F.min("fp").alias("b"), F.max("fp").alias("m")).where("b < m").drop("m")
-    star = masked.join(least, ["mask", "masked"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return work.save(small.unionAll(star).distinct(), "links", nbytes)
-
-
-def _link_batch(rows: np.ndarray) -> pa.RecordBatch:
-    found: list[tuple[int, int]] = []
-    if rows.shape[1]:
-        at = np.append(np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])), rows.shape[1])
-        for i in np.flatnonzero(np.diff(at) == 2):  # most groups
-            x, y = int(rows[2, at[i]]), int(rows[2, at[i] + 1])
-            if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= RADIUS:
-                found.append((x, y))
-        for i in np.flatnonzero(np.diff(at) > 2):
-            found += group_links(rows[2, at[i] : at[i + 1]].astype(np.int64).view(np.uint64))
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        out = out.unionAll(p)
+    return work.save(out.distinct(), "links", nbytes)
 
 
 def classes(docs: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -228,7 +220,8 @@ def classes(docs: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> D
 
     Texts without a word, null ones included, have fingerprint zero and link like any other.
     Null doc_ids take part, but a component's id is its smallest doc_id that isn't null, and null
-    only if there is none. Repeated rows give repeated results; an empty table an empty one.
+    only if there is none. Texts of any length are read whole. Repeated rows give repeated results;
+    an empty table an empty one. Columns other than doc_id and text are not read.
     """
     prints = work.save(document_fingerprints(docs), "prints")
     nbytes = 32 * prints.count()
@@ -241,19 +234,46 @@ def classes(docs: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> D
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "_text", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the smallest (doc_id, text key).
+def _simhash_pairs(texts: DataFrame, work: Workspace, words: int) -> DataFrame:
+    """Pairs (a, b) of texts ``t`` that SimHash links, through the least text of each fingerprint."""
+    prints = work.save(document_fingerprints(texts.select(F.col("t").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("t"), "fp"), "prints")
+    least = work.save(prints.groupBy("fp").agg(F.min("t").alias("least")), "least", 16 * prints.count())
+    linked = links(least.select("fp"), work)
+    far = linked.join(least.select(F.col("fp").alias("a"), F.col("least").alias("_a")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("_b")), "b")
+    return prints.join(least, "fp").where("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b")).unionAll(far.select("_a", "_b"))
+
+
+def near_classes(docs: DataFrame, work: Workspace, words: int = _jaccard.WORDS, similarity: float = _jaccard.SIMILARITY) -> DataFrame:
+    """doc_id, _text (a key of the text) and component_id (of texts that chains of pairs connect) per row.
+
+    Pairs are all those whose sets of word shingles are similar enough. Texts without a word are
+    alike; null texts, doc_ids, repeated rows and empty tables count as in ``classes``.
+    """
+    arrow_batches(docs.sparkSession)
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = work.save(rows.select(F.col("_text").alias("t"), "text").dropDuplicates(["t"]), "texts")
+    sets = work.save(_jaccard.open_texts(texts, words, similarity), "sets")
+    pairs = _simhash_pairs(texts.join(sets.select("t"), "t", "left_semi"), work, words)
+    roots = _jaccard.classes(sets, pairs, work, similarity)
+    work.drop("texts", "sets")
+    return rows.select("doc_id", "_text").join(roots, F.col("_text") == F.col("node"), "left").select("doc_id", "_text", F.coalesce("root", "_text").alias("component_id"))
+
+
+def dedup(docs: DataFrame, work: Workspace, words: int = _jaccard.WORDS, similarity: float = _jaccard.SIMILARITY) -> DataFrame:
+    """One row of each class of ``near_classes``, with the columns of ``docs``: the smallest (doc_id,
+    text key), a null doc_id last.
 
-    Rows that repeat the kept one entirely go too.
+    Rows that repeat the kept one entirely go too; of those, columns besides doc_id and text may
+    differ, and one row stays. Columns come back unchanged, whatever their names.
     """
-    return keep_least(docs, classes(docs, work), work)
+    return keep_least(docs, near_classes(docs, work, words, similarity), work)
 
 
 def keep_least(docs: DataFrame, named: DataFrame, work: Workspace) -> DataFrame:
     """One row of each component, of rows named by doc_id, _text and component_id."""
-    named = work.save(named, "classes").select("component_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_sk_doc"), F.col("_text").alias("_sk_text"), F.col("doc_id").isNull().alias("_null"))
-    chosen = named.groupBy("component_id").agg(F.min(F.struct("_null", "_sk_doc", "_sk_text")).alias("x")).select("x._sk_doc", "x._sk_text")
+    named = work.save(named, "classes").select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "_text").alias("x"))
+    chosen = named.groupBy("component_id").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("_d"), F.col("x._text").alias("_t"))
     chosen = work.save(chosen, "chosen", 32 * named.count())
-    keyed = docs.withColumn("_sk_doc", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("_sk_text", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)))
-    joined = keyed.join(chosen, ["_sk_doc", "_sk_text"], "left_semi")
-    return joined.dropDuplicates(["_sk_doc", "_sk_text"]).select(*docs.columns)
+    rows = docs.select(carried(docs), F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key"))
+    joined = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_semi")
+    return restored(joined.dropDuplicates(["_doc", "_key"]), docs.columns)
