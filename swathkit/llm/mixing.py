@@ -6,9 +6,10 @@ reruns and other partitionings give the same order. Within a source the keys are
 sizes are prefix-summed to the token budget. Complete epochs come first: a target of 2.3 times a
 source takes every document twice, and the remaining 0.3 in key order.
 
-A source may hold any share of the rows, so prefix sums have two levels: the keys of a source,
-mapped to (0, 1), fall into buckets; bucket totals are summed over the few buckets, and a window
-orders the rows inside a bucket. No task holds a whole source.
+A source may hold any share of the rows, so prefix sums have two levels: the keys of a source
+fall into buckets between quantiles of these keys, which hold about as many rows each whatever the
+weights are; bucket totals are summed over the few buckets, and a window orders the rows inside a
+bucket. No task holds a whole source. Where the bounds lie changes no result, only who sorts what.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Workspace
+from .common import WORD_PATTERN, Workspace, named
 
-#: Rows that a bucket of keys holds on average.
-BUCKET_ROWS = 4096
+#: Rows that a bucket of keys holds on average, and buckets of a source at most: beyond 4 million
+#: rows buckets grow, which a sorting task takes. Quantiles are off by a sixteenth of such a bucket.
+BUCKET_ROWS, MOST_BUCKETS = 4096, 1024
+_ACCURACY = 16 * MOST_BUCKETS
 #: A source is taken at most this many times.
 MOST_EPOCHS = 3
 
@@ -82,18 +85,21 @@ def mix(docs: DataFrame, work: Workspace, carry: list[str], quality: Callable[[C
     ties are ordered by (doc_id, text) and equal rows, being interchangeable, by any order. An
     empty table gives an empty result. Columns in ``carry`` come back unchanged, whatever their names.
     """
-    own = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")
+    own = F.struct(*[named(c) for c in carry]).alias("_row")
     sized = docs.select(own, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
     weight = F.greatest(F.coalesce(quality(F.col("size")).cast("double"), F.lit(1e-6)), F.lit(1e-6))
     keyed = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"), F.col("_text"))) / weight)
-    totals = work.save(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), "sources", 0)
+    # Texts are counted and digested once; those that are carried themselves, once more at the end.
+    narrow = work.save(keyed.drop("_row") if "text" in carry else keyed, "sized")
+    keyed = keyed if "text" in carry else narrow
+    quantiles = F.approx_percentile("_key", [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)], _ACCURACY)
+    totals = work.save(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), quantiles.alias("_bounds")), "sources", 0)
     aimed = targets(cyclic_weights(totals))
-    plan = aimed.select(F.col("source").alias("_source"), "source_size", "target", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_buckets"), epochs().alias("_epochs")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
+    plan = aimed.select(F.col("source").alias("_source"), "source_size", "target", bounds().alias("_bounds"), epochs().alias("_epochs")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     plan = work.save(plan, "plan", 0)
     # The table of sources joins without a shuffle where Spark finds it small, by its size limit.
-    placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets")))
-    placed = placed.drop("_source")
-    sums = placed.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_in"))
+    placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_bucket", bucket()).drop("_source", "_bounds")
+    sums = narrow.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_bucket", bucket()).groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_in"))
     before = sums.withColumn("_before", F.sum("_in").over(W.partitionBy("_s").orderBy("_b")) - F.col("_in")).drop("_in")
     before = work.save(before, "before", 0)
     rows = placed.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
@@ -104,6 +110,19 @@ def mix(docs: DataFrame, work: Workspace, carry: list[str], quality: Callable[[C
     return rows.select("_row", "size", "source_size", "target", times.cast("int").alias("times")).withColumn("taken", F.col("times") * F.col("size"))
 
 
+def bounds() -> Column:
+    """Of the quantiles ``_bounds`` of a source those that leave ``_n`` rows about BUCKET_ROWS a bucket."""
+    buckets = F.least(F.ceil(F.col("_n") / BUCKET_ROWS), F.lit(MOST_BUCKETS)).cast("int")
+    place = F.transform(F.sequence(F.lit(1), F.greatest(buckets - 1, F.lit(1))), lambda i: F.element_at("_bounds", F.greatest(F.floor(i * MOST_BUCKETS / buckets), F.lit(1)).cast("int")))
+    return F.when(buckets > 1, place).otherwise(F.array().cast("array<double>"))
+
+
+def bucket() -> Column:
+    """How many of the sorted ``_bounds`` are below ``_key``, by binary search."""
+    steps = F.array(*[F.lit(MOST_BUCKETS >> k) for k in range(MOST_BUCKETS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) < F.col("_key"), at + step).otherwise(at))
+
+
 def epochs() -> Column:
     """Whole passes over a source that its target holds."""
     return F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-9), F.lit(MOST_EPOCHS))).otherwise(F.lit(0)).cast("long")
