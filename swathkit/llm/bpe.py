@@ -205,7 +205,8 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of every text."""
+    """doc_id and ids (array of int) of every text, whole whatever its length; nulls, repeated rows, empty
+    tables and other columns count as in ``round_trip``."""
     spark = docs.sparkSession
     arrow_batches(spark, 256)
     shared = shared_codec(spark, rank_path, pattern)

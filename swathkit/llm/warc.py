@@ -20,18 +20,23 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_batches
+from .common import Workspace, arrow_batches, partitions
 
 #: Payloads from this size on are deduplicated.
 REVISIT_BYTES = 100
-#: A file's largest size; ranges that one task reads at once; gaps that are read over.
+#: A file's largest size; ranges that are read at once; gaps that are read over.
 FILE_BYTES, RANGE_BYTES, GAP_BYTES = 256 << 20, 4 << 20, 64 << 10
+#: Bytes of archives that a task reads on average, at most.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path; Spark may write local paths as file:/x, which means file:///x."""
+    """File system and path; Spark may write local paths as file:/x, which means file:///x, and has
+    names of its own for stores: s3a and s3n mean s3, gs and hdfs are the same, abfss means abfs."""
+    scheme, mark, rest = uri.partition("://")
+    uri = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + mark + rest
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:") :]
     return fs.FileSystem.from_uri(uri)
@@ -70,7 +75,12 @@ _INDEX = "file string, offset long, length long, url string, digest string, page
 
 
 def write_archives(pages: DataFrame, work: Workspace, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the archives; returns the index: file, offset, length, url, digest, page_id, record_type."""
+    """Write the archives; returns the index: file, offset, length, url, digest, page_id, record_type.
+
+    Nulls, repeated rows and ties are typed as ``typed_pages`` says; payloads of any length are whole;
+    an empty table gives an empty index and no archive. Columns other than page_id, url and html,
+    whatever their names, are not read.
+    """
     arrow_batches(pages.sparkSession, 500)
     folder = f"{work.path}/archives"
 
@@ -129,10 +139,14 @@ def read_records(selected: DataFrame, payloads: bool = False) -> DataFrame:
     """Read the records of the given index rows: page_id, payload_bytes, payload_digest, record_type, refers_to, url (and payload).
 
     Rows fall into buckets of file and place, so that a task's list is bounded; within one, ranges
-    that are less than a gap apart become one read. An empty selection reads nothing.
+    that are less than a gap apart become one read. Buckets are dealt to tasks by the bytes that they
+    stand for, not by the index's own few. An empty selection reads nothing.
     """
+    spark = selected.sparkSession
+    total = int(selected.agg(F.sum("length")).first()[0] or 0)
+    tasks = max(partitions(spark), -(-total // TASK_BYTES))
     entry = F.struct("offset", "length")
-    ranges = selected.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).alias("bucket")).agg(F.sort_array(F.collect_list(entry)).alias("entries")).select("file", "entries")
+    ranges = selected.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).alias("bucket")).agg(F.sort_array(F.collect_list(entry)).alias("entries")).repartition(tasks, "file", "bucket").select("file", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
