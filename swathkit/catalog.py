@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import grids, partitions, scans, scores, solves
+from .queries import closed, grids, partitions, records, scans, scores, solves
 from .registry import QUERIES, SQL, Query
 
 #: Importing a module registers its queries.
-MODULES = (scans, grids, partitions, scores, solves)
+MODULES = (scans, grids, partitions, scores, solves, closed, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,11 @@ def owner_members(tiles: list[TileDraw], owner: dict[tuple[float, float], int],
     return [np.array([decided.get(k, v) for k, v in zip(t.keys, d, strict=True)]) for t, d in zip(tiles, draws, strict=True)]
 
 
+def independent(tiles: list[TileDraw], member: int, params: str) -> list[np.ndarray]:
+    """Every tile draws alone: members don't agree across seams, which ``degradation_transform`` records."""
+    return [t.alone(i, member, params) for i, t in enumerate(tiles)]
+
+
 def shared_basis_field(factors: list[np.ndarray], weights: np.ndarray, member: int, method: str, params: str) -> np.ndarray:
     """Structured part of a low-rank member over a support: each tile's factor is replaced by the
     symmetric root of its covariance in one basis for all tiles, so that a single latent vector

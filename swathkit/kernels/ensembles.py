@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 from .fem import barycentric, delaunay
-from .gmrf import bilinear
+from .gmrf import Sparse, bilinear
 from .noise import normals
 from .oi import Posterior
 
@@ -37,10 +37,15 @@ def regrid(lon: np.ndarray, lat: np.ndarray, mean: np.ndarray, factor: np.ndarra
     return centre, new, np.maximum((anomalies**2).sum(1) - (new**2).sum(1), 0)
 
 
-def coo(precision: np.ndarray) -> list[tuple[int, int, float]]:
+def coo(precision: Sparse) -> list[tuple[int, int, float]]:
     """Non-zero entries of the lower triangle, the table form of a sparse precision."""
-    i, j = np.nonzero(np.tril(precision))
-    return list(zip(i.tolist(), j.tolist(), precision[i, j].tolist(), strict=True))
+    out = []
+    for k, start in enumerate(precision.edges[:-1].tolist()):
+        blocks = [(start, np.tril(precision.diagonal[k]))] + ([(int(precision.edges[k + 1]), precision.above[k].T)] if k < len(precision.above) else [])
+        for first, block in blocks:
+            i, j = np.nonzero(block)
+            out += zip((i + first).tolist(), (j + start).tolist(), block[i, j].tolist(), strict=True)
+    return sorted(out)
 
 
 def choose_members(m: int, k: int, seed: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..functions.geo import KM_PER_DEGREE
+from .gmrf import Blocks, Sparse
 
 
 def structured_mesh(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,28 +47,32 @@ def smallest_angle(nodes: np.ndarray, triangles: np.ndarray) -> float:
     return least
 
 
-def assembled(nodes_km: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lumped mass (n) and stiffness (n, n) of linear elements."""
-    n = len(nodes_km)
-    mass, stiff = np.zeros(n), np.zeros((n, n))
+def elements(nodes_km: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lumped mass (n), and the stiffness of linear elements as entries (i, j, value), repeats to be added up."""
+    mass = np.zeros(len(nodes_km))
     p = nodes_km[triangles]
     e = np.stack([p[:, 2] - p[:, 1], p[:, 0] - p[:, 2], p[:, 1] - p[:, 0]], axis=1)  # opposite edges
     area = np.abs(e[:, 0, 0] * e[:, 1, 1] - e[:, 0, 1] * e[:, 1, 0]) / 2
     for a in range(3):
         np.add.at(mass, triangles[:, a], area / 3)
-        for b in range(3):
-            np.add.at(stiff, (triangles[:, a], triangles[:, b]), (e[:, a] * e[:, b]).sum(1) / (4 * area))
-    return mass, stiff
+    value = np.einsum("tac,tbc->tab", e, e) / (4 * area)[:, None, None]
+    i, j = triangles[:, :, None].repeat(3, 2), triangles[:, None, :].repeat(3, 1)
+    return mass, i.ravel(), j.ravel(), value.ravel()
 
 
-def precision(nodes: np.ndarray, triangles: np.ndarray, range_km: float, variance: float) -> np.ndarray:
-    """(k^2 C + G) C^-1 (k^2 C + G) over tau, the mesh projected to kilometres; the variance is the continuous field's."""
+def precision(nodes: np.ndarray, triangles: np.ndarray, range_km: float, variance: float, row: int | None = None) -> Sparse:
+    """(k^2 C + G) C^-1 (k^2 C + G) over tau, the mesh projected to kilometres; the variance is the continuous field's.
+
+    ``row`` is the number of nodes in a row of the mesh, beyond whose neighbours no element reaches (a
+    structured mesh); without it all nodes are one block.
+    """
     lat0 = np.radians(nodes[:, 1].mean())
-    km = nodes * np.array([KM_PER_DEGREE * np.cos(lat0), KM_PER_DEGREE])
-    mass, stiff = assembled(km, triangles)
-    kappa2 = 8.0 / range_km**2
-    a = kappa2 * np.diag(mass) + stiff
-    return (a / mass) @ a / (variance * 4 * np.pi * kappa2)
+    mass, i, j, value = elements(nodes * np.array([KM_PER_DEGREE * np.cos(lat0), KM_PER_DEGREE]), triangles)
+    kappa2, every = 8.0 / range_km**2, np.arange(len(nodes))
+    a = Sparse.zeros(len(nodes), row or len(nodes))
+    a.add(i, j, value)
+    a.add(every, every, kappa2 * mass)
+    return a.squared(1 / mass).scaled(1 / (variance * 4 * np.pi * kappa2))
 
 
 def barycentric(nodes: np.ndarray, triangles: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,16 +92,14 @@ def barycentric(nodes: np.ndarray, triangles: np.ndarray, points: np.ndarray) ->
     return out, weights
 
 
-def solve(nodes: np.ndarray, triangles: np.ndarray, obs: np.ndarray, y: np.ndarray, noise: np.ndarray, t: float, range_km: float, variance: float, taper: float) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mean and variance at the mesh's nodes."""
-    q, rhs = precision(nodes, triangles, range_km, variance), np.zeros(len(nodes))
+def solve(nodes: np.ndarray, triangles: np.ndarray, obs: np.ndarray, y: np.ndarray, noise: np.ndarray, t: float, range_km: float, variance: float, taper: float, row: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mean and variance at the mesh's nodes, by blocks of two rows."""
+    q, rhs = precision(nodes, triangles, range_km, variance, row), np.zeros(len(nodes))
     if len(obs):
         at, w = barycentric(nodes, triangles, obs[:, :2])
         r = noise * np.exp(np.abs(obs[:, 2] - t) / taper)
         for a in range(3):
             np.add.at(rhs, at[:, a], w[:, a] * y / r)
-            for b in range(3):
-                np.add.at(q, (at[:, a], at[:, b]), w[:, a] * w[:, b] / r)
-    low = np.linalg.cholesky(q)
-    inv = np.linalg.inv(low)
-    return np.linalg.solve(low.T, np.linalg.solve(low, rhs)), (inv**2).sum(0)
+        q.add(at[:, :, None].repeat(3, 2), at[:, None, :].repeat(3, 1), w[:, :, None] * w[:, None, :] / r[:, None, None])
+    factor = Blocks(q)
+    return factor.solve(rhs), factor.variance()

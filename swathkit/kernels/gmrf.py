@@ -1,8 +1,9 @@
 """Matern field on a lattice with a sparse precision, solved by block-tridiagonal Cholesky.
 
 The precision couples lattice rows up to two apart, so that blocks of two rows make it block
-tridiagonal. One forward pass gives the factor and the mean, one backward pass the exact
-diagonal and neighbouring-block covariances; observations couple neighbouring rows only.
+tridiagonal; only these blocks are ever formed. One forward pass gives the factor and the mean, one
+backward pass the exact diagonal and neighbouring-block covariances; observations couple
+neighbouring rows only.
 """
 
 from __future__ import annotations
@@ -12,49 +13,119 @@ import numpy as np
 from ..functions.geo import KM_PER_DEGREE
 
 
-def laplacian(ny: int, nx: int, dx_km: np.ndarray, dy_km: float) -> np.ndarray:
-    """Five-point Laplacian with Neumann edges (dense, ny nx square); dx may vary by row."""
-    n = ny * nx
-    out = np.zeros((n, n))
-    for j in range(ny):
-        for i in range(nx):
-            k = j * nx + i
-            for jj, ii, h in ((j, i - 1, dx_km[j]), (j, i + 1, dx_km[j]), (j - 1, i, dy_km), (j + 1, i, dy_km)):
-                if 0 <= jj < ny and 0 <= ii < nx:
-                    out[k, jj * nx + ii] += 1 / h**2
-                    out[k, k] -= 1 / h**2
-    return out
-
-
 def spacing(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, float]:
     """East-west spacing by row and north-south spacing, in kilometres."""
     return np.maximum((lon[1] - lon[0]) * KM_PER_DEGREE * np.cos(np.radians(lat)), 1e-3), (lat[1] - lat[0]) * KM_PER_DEGREE
 
 
-def precision(lon: np.ndarray, lat: np.ndarray, range_km: float, variance: float) -> np.ndarray:
+class Sparse:
+    """Symmetric block-tridiagonal matrix by its diagonal blocks and the blocks above them."""
+
+    def __init__(self, diagonal: list[np.ndarray], above: list[np.ndarray]) -> None:
+        self.diagonal, self.above = diagonal, above
+        self.edges = np.concatenate([[0], np.cumsum([len(d) for d in diagonal])])
+
+    @classmethod
+    def zeros(cls, n: int, size: int) -> Sparse:
+        sizes = [min(size, n - a) for a in range(0, n, size)]
+        return cls([np.zeros((k, k)) for k in sizes], [np.zeros((j, k)) for j, k in zip(sizes[:-1], sizes[1:], strict=True)])
+
+    def __len__(self) -> int:
+        return int(self.edges[-1])
+
+    def add(self, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> None:
+        """Add entries of the whole symmetric matrix, each of its two halves given."""
+        i, j, value = (np.asarray(x).ravel() for x in (i, j, value))
+        bi, bj = (np.searchsorted(self.edges, x, side="right") - 1 for x in (i, j))
+        if len(i) and np.abs(bi - bj).max() > 1:
+            raise ValueError("an entry lies outside the blocks of the pattern")
+        for kind, blocks in ((0, self.diagonal), (1, self.above)):
+            own = np.flatnonzero(bj - bi == kind)
+            order = own[np.argsort(bi[own], kind="stable")]
+            for k in np.unique(bi[own]):
+                at = order[slice(*np.searchsorted(bi[order], [k, k + 1]))]
+                np.add.at(blocks[k], (i[at] - self.edges[k], j[at] - self.edges[k + kind]), value[at])
+
+    def scaled(self, by: float) -> Sparse:
+        return Sparse([d * by for d in self.diagonal], [u * by for u in self.above])
+
+    def paired(self) -> Sparse:
+        """The same matrix with two blocks joined to one each."""
+        d, u, n = self.diagonal, self.above, len(self.diagonal)
+        diagonal = [np.block([[d[k], u[k]], [u[k].T, d[k + 1]]]) if k + 1 < n else d[k] for k in range(0, n, 2)]
+        out = Sparse(diagonal, [np.zeros((len(a), len(b))) for a, b in zip(diagonal[:-1], diagonal[1:], strict=True)])
+        for k in range(0, n - 2, 2):
+            out.above[k // 2][len(d[k]) :, : len(d[k + 2])] = u[k + 1]
+        return out
+
+    def squared(self, weight: np.ndarray) -> Sparse:
+        """A diag(weight) A, in blocks of two rows."""
+        d, u, e, n = self.diagonal, self.above, self.edges, len(self.diagonal)
+        w = [weight[a:b] for a, b in zip(e[:-1], e[1:], strict=True)]
+        same, next_, far = [], [], []
+        for k in range(n):
+            q = (d[k] * w[k]) @ d[k]
+            if k:
+                q = q + (u[k - 1].T * w[k - 1]) @ u[k - 1]
+            if k + 1 < n:
+                q = q + (u[k] * w[k + 1]) @ u[k].T
+                next_.append((d[k] * w[k]) @ u[k] + (u[k] * w[k + 1]) @ d[k + 1])
+            if k + 2 < n:
+                far.append((u[k] * w[k + 1]) @ u[k + 1])
+            same.append(q)
+        out = Sparse(same, next_).paired()
+        for k, block in enumerate(far):  # rows k and k + 2 lie in neighbouring pairs
+            a, b = (0 if k % 2 == 0 else len(d[k - 1])), (0 if k % 2 == 0 else len(d[k + 1]))
+            out.above[k // 2][a : a + block.shape[0], b : b + block.shape[1]] += block
+        return out
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self), len(self)))
+        for k, d in enumerate(self.diagonal):
+            a, b = self.edges[k], self.edges[k + 1]
+            out[a:b, a:b] = d
+            if k + 1 < len(self.diagonal):
+                c = self.edges[k + 2]
+                out[a:b, b:c], out[b:c, a:b] = self.above[k], self.above[k].T
+        return out
+
+
+def laplacian(ny: int, nx: int, dx_km: np.ndarray, dy_km: float) -> Sparse:
+    """Five-point Laplacian with Neumann edges, a block a row; dx may vary by row."""
+    beside = np.zeros(nx)
+    beside[: nx - 1] += 1
+    beside[1:] += 1
+    diagonal, above = [], []
+    for j in range(ny):
+        row = np.diag(-beside / dx_km[j] ** 2 - ((j > 0) + (j < ny - 1)) / dy_km**2)
+        i = np.arange(nx - 1)
+        row[i, i + 1] = row[i + 1, i] = 1 / dx_km[j] ** 2
+        diagonal.append(row)
+        if j < ny - 1:
+            above.append(np.eye(nx) / dy_km**2)
+    return Sparse(diagonal, above)
+
+
+def precision(lon: np.ndarray, lat: np.ndarray, range_km: float, variance: float) -> Sparse:
     """(kappa^2 I - L)' (kappa^2 I - L), scaled so that the mean prior variance is ``variance``."""
     dx, dy = spacing(lon, lat)
-    a = 8.0 / range_km**2 * np.eye(len(lon) * len(lat)) - laplacian(len(lat), len(lon), dx, dy)
-    q = a.T @ a
-    blocks = Blocks(q, 2 * len(lon))
-    return q * (blocks.variance().mean() / variance)
+    l = laplacian(len(lat), len(lon), dx, dy)  # noqa: E741
+    a = Sparse([8.0 / range_km**2 * np.eye(len(d)) - d for d in l.diagonal], [-u for u in l.above])
+    q = a.squared(np.ones(len(a)))
+    return q.scaled(Blocks(q).variance().mean() / variance)
 
 
 class Blocks:
     """Factor of a symmetric positive block-tridiagonal matrix."""
 
-    def __init__(self, q: np.ndarray, size: int) -> None:
-        n = len(q)
-        self.edges = [*range(0, n, size), n] if n % size else [*range(0, n + 1, size)]
-        if len(self.edges) > 2 and self.edges[-1] == self.edges[-2]:
-            self.edges.pop()
+    def __init__(self, q: Sparse) -> None:
+        self.edges = q.edges.tolist()
         self.low, self.up = [], []
         prev = None
-        for k, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
-            s = q[a:b, a:b].copy()
+        for k, own in enumerate(q.diagonal):
+            s = own.copy()
             if k:
-                c = q[self.edges[k - 1] : a, a:b]
-                half = np.linalg.solve(prev, c)
+                half = np.linalg.solve(prev, q.above[k - 1])
                 s -= half.T @ half
                 self.up.append(half)  # L^-1 of the block before, times its coupling to this one
             prev = np.linalg.cholesky(s)
@@ -123,10 +194,9 @@ class Field:
             r = noise * np.exp(np.abs(obs[:, 2] - t) / taper)
             for a in range(4):
                 np.add.at(rhs, nodes[:, a], w[:, a] * y / r)
-                for b in range(4):
-                    np.add.at(q, (nodes[:, a], nodes[:, b]), w[:, a] * w[:, b] / r)
+            q.add(nodes[:, :, None].repeat(4, 2), nodes[:, None, :].repeat(4, 1), w[:, :, None] * w[:, None, :] / r[:, None, None])
         self.q = q
-        self.blocks = Blocks(q, 2 * len(lon))
+        self.blocks = Blocks(q)
         self.mean = self.blocks.solve(rhs)
 
     def variance(self) -> np.ndarray:

@@ -104,24 +104,54 @@ class Normal:
         return self.adjoint(y / self.r[:, None])
 
 
+@dataclass
+class Descent:
+    """A conjugate-gradient run that can stop and go on: what it has, and how far it is."""
+
+    x: np.ndarray
+    r: np.ndarray
+    p: np.ndarray
+    rz: np.ndarray
+    norm: np.ndarray
+    iterations: int = 0
+
+    @classmethod
+    def begin(cls, system: Normal, b: np.ndarray) -> Descent:
+        z = b / system.diagonal[:, None]
+        return cls(np.zeros_like(b), b.copy(), z.copy(), (b * z).sum(0), np.maximum(np.linalg.norm(b, axis=0), 1e-300))
+
+    @property
+    def residuals(self) -> np.ndarray:
+        """Relative residual of each right side."""
+        return np.linalg.norm(self.r, axis=0) / self.norm
+
+    def run(self, system: Normal, rtol: float, most: int) -> Descent:
+        """Go on until every residual is below ``rtol``, or ``most`` iterations are done in all."""
+        while self.iterations < most and self.residuals.max() > rtol:
+            ap = system.apply(self.p)
+            a = self.rz / np.maximum((self.p * ap).sum(0), 1e-300)
+            self.x += a * self.p
+            self.r -= a * ap
+            z = self.r / system.diagonal[:, None]
+            new = (self.r * z).sum(0)
+            self.p = z + new / np.maximum(self.rz, 1e-300) * self.p
+            self.rz = new
+            self.iterations += 1
+        return self
+
+
 def conjugate_gradient(system: Normal, b: np.ndarray, rtol: float = 1e-6, most: int = 500) -> tuple[np.ndarray, int, float]:
     """Jacobi-preconditioned for several right sides at once: solution, iterations, worst relative residual."""
-    x, r = np.zeros_like(b), b.copy()
-    z = r / system.diagonal[:, None]
-    p, rz = z.copy(), (r * z).sum(0)
-    norm = np.maximum(np.linalg.norm(b, axis=0), 1e-300)
-    k = 0
-    while k < most and (np.linalg.norm(r, axis=0) / norm).max() > rtol:
-        ap = system.apply(p)
-        a = rz / np.maximum((p * ap).sum(0), 1e-300)
-        x += a * p
-        r -= a * ap
-        z = r / system.diagonal[:, None]
-        new = (r * z).sum(0)
-        p = z + new / np.maximum(rz, 1e-300) * p
-        rz = new
-        k += 1
-    return x, k, float((np.linalg.norm(r, axis=0) / norm).max())
+    run = Descent.begin(system, b).run(system, rtol, most)
+    return run.x, run.iterations, float(run.residuals.max())
+
+
+def solution(system: Normal, b: np.ndarray, rtol: float = 1e-6, most: int = 2000) -> np.ndarray:
+    """The converged solution; a run that ends at its cap is refused, with its report."""
+    x, iterations, residual = conjugate_gradient(system, b, rtol, most)
+    if residual > rtol:
+        raise ArithmeticError(f"not converged: residual {residual:.3g} after {iterations} iterations")
+    return x
 
 
 def pass_modes(s: np.ndarray, pass_no: np.ndarray, bias: float, tilt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,12 +161,24 @@ def pass_modes(s: np.ndarray, pass_no: np.ndarray, bias: float, tilt: float) ->
     return np.tile(np.arange(n), 2), np.concatenate([2 * number, 2 * number + 1]), np.concatenate([np.ones(n), s]), np.tile([bias, tilt], len(passes))
 
 
-def member_sides(system: Normal, y: np.ndarray, obs_id: np.ndarray, els_id: np.ndarray, members: int, root: int) -> np.ndarray:
-    """Right sides of the mean and of perturbed-observation members."""
-    sides = [system.right_side(y[:, None])[:, 0]]
+def augmented(triplets: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray, s: np.ndarray, pass_no: np.ndarray, bias: float, tilt: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Design and prior variances with the pass errors' columns behind the basis: what an observation
+    error of R + B L B' comes to, when the fields are read off the basis' part alone."""
+    row, column, value, lam = pass_modes(s, pass_no, bias, tilt)
+    both = tuple(np.concatenate(x) for x in zip(triplets, (row, column + len(q), value), strict=True))
+    return both, np.concatenate([q, lam])
+
+
+def member_sides(system: Normal, y: np.ndarray, obs_id: np.ndarray, els_id: np.ndarray, members: int, root: int, err_id: np.ndarray | None = None) -> np.ndarray:
+    """Right sides of the mean and of perturbed-observation members; ``err_id`` names the error modes
+    that follow the elements in an augmented system."""
+    sides, n = [system.right_side(y[:, None])[:, 0]], len(els_id)
     for m in range(members):
         noisy = y + scaled_noise(obs_id, system.r, m, root, "obs")
-        sides.append(system.right_side(noisy[:, None])[:, 0] + scaled_noise(els_id, system.q, m, root, "coef") / system.q)
+        prior = scaled_noise(els_id, system.q[:n], m, root, "coef")
+        if err_id is not None:
+            prior = np.concatenate([prior, scaled_noise(err_id, system.q[n:], m, root, "err")])
+        sides.append(system.right_side(noisy[:, None])[:, 0] + prior / system.q)
     return np.stack(sides, 1)
 
 
@@ -185,3 +227,10 @@ def peak_bytes(basis: Basis, n_obs: int, start: float, stop: float, members: int
     columns = n_coefficients(basis, start, stop)
     parts = {"design": expected_nonzeros(basis, n_obs) * 24, "vectors": columns * (members + 1) * 8 * 5.0, "nodes": n_nodes * (members + 1) * 8.0}
     return parts | {"total": sum(parts.values())}
+
+
+def gate(basis: Basis, n_obs: int, start: float, stop: float, members: int, n_nodes: int, most: float) -> None:
+    """Refuse a window whose solve would need more than ``most`` bytes, before anything is built."""
+    needed = peak_bytes(basis, n_obs, start, stop, members, n_nodes)["total"]
+    if needed > most:
+        raise MemoryError(f"a window needs {needed:.3g} bytes, above {most:.3g}")

@@ -123,10 +123,29 @@ def fit_regions(points: DataFrame, steps: int = 15, obs_var: float = TRACK_VARIA
     return now
 
 
+#: Relative error of the ranks between which the exact median is then looked for.
+_RANK = 1e-3
+
+
+def exact_median(rows: DataFrame, value: Column) -> float | None:
+    """The median without gathering all values: two approximate quantiles bracket it, the rows between them
+    (a few thousandths) are then ranked exactly."""
+    v = rows.select(value.alias("_v")).where("_v IS NOT NULL")
+    bracket = F.approx_percentile("_v", [0.5 - 2 * _RANK, 0.5 + 2 * _RANK], int(1 / _RANK))
+    n, ends = v.agg(F.count(F.lit(1)), bracket).first()
+    if not n:
+        return None
+    low, high = (-math.inf, math.inf) if n < 1 / _RANK else ends
+    inside = F.when((F.col("_v") >= low) & (F.col("_v") <= high), F.col("_v"))
+    below, m = v.agg(F.count_if(F.col("_v") < low), F.count(inside)).first()
+    return v.agg(F.percentile(inside, F.lit(((n - 1) / 2 - below) / max(m - 1, 1)))).first()[0]
+
+
 def tail_diagnostic(points: DataFrame, s: float = 1.0, limit: float = 1.5) -> DataFrame:
     """Median of r^2 / (s v) over that of chi-square with one degree, and whether it is above the limit."""
-    ratio = F.percentile(F.pow("resid", 2) / (s * F.col("v")), F.lit(0.5)) / CHI2_MEDIAN
-    return points.agg(ratio.alias("ratio")).withColumn("flag", F.col("ratio") >= limit)
+    median = exact_median(points, F.pow("resid", 2) / (s * F.col("v")))
+    ratio = F.lit(None).cast("double") if median is None else F.lit(median / CHI2_MEDIAN)
+    return points.sparkSession.range(1).select(ratio.alias("ratio")).withColumn("flag", F.col("ratio") >= limit)
 
 
 def lag_correlations(points: DataFrame, lags: int = 20) -> DataFrame:

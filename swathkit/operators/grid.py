@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, clamp, in_range, real
+from .ordered import beside
 
 
 @dataclass(frozen=True)
@@ -78,13 +79,17 @@ class Grid:
         return self.lat.nearest(lat).cast("long") * self.lon.n + self.lon.nearest(lon)
 
 
-def edge_widths(axis_table: DataFrame, value: str) -> DataFrame:
-    """Width of each node's cell: between the middles to its neighbours, the ends extrapolated by half a step."""
-    w = W.orderBy(value)
-    before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+def edge_widths(axis_table: DataFrame, value: str, stretch: float | None = None) -> DataFrame:
+    """Width of each node's cell: between the middles to its neighbours, the ends extrapolated by half a step.
+
+    ``stretch`` is the part of the axis that one task orders; without it the axis is one.
+    """
+    block = F.lit(0) if stretch is None else F.floor(F.col(value) / stretch)
+    near = beside(axis_table, [], block, [value], [value])
+    before, after, here = F.col("_prev").getField(value), F.col("_next").getField(value), F.col(value)
     left = F.coalesce((here + before) / 2, here - (after - here) / 2)
     right = F.coalesce((here + after) / 2, here + (here - before) / 2)
-    return axis_table.withColumn("width", right - left)
+    return near.withColumn("width", right - left).drop("_prev", "_next")
 
 
 def cell_areas(grid: Grid, spark: SparkSession) -> DataFrame:
@@ -125,26 +130,53 @@ def nearest_nodes(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumn("node_id", grid.node_id(F.col("lon"), F.col("lat")))
 
 
-def nearest_of(points: DataFrame, key: str, support: DataFrame, cell: float) -> DataFrame:
-    """Nearest row of a scattered support (node, lon, lat): equi-joins on neighbouring cells of ``cell`` degrees.
+def nearest_of(points: DataFrame, key: str, support: DataFrame) -> DataFrame:
+    """Adds node and d2 of the nearest row (node, lon, lat) of a scattered support, in degrees, ties to
+    the smaller node; null only for an empty support.
 
-    The answer is exact wherever it is nearer than a cell, the others are settled by the next call
-    with larger cells: rows come back without a node then.
+    Cells have about two support rows each on average. A point looks into the 3 by 3 cells around it;
+    it is settled if it finds something no further away than one cell, for nothing outside can be
+    nearer. What is left looks again among cells of twice the size, until a cell holds everything.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    spread = points.select(key, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"), F.explode(F.array(*[F.struct((at("lon") + i).alias("cx"), (at("lat") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(key, "_plon", "_plat", "c.cx", "c.cy")
-    cells = support.select("node", "lon", "lat", at("lon").alias("cx"), at("lat").alias("cy"))
-    d2 = F.pow(F.col("lon") - F.col("_plon"), 2) + F.pow(F.col("lat") - F.col("_plat"), 2)
-    best = spread.join(cells, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= cell * cell).groupBy(key).agg(F.min(F.struct("d2", "node")).alias("b"))
-    return points.join(best.select(key, "b.node", "b.d2"), key, "left")
+    spark = support.sparkSession
+    n, x0, x1, y0, y1 = support.agg(F.count(F.lit(1)), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    if not n:
+        return points.withColumn("node", F.lit(None).cast(support.schema["node"].dataType)).withColumn("d2", F.lit(None).cast("double"))
+    low = points.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    extent = max([x1 - x0, y1 - y0] + ([max(low[1], x1) - min(low[0], x0), max(low[3], y1) - min(low[2], y0)] if low[0] is not None else []))
+    cell, done, open_ = max(((x1 - x0) * (y1 - y0) * 2 / n) ** 0.5, extent / (1 << 20), 1e-9), None, points.select(key, "lon", "lat")
+    while True:
+        cx, cy = F.floor(F.col("lon") / cell), F.floor(F.col("lat") / cell)
+        around = F.explode(F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+        spread = open_.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y"), around).select(key, "_x", "_y", "c.cx", "c.cy")
+        cells = support.select("node", "lon", "lat", cx.alias("cx"), cy.alias("cy"))
+        d2 = F.pow(F.col("lon") - F.col("_x"), 2) + F.pow(F.col("lat") - F.col("_y"), 2)
+        best = spread.join(cells, ["cx", "cy"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "node")).alias("b")).select(key, "b.node", "b.d2")
+        settled = best if cell > extent else best.where(F.col("d2") <= cell * cell)
+        # Checkpoints cut what would be a plan of all rounds.
+        settled = settled.checkpoint() if spark.sparkContext.getCheckpointDir() else settled
+        done = settled if done is None else done.unionByName(settled)
+        if cell > extent:
+            return points.join(done, key, "left")
+        open_ = open_.join(settled.select(key), key, "left_anti")
+        if not open_.limit(1).count():
+            return points.join(done, key, "left")
+        cell *= 2
+
+
+#: Nodes that an inverse-distance map may have: every observation meets every node.
+IDW_NODES = 100_000
 
 
 def idw(obs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Inverse-distance estimate at every node from all given observations: weight 1 / (d^2 + 1e-9), degrees, time ignored.
 
     The method is defined over all pairs; nodes are a run's grid, so they are the side whose size is
-    known, and partial sums are combined before the shuffle.
+    known, and partial sums are combined before the shuffle. A grid of more than ``IDW_NODES`` is
+    refused; it has to be tiled.
     """
+    if (n := nodes.count()) > IDW_NODES:
+        raise ValueError(f"{n} nodes are too many for a map of all pairs")
     d2 = F.pow(F.col("n.lon") - F.col("o.lon"), 2) + F.pow(F.col("n.lat") - F.col("o.lat"), 2)
     pairs = obs.alias("o").join(nodes.alias("n"))
     weighted = pairs.select("n.node_id", (1 / (d2 + 1e-9)).alias("w"), F.col("o.sla").alias("v"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import ORBIT_KM_PER_DEGREE, haversine_km
+from .ordered import beside, running
 
 GAP_SECONDS = 60.0
 #: Cluster tolerance in degrees, and the ratios that decide and that refuse.
@@ -18,9 +19,11 @@ REPEAT_MOST, DRIFT_LEAST = 0.25, 0.431
 
 def segment_passes(obs: DataFrame, gap_seconds: float = GAP_SECONDS) -> DataFrame:
     """Adds pass_id: sessions of a mission, a new one after a gap of strictly more than ``gap_seconds``."""
-    w = W.partitionBy("mission").orderBy("t", "seq")
-    fresh = F.coalesce(((F.col("t") - F.lag("t").over(w)) * 86400.0 > gap_seconds).cast("int"), F.lit(1))
-    return obs.withColumn("_new", fresh).withColumn("pass_id", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    day, order = F.floor("t"), ["t", "seq"]
+    before = beside(obs, ["mission"], day, order, ["t"])
+    fresh = F.coalesce(((F.col("t") - F.col("_prev.t")) * 86400.0 > gap_seconds).cast("int"), F.lit(1))
+    marked = before.withColumn("_new", fresh).drop("_prev", "_next")
+    return running(marked, ["mission"], day, order, F.col("_new"), "pass_id").drop("_new", "_all")
 
 
 def arc_coordinate(passes: DataFrame) -> DataFrame:
@@ -66,11 +69,17 @@ def crossings(passes: DataFrame, phi0: float, lon: tuple[float, float]) -> DataF
     return between.select("mission", "ascending", "pass_id", at.alias("crossing")).where((F.col("crossing") >= lon[0]) & (F.col("crossing") <= lon[1]))
 
 
+def _clusters(found: DataFrame, tolerance: float) -> DataFrame:
+    """Adds _new: whether a crossing is further than ``tolerance`` from the one west of it; blocks are degrees."""
+    keys, order = ["mission", "ascending"], ["crossing", "pass_id"]
+    west = beside(found, keys, F.floor("crossing"), order, ["crossing"])
+    fresh = F.coalesce(((F.col("crossing") - F.col("_prev.crossing")) > tolerance).cast("int"), F.lit(1))
+    return west.withColumn("_new", fresh).drop("_prev", "_next")
+
+
 def classify_orbits(found: DataFrame, tolerance: float) -> DataFrame:
     """Single-linkage clusters of crossings: few clusters per crossing mean a repeat orbit; between the two limits the class is refused."""
-    w = W.partitionBy("mission", "ascending").orderBy("crossing")
-    fresh = F.coalesce(((F.col("crossing") - F.lag("crossing").over(w)) > tolerance).cast("int"), F.lit(1))
-    ratios = found.withColumn("_new", fresh).groupBy("mission", "ascending").agg(F.count(F.lit(1)).alias("n_crossings"), F.sum("_new").alias("n_clusters"))
+    ratios = _clusters(found, tolerance).groupBy("mission", "ascending").agg(F.count(F.lit(1)).alias("n_crossings"), F.sum("_new").alias("n_clusters"))
     ratio = F.col("n_clusters") / F.col("n_crossings")
     kind = F.when(ratio <= REPEAT_MOST, "repeat").when(ratio >= DRIFT_LEAST, "drifting").otherwise("refused")
     return ratios.withColumn("ratio", ratio).withColumn("orbit_class", kind)
@@ -78,14 +87,13 @@ def classify_orbits(found: DataFrame, tolerance: float) -> DataFrame:
 
 def families(found: DataFrame, tolerance: float, phi0: float) -> DataFrame:
     """Spacing of the clusters of crossings, in kilometres: median and quantiles."""
-    w = W.partitionBy("mission", "ascending").orderBy("crossing")
-    fresh = F.coalesce(((F.col("crossing") - F.lag("crossing").over(w)) > tolerance).cast("int"), F.lit(1))
-    runs = found.withColumn("_new", fresh).withColumn("cluster", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    centres = runs.groupBy("mission", "ascending", "cluster").agg(F.avg("crossing").alias("centre"))
-    own = W.partitionBy("mission", "ascending").orderBy("centre")
-    gap = (F.lead("centre").over(own) - F.col("centre")) * ORBIT_KM_PER_DEGREE * math.cos(math.radians(phi0))
+    keys = ["mission", "ascending"]
+    runs = running(_clusters(found, tolerance), keys, F.floor("crossing"), ["crossing", "pass_id"], F.col("_new"), "cluster")
+    centres = runs.groupBy(*keys, "cluster").agg(F.avg("crossing").alias("centre"))
+    spaced = beside(centres, keys, F.floor("centre"), ["centre", "cluster"], ["centre"])
+    gap = (F.col("_next.centre") - F.col("centre")) * ORBIT_KM_PER_DEGREE * math.cos(math.radians(phi0))
     q = [F.percentile("gap", F.lit(x)).alias(n) for n, x in (("q10_km", 0.1), ("s_lon_km", 0.5), ("q90_km", 0.9))]
-    return centres.withColumn("gap", gap).where(F.col("gap").isNotNull()).groupBy("mission", "ascending").agg(*q, F.count(F.lit(1)).alias("n_gaps"))
+    return spaced.withColumn("gap", gap).where(F.col("gap").isNotNull()).groupBy(*keys).agg(*q, F.count(F.lit(1)).alias("n_gaps"))
 
 
 def geometry(obs: DataFrame, phi0: float, lon: tuple[float, float], tolerance: float = 0.05, locked: tuple[str, ...] = ("c2", "c2n")) -> DataFrame:

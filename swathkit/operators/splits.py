@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, in_range
+from .ordered import running
 
 #: The box of the regions, the cell size, guard ring, fold sizes and salts.
 BOX_LON, BOX_LAT, CELL, CELLS, GUARD = 295.0, 33.0, 2.0, 5, 0.5
@@ -27,10 +28,10 @@ def mission_split(obs: DataFrame, locked: tuple[str, ...], validation: tuple[str
 
 def temporal_fraction(obs: DataFrame, train: float, buffer: float) -> DataFrame:
     """By rank in time within a mission: int(n train) TRAIN, int(n buffer) BUFFER_DISCARD, the rest VALIDATION."""
-    rank = F.row_number().over(W.partitionBy("mission").orderBy("t", "seq")) - 1
-    n = F.count(F.lit(1)).over(W.partitionBy("mission"))
+    ranked = running(obs, ["mission"], F.floor("t"), ["t", "seq"], F.lit(1), "_rank")
+    rank, n = F.col("_rank") - 1, F.col("_all")
     first = F.floor(n * train)
-    return obs.withColumn("label", F.when(rank < first, "TRAIN").when(rank < first + F.floor(n * buffer), "BUFFER_DISCARD").otherwise("VALIDATION"))
+    return ranked.withColumn("label", F.when(rank < first, "TRAIN").when(rank < first + F.floor(n * buffer), "BUFFER_DISCARD").otherwise("VALIDATION")).drop("_rank", "_all")
 
 
 def block_id(lon: Column, t: Column, degrees: float = 2.0, days: float = 7.0) -> Column:

@@ -8,19 +8,22 @@ reduced rows only.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_range
+from ..functions.geo import in_range, latitude_field, real
 from ..kernels import fem, gmrf, miost, oi
 from ..kernels.covariance import Kernel, gaussian_degrees, matern_space_time, paciorek_degrees
 from ..kernels.noise import derive_seed, lattice_identity, normals
 from ..operators.blend import Tile, blend, in_tiles, partition_weights, tile_table
 from ..operators.grid import Grid, interpolate
+from ..operators.orbit import arc_coordinate, segment_passes
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,38 @@ class Run:
     withheld: str = "c2"
 
 
+@dataclass(frozen=True)
+class Provider:
+    """Parameters of a run: constants, and fields of latitude by form and coefficients."""
+
+    constants: dict[str, float]
+    varied: dict[str, tuple[str, tuple[float, ...]]] = field(default_factory=dict)
+
+    def at(self, name: str, lat: Column) -> Column:
+        """The parameter's value at a latitude."""
+        if name in self.varied:
+            form, a = self.varied[name]
+            return latitude_field(lat, form, *a)
+        return real(self.constants[name])
+
+    def constant(self, name: str) -> float:
+        """A constant; a field is refused, not made one."""
+        if name in self.varied:
+            raise TypeError(f"{name} varies with latitude")
+        return self.constants[name]
+
+    def key(self) -> str:
+        """Digest that depends on names and values, not on their order."""
+        body = dict(self.constants) | {k: {"form": form, "a": list(a)} for k, (form, a) in self.varied.items()}
+        return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+#: Observations that a dense unit may hold: two matrices of 3.2 GB at most.
+DENSE_OBS = 20_000
+#: Bytes that a window's solve may need.
+WINDOW_BYTES = 4e9
+
+
 def kernel_of(params: dict) -> Kernel:
     """The covariance that the parameters name: Matern in kilometres, Gaussian in degrees, or with lengths by latitude."""
     kind = params.get("kernel", "matern")
@@ -64,6 +99,8 @@ def solve_unit(run: Run, t: float, obs: pd.DataFrame, nodes: pd.DataFrame) -> pd
     at = np.column_stack([nodes["lon"], nodes["lat"], np.full(len(nodes), t)])
     p, n = run.params, len(nodes)
     if run.method == "oi":
+        if len(points) > p.get("most_obs", DENSE_OBS):
+            raise MemoryError(f"{len(points)} observations in a unit: tile the run, or shorten its window")
         post = oi.Posterior(kernel_of(p), points, y, noise)
         mean, var = post.mean(at), post.variance(at)
         factor, residual, _ = oi.low_rank(post, at, min(run.rank, n), run.seed)
@@ -76,7 +113,7 @@ def solve_unit(run: Run, t: float, obs: pd.DataFrame, nodes: pd.DataFrame) -> pd
             mean, var = f.mean, f.variance()
         else:
             mesh = fem.structured_mesh(lon, lat)
-            mean, var = fem.solve(*mesh, points, y, noise, t, *shape)
+            mean, var = fem.solve(*mesh, points, y, noise, t, *shape, row=len(lon))
         order = np.lexsort((nodes["lon"].to_numpy().round(9), nodes["lat"].to_numpy().round(9)))
         back = np.empty(n, int)
         back[order] = np.arange(n)
@@ -98,7 +135,7 @@ def solve_unit(run: Run, t: float, obs: pd.DataFrame, nodes: pd.DataFrame) -> pd
         system = miost.Normal(basis.design(els, xo, yo, points[:, 2]), len(y), noise, q)
         members = p.get("members", 10)
         sides = miost.member_sides(system, y, obs["seq"].to_numpy(), np.arange(len(q)), members, run.seed)
-        eta, _, _ = miost.conjugate_gradient(system, sides)
+        eta = miost.solution(system, sides)
         row, column, value = basis.design(els, xn, yn, np.full(n, t))
         fields = np.stack([np.bincount(row, value * e[column], n) for e in eta.T], 1)
         mean, anomalies = fields[:, 0], fields[:, 1:] - fields[:, 1:].mean(1, keepdims=True)
@@ -215,14 +252,21 @@ def window_maps(obs: DataFrame, run: Run, windows: miost.Windows) -> DataFrame:
     that it covers, and the (one or two) covering windows of a day are blended by linear weights.
 
     time_days, node_id, lon, lat, mean, var: the variance is that of the blended members, whose noise is
-    keyed by observation and element, so that members of two windows belong together.
+    keyed by observation and element, so that members of two windows belong together. With the
+    parameter ``pass_bias`` (and ``pass_tilt``), variances in square metres, every pass has a bias and a
+    tilt along its arc as observation errors of its own.
     """
     spark = obs.sparkSession
     spans = windows.all()
     table = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(spans)], "window int, w0 double, w1 double")
     cover = spark.createDataFrame([(float(d), k, w) for d in run.output_times for k, w in windows.covering(d)], "time_days double, window int, weight double")
     p, reach = run.params, run.params.get("dt_days", 10.0)
-    own = obs.where(F.col("mission") != run.withheld).select("seq", "lon", "lat", "t", "sla", "err_var").join(F.broadcast(table), (F.col("t") >= F.col("w0") - reach) & (F.col("t") <= F.col("w1") + reach))
+    kept = obs.where(F.col("mission") != run.withheld)
+    if structured := "pass_bias" in p:
+        kept = arc_coordinate(segment_passes(kept))
+        pass_key = F.xxhash64("mission", "pass_id")
+    kept = kept.select("seq", "lon", "lat", "t", "sla", "err_var", *([F.col("s"), pass_key.alias("pass_key")] if structured else []))
+    own = kept.join(F.broadcast(table), (F.col("t") >= F.col("w0") - reach) & (F.col("t") <= F.col("w1") + reach))
     days = {k: [float(d) for d in run.output_times if k in dict(windows.covering(d))] for k in range(len(spans))}
     lon, lat = (np.array([a.low + i * a.step for i in range(a.n)]) for a in (run.grid.lon, run.grid.lat))
     x_deg, y_deg = (g.ravel() for g in np.meshgrid(lon, lat))
@@ -236,9 +280,15 @@ def window_maps(obs: DataFrame, run: Run, windows: miost.Windows) -> DataFrame:
         basis = miost.Basis((float(xn.min()), float(xn.max())), (float(yn.min()), float(yn.max())), tuple(p.get("wavelengths", (800.0, 400.0))), p.get("n_dir", 4), dt_days=reach)
         els = basis.elements(*spans[k])
         q = miost.prior_variance(els["lam"], p.get("rho", 1.0), p.get("q_slope", 2.0), p.get("r_ref", 0.01))
-        system = miost.Normal(basis.design(els, xo, yo, o["t"].to_numpy()), len(o), o["err_var"].to_numpy(), q)
+        miost.gate(basis, len(o), *spans[k], p.get("members", 4), len(xn), p.get("most_bytes", WINDOW_BYTES))
+        design, err_id = basis.design(els, xo, yo, o["t"].to_numpy()), None
         identity = lattice_identity(els["x"], els["y"], 1.0) ^ (np.rint(els["t"] * 10).astype(np.int64) << 20) ^ np.rint(els["lam"] * els["angle"] + els["phase"] * 7).astype(np.int64)
-        eta, _, _ = miost.conjugate_gradient(system, miost.member_sides(system, o["sla"].to_numpy(), o["seq"].to_numpy(), identity, p.get("members", 4), run.seed))
+        if structured:  # errors of a pass: its bias and tilt, keyed by the pass
+            passes = o["pass_key"].to_numpy()
+            design, q = miost.augmented(design, q, o["s"].to_numpy(), passes, p["pass_bias"], p.get("pass_tilt", p["pass_bias"]))
+            err_id = np.repeat(np.unique(passes), 2) ^ np.tile([0, 1], len(np.unique(passes)))
+        system = miost.Normal(design, len(o), o["err_var"].to_numpy(), q)
+        eta = miost.solution(system, miost.member_sides(system, o["sla"].to_numpy(), o["seq"].to_numpy(), identity, p.get("members", 4), run.seed, err_id))
         parts = []
         for d in days[k]:
             row, column, value = basis.design(els, xn, yn, np.full(len(xn), d))

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stats
+from ..operators.ordered import beside, running
+
 Space = dict[str, tuple[float, float]]
 
 
@@ -124,8 +127,9 @@ def trial_table(spark: SparkSession, trials: list[Trial]) -> DataFrame:
 
 
 def lexicographic(trials: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
-    """Total order by several scores (name, ascending)."""
-    return trials.orderBy(*[(F.col("scores")[k].asc() if up else F.col("scores")[k].desc()) for k, up in keys], "id")
+    """Adds ``place`` in the total order by several scores (name, ascending), ties by id."""
+    order = [F.col("scores")[k].asc() if up else F.col("scores")[k].desc() for k, up in keys]
+    return trials.withColumn("place", F.row_number().over(W.orderBy(*order, "id"))).orderBy("place")
 
 
 def banded_winner(rows: list[dict], stages: list[tuple[str, bool, float]]) -> tuple[dict, list[dict]]:
@@ -169,7 +173,33 @@ def authorize(estimate: dict[str, float], ceilings: dict[str, float]) -> tuple[b
     return not over, over
 
 
-# Bands by paired moving-block bootstrap.
+# Stages and bands by paired moving-block bootstrap.
+def assemble_scores(track: DataFrame, resolution: Callable[[DataFrame], float | None], mu_bar: float) -> dict[str, float]:
+    """Skill and coverage of a scored track (value, mean, var); the resolution, which is dear, only for
+    skills at or above the bar, and only where it can be had."""
+    row = track.agg(stats.skill(F.col("value"), F.col("mean")).alias("mu"), stats.coverage(F.col("mean"), F.col("var"), F.col("value")).alias("coverage")).first()
+    scores = {"mu": row["mu"], "coverage": row["coverage"]}
+    if row["mu"] is not None and row["mu"] >= mu_bar and (found := resolution(track)) is not None:
+        scores["lambda_x"] = found
+    return scores
+
+
+def run_stage(space: Space, strategy: RandomSearch | HaltonSearch | ParzenSearch, feasible: Callable[[dict], tuple[bool, str]], scorer: Callable[[dict], dict[str, float]], accept: Callable[[dict], dict[str, float]], bars: list[Bar], score: str, rounds: int = 1) -> dict:
+    """Tune on the validation side, then one run of the winner on the acceptance side, whose scores are
+    recorded whatever they are; without a trial that passes the bars, nothing is touched."""
+    trials = tune(space, strategy, feasible, scorer, bars, score, rounds)
+    best = trials[0] if trials and trials[0].scores is not None and all(b.passes(trials[0].scores) for b in bars) else None
+    return {"trials": trials, "winner": best, "acceptance": accept(best.params) if best is not None else None}
+
+
+def segments(track: DataFrame, gap_seconds: float) -> DataFrame:
+    """Adds segment: stretches of a mission's track that blocks don't leave, cut at gaps and where the day changes."""
+    order, day = ["t", "seq"], F.floor("t")
+    before = beside(track, ["mission"], day, order, ["t"])
+    fresh = F.col("_prev").isNull() | ((F.col("t") - F.col("_prev.t")) * 86400.0 > gap_seconds) | (day != F.floor("_prev.t"))
+    return running(before.withColumn("_new", fresh.cast("int")).drop("_prev", "_next"), ["mission"], day, order, F.col("_new"), "segment").drop("_new", "_all")
+
+
 def block_bands(a: np.ndarray, b: np.ndarray, y: np.ndarray, block: int = 50, draws: int = 200, seed: int = 0) -> dict[str, float]:
     """Two standard errors of the difference of two maps' skills on one track, from the same blocks for both."""
     rng, n = np.random.default_rng(seed), len(y)

@@ -31,12 +31,12 @@ def grid_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GRID.window((297.0, 300.5), (35.0, 41.0)).nodes(spark).select("lon", "lat")
 
 
-@query(f"""WITH a AS (SELECT x, lag(x) OVER w AS p, lead(x) OVER w AS q FROM (SELECT DISTINCT o_custkey::DOUBLE AS x FROM orders WHERE o_custkey < 200) WINDOW w AS (ORDER BY x))
+@query(f"""WITH a AS (SELECT x, lag(x) OVER w AS p, lead(x) OVER w AS q FROM (SELECT DISTINCT o_custkey::DOUBLE AS x FROM orders) WINDOW w AS (ORDER BY x))
 SELECT x, {r6('coalesce((x + q) / 2, x + (x - p) / 2) - coalesce((x + p) / 2, x - (q - x) / 2)')} AS width FROM a""")
 def edge_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell widths of an irregular axis."""
-    axis = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 200").select(F.col("o_custkey").cast("double").alias("x")).distinct()
-    return rounded(ops.edge_widths(axis, "x"), "width")
+    axis = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("double").alias("x")).distinct()
+    return rounded(ops.edge_widths(axis, "x", 10_000.0), "width")
 
 
 @query(f"WITH {OBS_SQL} SELECT seq FROM obs WHERE lon BETWEEN 296.5 AND 301.5 AND lat BETWEEN 34.5 AND 39.5")
@@ -60,9 +60,9 @@ k AS (SELECT c.*, ((iy + dy) * 11 + ix + dx)::BIGINT AS node_id, (CASE dx WHEN 1
   FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dy, dx))"""
 
 
-@query(f"WITH {OBS_SQL}, {_CORNERS} SELECT seq, node_id, {r6('w')} AS w FROM k WHERE seq < 2000")
+@query(f"WITH {OBS_SQL}, {_CORNERS} SELECT seq, node_id, {r6('w')} AS w FROM k")
 def bilinear_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.corner_weights(observations(spark, sf_dir).where("seq < 2000"), GRID).select("seq", "node_id", "w"), "w")
+    return rounded(ops.corner_weights(observations(spark, sf_dir), GRID).select("seq", "node_id", "w"), "w")
 
 
 @query(f"""WITH {OBS_SQL}, {_CORNERS}, {NODES}, f AS (SELECT node_id, CASE WHEN node_id % 17 = 3 THEN NULL ELSE sin(radians(lon)) + cos(radians(lat)) END AS v FROM n),
@@ -169,15 +169,13 @@ def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.nearest_nodes(observations(spark, sf_dir), GRID).select("seq", "node_id")
 
 
-@query(f"""WITH {OBS_SQL}, p AS (SELECT * FROM obs WHERE seq % 10 = 0), s AS (SELECT * FROM obs WHERE seq % 10 = 1)
+@query(f"""WITH {OBS_SQL}, p AS (SELECT * FROM obs WHERE mission = 'purchase'), s AS (SELECT * FROM obs WHERE mission <> 'purchase')
 SELECT p.seq, arg_min(s.seq, (pow(s.lon - p.lon, 2) + pow(s.lat - p.lat, 2), s.seq)) AS node FROM p, s GROUP BY p.seq""")
 def nearest_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest row of a scattered support, by neighbouring cells; what a small cell leaves open goes to larger ones."""
+    """For each observation of the withheld mission the nearest one of all others."""
     obs = observations(spark, sf_dir)
-    points, support = obs.where("seq % 10 = 0").select("seq", "lon", "lat"), obs.where("seq % 10 = 1").select(F.col("seq").alias("node"), "lon", "lat")
-    found = ops.nearest_of(points, "seq", support, 1.0)
-    rest = ops.nearest_of(found.where("node IS NULL").select("seq", "lon", "lat"), "seq", support, 20.0)
-    return found.where("node IS NOT NULL").unionByName(rest).select("seq", "node")
+    points, support = obs.where("mission = 'purchase'").select("seq", "lon", "lat"), obs.where("mission <> 'purchase'").select(F.col("seq").alias("node"), "lon", "lat")
+    return ops.nearest_of(points, "seq", support).select("seq", "node")
 
 
 @query(f"""WITH {OBS_SQL}, {NODES}, b AS (SELECT * FROM obs WHERE t BETWEEN 5 AND 10), w AS (SELECT node_id, 1 / (pow(n.lon - b.lon, 2) + pow(n.lat - b.lat, 2) + 1e-9) AS w, sla FROM n, b)

@@ -313,11 +313,11 @@ def ranked_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(trials, [search.Bar("mu", "ge", 0.3), search.Bar("cov", "within", 0.6827, 0.05)], "lambda_x").select("id", "place")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, md5(o_orderstatus) AS d FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, md5(CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderstatus END) AS d FROM orders WHERE o_orderkey % 4 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, md5(o_orderstatus) AS d FROM orders WHERE o_totalprice > 50000), b AS (SELECT o_orderkey AS k, md5(CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderstatus END) AS d FROM orders WHERE o_totalprice < 300000)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.d IS DISTINCT FROM b.d""")
 def changed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added, removed and modified rows of two states by digest."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    before = orders.where("k % 3 <> 0").select("k", F.md5("o_orderstatus").alias("d"))
-    after = orders.where("k % 4 <> 0").select("k", F.md5(F.when(F.col("k") % 5 == 0, "x").otherwise(F.col("o_orderstatus"))).alias("d"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_totalprice")
+    before = orders.where("o_totalprice > 50000").select("k", F.md5("o_orderstatus").alias("d"))
+    after = orders.where("o_totalprice < 300000").select("k", F.md5(F.when(F.col("k") % 5 == 0, "x").otherwise(F.col("o_orderstatus"))).alias("d"))
     return search.changed_rows(before, after, "k", "d")

@@ -21,6 +21,8 @@ from .scans import r6, rounded
 #: A coarse grid and few observations keep one unit's linear algebra small at every scale factor.
 GRID = Grid.covering((295.0, 305.0), (33.0, 43.0), 1.0)
 TIMES = (5.0, 15.0)
+#: Every day of the table: with half a day on both sides all observations reach a solve.
+DAYS = tuple(d + 0.5 for d in range(30))
 
 
 def _obs(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
@@ -29,8 +31,8 @@ def _obs(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
     return obs.where(F.col("seq") % step == 0)
 
 
-def _run(method: str, **params: object) -> plan.Run:
-    return plan.Run(method, GRID, TIMES, dict(params), half_window=0.5, withheld="purchase")
+def _run(method: str, times: tuple[float, ...] = TIMES, **params: object) -> plan.Run:
+    return plan.Run(method, GRID, times, dict(params), half_window=0.5, withheld="purchase")
 
 
 def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,37 +49,37 @@ def _moments(product: DataFrame) -> DataFrame:
 @query()
 def solve_oi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optimal interpolation, one unit per output time."""
-    return _moments(plan.run_single(_thin(spark, sf_dir), _run("oi")))
+    return _moments(plan.run_single(_thin(spark, sf_dir), _run("oi", DAYS)))
 
 
 @query()
 def solve_oi_paciorek(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OI with lengths by latitude."""
-    return _moments(plan.run_single(_thin(spark, sf_dir), _run("oi", kernel="paciorek", length=(0.2, 0.1))))
+    return _moments(plan.run_single(_thin(spark, sf_dir), _run("oi", DAYS, kernel="paciorek", length=(0.2, 0.1))))
 
 
 @query()
 def solve_gmrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice Markov field with exact variances."""
-    return _moments(plan.run_single(_thin(spark, sf_dir), _run("gmrf")))
+    return _moments(plan.run_single(_thin(spark, sf_dir), _run("gmrf", DAYS)))
 
 
 @query()
 def solve_fem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finite elements on two triangles per cell."""
-    return _moments(plan.run_single(_thin(spark, sf_dir), _run("fem")))
+    return _moments(plan.run_single(_thin(spark, sf_dir), _run("fem", DAYS)))
 
 
 @query()
 def solve_miost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiscale basis by conjugate gradients, with keyed members."""
-    return _moments(plan.run_single(_thin(spark, sf_dir), _run("miost", wavelengths=(800.0,), members=4)))
+    return _moments(plan.run_single(_thin(spark, sf_dir), _run("miost", DAYS, wavelengths=(800.0,), members=4)))
 
 
 @query()
 def solve_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perturbed inverse-distance ensemble."""
-    return _moments(plan.run_single(_thin(spark, sf_dir), _run("trivial", members=10)))
+    return _moments(plan.run_single(_thin(spark, sf_dir), _run("trivial", DAYS, members=10)))
 
 
 #: A prior so short that an observation on a node decides it alone: mean = v / (v + r) * y.
@@ -97,7 +99,7 @@ TILES = lonlat_tiles((295.0, 305.0), (33.0, 43.0), 2, 2, 200.0)
 @query()
 def run_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four tiles solved in parallel and blended."""
-    return rounded(plan.run_tiled(_thin(spark, sf_dir), _run("oi"), TILES).select("time_days", "node_id", "mean", "var", "n_tiles"), "mean", "var")
+    return rounded(plan.run_tiled(_thin(spark, sf_dir), _run("oi", DAYS), TILES).select("time_days", "node_id", "mean", "var", "n_tiles"), "mean", "var")
 
 
 @query()
@@ -143,7 +145,7 @@ def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def daily_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps over sliding half-day windows with a one-degree frame."""
-    return rounded(plan.maps(_thin(spark, sf_dir), _run("gmrf")), "ssh", "var")
+    return rounded(plan.maps(_thin(spark, sf_dir), _run("gmrf", DAYS)), "ssh", "var")
 
 
 @query()
@@ -173,7 +175,10 @@ def effective_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(track.groupBy("mission").applyInPandas(one, "mission string, n_segments int, lambda_x double"), "lambda_x")
 
 
-@query()
+@query(f"""WITH s AS (SELECT unnest(range(0, 7)) AS k), v AS (SELECT k::INT AS "window", 45.0::DOUBLE * k AS a, 45.0::DOUBLE * k + 60 AS b FROM s UNION ALL SELECT 7, 305, 365),
+d AS (SELECT unnest(range(0, 366))::DOUBLE AS day), c AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY "window") AS n FROM d JOIN v ON day BETWEEN a AND b),
+p AS (SELECT day, max(CASE WHEN n = 2 THEN a END) AS a2, max(CASE WHEN n = 1 THEN b END) AS b1 FROM c GROUP BY 1)
+SELECT c.day, c."window", {r6('CASE WHEN a2 IS NULL THEN 1.0::DOUBLE WHEN n = 1 THEN 1 - (c.day - a2) / (b1 - a2) ELSE (c.day - a2) / (b1 - a2) END')} AS weight FROM c JOIN p USING (day) WHERE n <= 2""")
 def miost_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covering windows and weights of each day of a year."""
     plan_ = miost.Windows(0.0, 365.0)

@@ -18,8 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_range, real
+from ..operators.ordered import running
 
 MICROS_PER_DAY = 86_400_000_000
+#: Numbers of seq in a stretch that one task orders.
+ORDERED_ROWS = 1 << 16
 #: Missions of the challenge in canonical order, and those that no loader may open.
 CHALLENGE_MISSIONS = ("alg", "h2g", "j2g", "j2n", "j3", "s3a")
 LOCKED_MISSIONS = ("c2", "c2n")
@@ -118,8 +121,8 @@ def superobs(obs: DataFrame, n: int | None) -> DataFrame:
 
 def mapping_observations(obs: DataFrame, n: int = 5, variance: float = MAPPING_VARIANCE) -> DataFrame:
     """Whole files (missions) thinned by n, non-finite blocks dropped, with a constant variance."""
-    at = F.row_number().over(W.partitionBy("mission").orderBy("seq")) - 1
-    blocks = obs.withColumn("block", F.floor(at / n).cast("long")).groupBy("mission", "block")
+    ranked = running(obs, ["mission"], F.floor(F.col("seq") / ORDERED_ROWS), ["seq"], F.lit(1), "_rank")
+    blocks = ranked.withColumn("block", F.floor((F.col("_rank") - 1) / n).cast("long")).groupBy("mission", "block")
     means = blocks.agg(*[F.avg(c).alias(c) for c in ("lon", "lat", "t", "sla")], F.count(F.lit(1)).alias("n")).where((F.col("n") == n) & ~F.isnan("sla"))
     return means.select("mission", "block", "lon", "lat", "t", "sla", real(variance).alias("err_var"))
 

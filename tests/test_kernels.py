@@ -44,8 +44,8 @@ def test_posterior_samples_have_the_posterior_moments():
 
 
 def test_block_factor_equals_dense_inverse():
-    q = gmrf.precision(LON, LAT, 300.0, 0.05)
-    blocks = gmrf.Blocks(q, 2 * len(LON))
+    sparse = gmrf.precision(LON, LAT, 300.0, 0.05)
+    q, blocks = sparse.dense(), gmrf.Blocks(sparse)
     inverse = np.linalg.inv(q)
     np.testing.assert_allclose(blocks.variance(), np.diag(inverse), rtol=1e-8)
     assert abs(blocks.variance().mean() - 0.05) < 1e-9
@@ -64,7 +64,7 @@ def test_gmrf_field_equals_dense_update():
         np.add.at(a, (np.arange(len(Y)), nodes[:, k]), w[:, k])
     np.testing.assert_allclose(a.sum(1), 1)
     r = NOISE * np.exp(np.abs(OBS[:, 2] - 2.0) / 10.0)
-    q = gmrf.precision(LON, LAT, 300.0, 0.05) + a.T @ (a / r[:, None])
+    q = gmrf.precision(LON, LAT, 300.0, 0.05).dense() + a.T @ (a / r[:, None])
     np.testing.assert_allclose(f.mean, np.linalg.solve(q, a.T @ (Y / r)), atol=1e-9)
     np.testing.assert_allclose(f.variance(), np.diag(np.linalg.inv(q)), rtol=1e-7)
     z = noise.normals(np.arange(len(q) * 3000), 0, 3).reshape(len(q), 3000)
@@ -75,14 +75,44 @@ def test_gmrf_field_equals_dense_update():
 def test_fem_mesh_and_solution():
     nodes, triangles = fem.structured_mesh(LON, LAT)
     assert fem.smallest_angle(nodes, triangles) == pytest.approx(45)
-    mass, stiff = fem.assembled(nodes, triangles)
+    mass, i, j, value = fem.elements(nodes, triangles)
+    stiff = np.zeros((len(nodes), len(nodes)))
+    np.add.at(stiff, (i, j), value)
     assert mass.sum() == pytest.approx(25) and abs(stiff.sum(1)).max() < 1e-12
     at, w = fem.barycentric(nodes, triangles, np.array([[296.3, 34.4], [250.0, 0.0]]))
     np.testing.assert_allclose((nodes[at[0]] * w[0][:, None]).sum(0), [296.3, 34.4])
     assert at[1][0] == 0
     mean, var = fem.solve(nodes, triangles, OBS, Y, NOISE, 2.0, 300.0, 0.05, 10.0)
-    prior = np.diag(np.linalg.inv(fem.precision(nodes, triangles, 300.0, 0.05)))
+    prior = np.diag(np.linalg.inv(fem.precision(nodes, triangles, 300.0, 0.05).dense()))
     assert (var < prior).all() and np.isfinite(mean).all()
+    # The same by blocks of two rows, and against the definition.
+    rows = fem.solve(nodes, triangles, OBS, Y, NOISE, 2.0, 300.0, 0.05, 10.0, row=len(LON))
+    np.testing.assert_allclose(rows[0], mean, atol=1e-9)
+    np.testing.assert_allclose(rows[1], var, rtol=1e-7)
+    km = nodes * np.array([fem.KM_PER_DEGREE * np.cos(np.radians(nodes[:, 1].mean())), fem.KM_PER_DEGREE])
+    mass, i, j, value = fem.elements(km, triangles)
+    a = np.diag(8.0 / 300.0**2 * mass)
+    np.add.at(a, (i, j), value)
+    q = a @ np.diag(1 / mass) @ a / (0.05 * 4 * np.pi * 8.0 / 300.0**2)
+    np.testing.assert_allclose(fem.precision(nodes, triangles, 300.0, 0.05, len(LON)).dense(), q, rtol=1e-9, atol=1e-9 * abs(q).max())
+
+
+@pytest.mark.parametrize("shape", [(2, 2), (3, 4), (4, 3), (5, 2), (6, 3)])
+def test_lattice_precision_equals_its_definition(shape):
+    lat, lon = 33 + np.arange(shape[0]), 295 + np.arange(shape[1])
+    dx, dy = gmrf.spacing(lon, lat)
+    n = shape[0] * shape[1]
+    l = np.zeros((n, n))  # noqa: E741
+    for j in range(shape[0]):
+        for i in range(shape[1]):
+            for jj, ii, h in ((j, i - 1, dx[j]), (j, i + 1, dx[j]), (j - 1, i, dy), (j + 1, i, dy)):
+                if 0 <= jj < shape[0] and 0 <= ii < shape[1]:
+                    l[j * shape[1] + i, jj * shape[1] + ii] += 1 / h**2
+                    l[j * shape[1] + i, j * shape[1] + i] -= 1 / h**2
+    np.testing.assert_allclose(gmrf.laplacian(*shape, dx, dy).dense(), l, atol=1e-15)
+    a = 8.0 / 200.0**2 * np.eye(n) - l
+    q = a.T @ a
+    np.testing.assert_allclose(gmrf.precision(lon, lat, 200.0, 0.05).dense(), q * np.trace(np.linalg.inv(q)) / n / 0.05, rtol=1e-8, atol=1e-9)
 
 
 def test_delaunay_has_empty_circles():
@@ -241,10 +271,10 @@ def test_members_partitions_and_nulls():
     assert ensembles.independent_nodes(np.broadcast_to(RNG.standard_normal((1, 6, 7)), (5, 6, 7))) < 60
     assert ensembles.independent_nodes(RNG.standard_normal((12, 12, 12))) > 1000
     q = gmrf.precision(LON, LAT, 300.0, 0.05)
-    back = np.zeros_like(q)
+    back = np.zeros((len(q), len(q)))
     for i, j, v in ensembles.coo(q):
         back[i, j] = back[j, i] = v
-    np.testing.assert_array_equal(back, q)
+    np.testing.assert_array_equal(back, q.dense())
 
 
 def test_scattered_plane_is_recovered():
@@ -255,3 +285,58 @@ def test_scattered_plane_is_recovered():
     got = ensembles.scattered_to_grid(x, y, 2 * x - y, at)
     np.testing.assert_allclose(got[:2], [2.0, 4.5], atol=1e-9)
     assert got[2] == (2 * x - y)[((np.column_stack([x, y]) - at[2]) ** 2).sum(1).argmin()]
+
+
+def test_structured_errors_equal_a_dense_posterior():
+    """Basis and pass errors together: the field is that of the covariance G Q G' with errors R + B L B'."""
+    rng = np.random.default_rng(4)
+    n = 60
+    x, y, t = rng.uniform(0, 600, n), rng.uniform(0, 600, n), rng.uniform(0, 8, n)
+    passes, s = np.repeat(np.arange(6) * 11, 10), np.tile(np.linspace(-1, 1, 10), 6)
+    basis = miost.Basis((0.0, 600.0), (0.0, 600.0), (600.0,), 2)
+    els = basis.elements(0.0, 10.0)
+    q, r, obs = np.full(len(els["x"]), 0.02), np.full(n, 0.01), rng.standard_normal(n) * 0.1
+    design = basis.design(els, x, y, t)
+    both, q2 = miost.augmented(design, q, s, passes, 0.03, 0.02)
+    system = miost.Normal(both, n, r, q2)
+    eta = miost.solution(system, system.right_side(obs[:, None]), 1e-12)[: len(q), 0]
+    g = np.zeros((n, len(q)))
+    np.add.at(g, design[:2], design[2])
+    b = np.zeros((n, 12))
+    for k in range(6):
+        b[passes == k * 11, 2 * k], b[passes == k * 11, 2 * k + 1] = 1, s[passes == k * 11]
+    cov = g * q @ g.T
+    total = cov + np.diag(r) + b @ np.diag(np.tile([0.03, 0.02], 6)) @ b.T
+    np.testing.assert_allclose(g @ eta, cov @ np.linalg.solve(total, obs), atol=1e-8)
+    sides = miost.member_sides(system, obs, np.arange(n), np.arange(len(q)), 400, 1, np.arange(12) + 1000)
+    fields = g @ miost.solution(system, sides, 1e-8)[: len(q)]
+    exact = np.diag(cov - cov @ np.linalg.solve(total, cov))
+    np.testing.assert_allclose(fields[:, 1:].var(1).mean(), exact.mean(), rtol=0.1)
+
+
+def test_a_solve_reports_and_resumes():
+    rng = np.random.default_rng(5)
+    basis = miost.Basis((0.0, 500.0), (0.0, 500.0), (500.0,), 2)
+    els = basis.elements(0.0, 10.0)
+    design = basis.design(els, rng.uniform(0, 500, 40), rng.uniform(0, 500, 40), rng.uniform(0, 8, 40))
+    system = miost.Normal(design, 40, np.full(40, 0.01), np.full(len(els["x"]), 0.05))
+    b = system.right_side(rng.standard_normal((40, 2)))
+    whole = miost.Descent.begin(system, b).run(system, 1e-10, 500)
+    part = miost.Descent.begin(system, b).run(system, 1e-10, 7)
+    assert part.iterations == 7 and part.residuals.max() > 1e-10
+    part.run(system, 1e-10, 500)
+    np.testing.assert_array_equal(part.x, whole.x)
+    with pytest.raises(ArithmeticError, match="after 3 iterations"):
+        miost.solution(system, b, 1e-10, 3)
+    with pytest.raises(MemoryError):
+        miost.gate(basis, 10_000, 0.0, 60.0, 100, 2000, 1e6)
+
+
+def test_independent_members_are_a_driver():
+    from swathkit.kernels import coherent
+
+    lat = np.linspace(33, 36, 4)
+    fields = [gmrf.Field(x, lat, np.zeros((0, 3)), np.zeros(0), np.zeros(0), 2.0, 200.0, 0.05, 10.0) for x in (np.linspace(295, 298, 4), np.linspace(297, 300, 4))]
+    tiles = [coherent.TileDraw.of(f) for f in fields]
+    members = getattr(coherent, coherent.select_driver("unknown"))(tiles, 0, "p")
+    assert [len(m) for m in members] == [16, 16] and not np.allclose(members[0][2], members[1][0])
