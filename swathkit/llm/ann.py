@@ -11,8 +11,10 @@ candidates are ordered by them. The whole beam of a query is measured again at t
 precision and without the clipping of components beyond 1e30.
 
 The search keeps a beam per query and expands its nearest nodes that weren't expanded yet, for all
-queries at once, until every beam is done. Adjacency rows hold the neighbours' vectors, and are
-bucketed by node, so that a round shuffles the queries' frontier only.
+queries at once, until every beam is done. A query that is in the index begins at its own node, so
+that it doesn't depend on paths into its part of the graph, and every query at the nearest of a
+sample of entries that grows with the square root of the index. Adjacency rows hold the neighbours'
+vectors, and are bucketed by node, so that a round shuffles the queries' frontier only.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ DEGREE, SAMPLE, ROUNDS, SETTLED = 24, 14, 6, 0.03
 #: Random-hyperplane tables and chunk size of the first graph.
 TABLES, CHUNK = 3, 64
 #: Beam, and nodes that a query expands in a round.
-BEAM, EXPAND = 640, 96
-#: Size of the bounded sample of nodes that searches start from, and nodes of it that a query takes.
-ENTRIES, STARTS = 512, 24
+BEAM, EXPAND = 384, 64
+#: Least and most nodes in the sample that searches start from (4 sqrt(n) between), and nodes of it that a query takes.
+ENTRIES, MOST_ENTRIES, STARTS = 512, 1 << 16, 24
+#: Buckets of the adjacency table at most (Spark allows 100,000); beyond, its files grow.
+MOST_FILES = 8192
 _SEED = 20240
 
 
@@ -202,7 +206,7 @@ class Graph:
         grouped = lists.groupBy(F.col("v").alias("node")).agg(F.collect_list(F.struct("u", "packed")).alias("near"))
         name = f"sk_adjacency_{uuid.uuid4().hex}"
         row = self.degree * (self.dimension * np.dtype(self.kind).itemsize + 12) * 2
-        files = max(2 * self.spark.sparkContext.defaultParallelism, -(-self.n * row // FILE_BYTES))
+        files = int(min(max(2 * self.spark.sparkContext.defaultParallelism, -(-self.n * row // FILE_BYTES)), MOST_FILES))
         grouped.repartition(files, "node").write.bucketBy(files, "node").format("parquet").saveAsTable(name)
         return name
 
@@ -219,6 +223,10 @@ def _pack_rows(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def entry_count(n: int) -> int:
+    return min(max(ENTRIES, int(4 * n**0.5)), MOST_ENTRIES)
+
+
 def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """(query, id, score, rank): the k nearest found for each row (query, vector) of ``queries``.
 
@@ -226,7 +234,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
     """
     spark, work, kind = graph.spark, graph.work, graph.kind
     asked = work.save(queries.where(F.size("vector") == graph.dimension).select("query", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["query"]), "queries", graph.n * graph.dimension)
-    sample = graph.nodes.orderBy(F.xxhash64("id", F.lit(_SEED)), "id").limit(ENTRIES).select("id", "packed").collect()  # bounded by ENTRIES
+    sample = graph.nodes.orderBy(F.xxhash64("id", F.lit(_SEED)), "id").limit(entry_count(graph.n)).select("id", "packed").collect()  # bounded by MOST_ENTRIES
     entries = spark.sparkContext.broadcast(([r["id"] for r in sample], b"".join(bytes(r["packed"]) for r in sample)))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +251,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = batch.column(2)
+            near, bar = batch.column(2), batch.column(3).to_numpy()
             count = near.value_lengths().to_numpy()
             flat = near.flatten()
             y = unpack(_packed(flat.field(1)), kind)
@@ -251,40 +259,55 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
             x = np.repeat(x, count, axis=0)
             d = ((x - y) ** 2).sum(1)
             query, node = np.repeat(batch.column(0).to_numpy(), count), flat.field(0).to_numpy()
+            near_enough = d.astype(np.float32) <= np.repeat(bar, count)
+            query, node, d = query[near_enough], node[near_enough], d[near_enough]
             order = np.lexsort((d, node, query))
             query, node, d = query[order], node[order], d[order]
             new = np.ones(len(d), dtype=bool)
             new[1:] = (query[1:] != query[:-1]) | (node[1:] != node[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(query[new]), pa.array(node[new]), pa.array(d[new].astype(np.float32)), pa.array(np.zeros(int(new.sum()), np.int32))], names=["query", "node", "d", "done"])
 
-    name, nbytes = graph.adjacency(), 24 * beam * asked.count()
-    now = work.save(asked.mapInArrow(begin, "query long, node long, d float, done int"), "beam-0", nbytes)
+    nbytes = 24 * beam * asked.count()
+    own = asked.join(graph.nodes.select(F.col("id").alias("node"), "vector"), "vector").select("query", "node", F.lit(0.0).cast("float").alias("d"), F.lit(0).alias("done"))
+    first = asked.mapInArrow(begin, "query long, node long, d float, done int").unionByName(own).groupBy("query", "node").agg(F.min("d").alias("d"), F.min("done").alias("done"))
+    now = work.save(first, "beam-0", nbytes)
+    name = graph.adjacency()
+    try:
+        now = _walked(now, asked, name, work, beam, expand, nbytes)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    best = now.select("query", "node")
+    exact = best.join(asked.withColumnRenamed("vector", "_x"), "query").join(graph.nodes.select(F.col("id").alias("node"), F.col("vector").alias("_y"), "members"), "node")
+    score = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    rows = exact.select("query", score.alias("score"), F.explode("members").alias("id")).where("id <> query")
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "id"))).where(F.col("rank") <= k)
+    return work.save(rows.select("query", "id", "score", F.col("rank").cast("int").alias("rank")), "results", nbytes)
+
+
+def _walked(now: DataFrame, asked: DataFrame, name: str, work: Workspace, beam: int, expand: Callable, nbytes: float) -> DataFrame:
+    """The beams once nothing in them is left to expand; a round expands something in every open one."""
+    spark = asked.sparkSession
     ordered = W.partitionBy("query").orderBy("d", "node")
     k_round = 0
-    # A round expands something in every open beam, and an expanded node stays so.
     while True:
         k_round += 1
         frontier = now.where("done = 0").withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= EXPAND).select("query", "node")
         frontier = work.save(frontier, f"frontier-{k_round}", nbytes)
         if not frontier.limit(1).count():
             break
-        given = frontier.join(asked, "query").join(spark.table(name), "node").select("query", "vector", "near")
+        # What is beyond the last of a full beam would only be dropped again.
+        bars = now.groupBy("query").agg(F.when(F.count(F.lit(1)) >= beam, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("bar"))
+        given = frontier.join(asked.join(bars, "query"), "query").join(spark.table(name), "node").select("query", "vector", "near", "bar")
         found = given.mapInArrow(expand, "query long, node long, d float, done int")
         expanded = frontier.withColumn("d", F.lit(float("inf")).cast("float")).withColumn("done", F.lit(1)).select("query", "node", "d", "done")
         union = now.unionByName(found).unionByName(expanded).groupBy("query", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
         after = work.save(union.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= beam).drop("_r"), f"beam-{k_round}", nbytes)
         work.drop(f"beam-{k_round - 1}", f"frontier-{k_round}")
         now = after
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    best = now.select("query", "node")
-    exact = best.join(asked.withColumnRenamed("vector", "_x"), "query").join(graph.nodes.select(F.col("id").alias("node"), F.col("vector").alias("_y"), "members"), "node")
-    score = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    rows = exact.select("query", score.alias("score"), F.explode("members").alias("id")).where("id <> query")
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("score", "id"))).where(F.col("rank") <= k)
-    return work.save(rows.select("query", "id", "score", F.col("rank").cast("int").alias("rank")), "results", nbytes)
+    return now
 
 
-def neighbours(vectors: DataFrame, work: Workspace, every: int, k: int = 10) -> DataFrame:
+def neighbours(vectors: DataFrame, work: Workspace, every: int, k: int = 10, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows found for each row of ``vectors`` whose
     vec_id is divisible by ``every``, by Euclidean distance, ties to the smaller vec_id.
 
@@ -295,4 +318,4 @@ def neighbours(vectors: DataFrame, work: Workspace, every: int, k: int = 10) ->
     usable_rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     graph = Graph(usable_rows, work, members=k + 1)
     queries = usable_rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vector")
-    return search(graph, queries, k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    return search(graph, queries, k, beam).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
