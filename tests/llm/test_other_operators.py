@@ -92,7 +92,7 @@ def test_counterfactuals_reduce_false_positives():
 def test_toxicity_scores(spark):
     rows = [(k, t, "", "", 0, "", 0) for k, (t, _) in enumerate(toxic_texts(400, 3))]
     labels = [(k, y, y) for k, (_, y) in enumerate(toxic_texts(400, 3))] + [(5, None, None), (None, 1, 1), (7, 1, 7), (9999, 1, 1)]
-    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), Workspace(spark, "t"))
     got = toxicity.score(frame(spark, rows + corpus()), model).collect()
     import zlib
 
@@ -100,7 +100,7 @@ def test_toxicity_scores(spark):
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] > 50]
     assert sum(r["predicted"] == labels[r["doc_id"]][2] for r in held) / len(held) > 0.9
-    empty = toxicity.train(frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    empty = toxicity.train(frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int"), Workspace(spark, "t"))
     assert toxicity.score(frame(spark, []), empty).count() == 0 and toxicity.score(frame(spark), empty).count() == len(corpus())
 
 
