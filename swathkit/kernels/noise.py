@@ -30,12 +30,17 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
 def derive_seed(method: str, params_key: str, window: str, member: int) -> int:
     """63 bits of a keyed digest of the unit's identity."""
     text = "\x1f".join((method, params_key, window, str(member)))
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 1
+    return _eight(text) >> 1
+
+
+def _eight(text: str) -> int:
+    """The first eight bytes of a SHA-256 digest, which SQL engines know too."""
+    return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
 
 
 def normals(identity: np.ndarray, member: int, root: int, kind: str = "obs") -> np.ndarray:
     """One standard normal for each 64-bit identity, member and kind of noise."""
-    salt = int.from_bytes(hashlib.blake2b(f"{kind}\x1f{member}\x1f{root}".encode(), digest_size=8).digest(), "big")
+    salt = _eight(f"{kind}\x1f{member}\x1f{root}")
     h = np.asarray(identity).astype(np.int64).view(np.uint64) ^ np.uint64(salt)
     for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         h = (h ^ (h >> np.uint64(30))) * np.uint64(k)

@@ -80,24 +80,26 @@ def likelihood_terms(points: DataFrame, theta: np.ndarray, obs_var: float = TRAC
     return rows.agg(nll, *g, *h)
 
 
-def fit_polynomial(points: DataFrame, d: int = 5, steps: int = 12, obs_var: float = TRACK_VARIANCE, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Fisher scoring with halving: each trial of a step is one aggregation of a few sums."""
+def fit_polynomial(points: DataFrame, d: int = 5, steps: int = 30, obs_var: float = TRACK_VARIANCE, tolerance: float = 1e-8, bound: float = 10.0) -> tuple[np.ndarray, float]:
+    """Fisher scoring with halving, no coefficient moving by more than 1 in a step nor beyond ``bound``:
+    each trial of a step is one aggregation of a few sums."""
     theta = np.zeros(d)
     row = likelihood_terms(points, theta, obs_var).first()
     for _ in range(steps):
         g = np.array([row[f"g{i}"] for i in range(d)])
         h = np.array([[row[f"h{max(i, j)}{min(i, j)}"] for j in range(d)] for i in range(d)])
         move = np.linalg.solve(h + 1e-9 * np.trace(h) * np.eye(d), g)
+        move /= max(1.0, np.abs(move).max())
         scale = 1.0
         while scale > 1e-3:
-            new = likelihood_terms(points, theta - scale * move, obs_var).first()
+            new = likelihood_terms(points, np.clip(theta - scale * move, -bound, bound), obs_var).first()
             if new["nll"] <= row["nll"]:
                 break
             scale /= 2
         else:
             break
         done = row["nll"] - new["nll"] < tolerance * abs(row["nll"])
-        theta, row = theta - scale * move, new
+        theta, row = np.clip(theta - scale * move, -bound, bound), new
         if done:
             break
     return theta, row["nll"]

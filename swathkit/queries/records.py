@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..kernels import coherent, spectra
-from ..operators import blend, calibrate, evaluate, splits
+from ..operators import blend, calibrate, evaluate, orbit, splits
 from ..plans import reconstruct as plan
 from ..plans import search
 from ..registry import query
 from ..sources import observations as src
+from ..sources.cache import ContentCache
 from ..sources.observations import OBS_SQL, observations
 from .closed import _each
 from .grids import _PAIRS, GRID, _pairs
 from .scans import r6, rounded
-from .scores import _POINTS, _points
+from .scores import _CROSS, _DIRECTED, _PASSES, _POINTS, _points
 
 _DAILY = "g AS (SELECT mission, floor(t)::BIGINT AS day, count(*) AS n, avg(sla) AS y, stddev_samp(sla) AS sd FROM obs GROUP BY 1, 2)"
 
@@ -337,3 +338,78 @@ def window_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     box = geo.in_range("lon", 296, 304) & geo.in_range("lat", 34, 42) & (F.abs(F.col("t") - 12) <= 2.5)
     return obs.where(box & (F.col("mission") != "purchase")).select("seq")
+
+
+@query(f"""WITH {OBS_SQL}, {_POINTS}, l AS (SELECT resid, CASE WHEN lat < 38 THEN CASE WHEN lon < 300 THEN 'SW' ELSE 'SE' END ELSE CASE WHEN lon < 300 THEN 'NW' ELSE 'NE' END END AS label FROM x)
+SELECT label, round(ln((avg(resid * resid) - 0.0009) / 0.01), 4) + 0.0::DOUBLE AS log_s FROM l GROUP BY 1 UNION ALL SELECT 'all', round(ln((avg(resid * resid) - 0.0009) / 0.01), 4) + 0.0::DOUBLE FROM l""")
+def constant_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of log s where the variance is one constant, whose maximum has a closed form: four regions by Newton
+    steps, and all points by the polynomial fit of degree 0."""
+    points = _points(spark, sf_dir).withColumn("v", F.lit(0.01)).withColumn("label", F.when(F.col("lat") < 38, F.when(F.col("lon") < 300, "SW").otherwise("SE")).otherwise(F.when(F.col("lon") < 300, "NW").otherwise("NE")))
+    fits = calibrate.fit_regions(points, steps=40) | {"all": float(calibrate.fit_polynomial(points, 1, steps=40, tolerance=1e-13)[0][0])}
+    return spark.createDataFrame(sorted((k, round(v, 4) + 0.0) for k, v in fits.items()), "label string, log_s double")
+
+
+@query(f"""WITH {OBS_SQL}, {_POINTS}, c AS (SELECT CASE WHEN lat < 38 THEN 'south' ELSE 'north' END AS class, resid, 1.1::DOUBLE * v + 0.0009 AS tot FROM x),
+r AS (SELECT class, count(*) AS n, avg(CASE WHEN abs(resid) <= sqrt(tot) THEN 1.0::DOUBLE ELSE 0 END) AS cov, avg(resid * resid / tot) AS chi2 FROM c GROUP BY ROLLUP (class)),
+a AS (SELECT max(CASE WHEN class IS NULL THEN cov END) AS cov, max(CASE WHEN class IS NULL THEN chi2 END) AS chi2, max(abs(cov - 0.6827)) AS worst, min(n) AS n FROM r)
+SELECT abs(cov - 0.6827) <= 0.05 AS aggregate_coverage, chi2 BETWEEN 0.8 AND 1.25 AS aggregate_chi2, worst <= 0.1 AS worst_region, n > 0 AS all_counted FROM a""")
+def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a calibration passes its four bars."""
+    rows = _points(spark, sf_dir).withColumn("s", F.lit(1.1)).withColumn("class", F.when(F.col("lat") < 38, "south").otherwise("north"))
+    table = {r["class"]: r.asDict() for r in calibrate.coverage_by(rows, "class").collect()} | {"aggregate": calibrate.coverage_by(rows).first().asDict()}
+    bars = calibrate.acceptance_bars(table)
+    return spark.createDataFrame([tuple(bool(v) for v in bars.values())], ", ".join(f"{k} boolean" for k in bars))
+
+
+@query(f"""WITH {OBS_SQL}, {_PASSES}, {_DIRECTED}, {_CROSS},
+h AS (SELECT mission, ascending, count(*) AS n_passes, avg(sin(a)) AS s, avg(cos(a)) AS c FROM (SELECT mission, ascending, pass_id, atan2(2 * covar_pop(lon * 111.32 * cos(radians(38.0::DOUBLE)), lat * 111.32), var_pop(lon * 111.32 * cos(radians(38.0::DOUBLE))) - var_pop(lat * 111.32)) AS a FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2),
+n AS (SELECT *, CASE WHEN crossing - lag(crossing) OVER w <= 0.05 THEN 0 ELSE 1 END AS fresh FROM d WINDOW w AS (PARTITION BY mission, ascending ORDER BY crossing)),
+r AS (SELECT mission, ascending, count(*) AS n_crossings, sum(fresh)::BIGINT AS n_clusters FROM n GROUP BY 1, 2)
+SELECT mission, ascending, n_passes, round(((90 - degrees(atan2(s, c)) / 2) % 180 + 180) % 180, 4) + 0.0::DOUBLE AS heading_deg, n_crossings, n_clusters FROM h LEFT JOIN r USING (mission, ascending)""")
+def mission_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes, headings and clusters of crossings per mission and direction, in one row."""
+    passes = orbit.split_passes(observations(spark, sf_dir), 600.0)
+    found = orbit.crossings(passes, 38.0, (295.0, 305.0))
+    rows = orbit.headings(passes, 38.0).join(orbit.classify_orbits(found, 0.05).select("mission", "ascending", "n_crossings", "n_clusters"), ["mission", "ascending"], "left")
+    return rows.withColumn("heading_deg", F.round("heading_deg", 4) + 0.0)
+
+
+@query("SELECT DISTINCT event_type AS mission, sha256('record of ' || event_type) AS seal, 1 AS opened, true AS refused FROM events")
+def sealed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write-once digests, and locked data that opens once with a grant and not without."""
+    import tempfile
+
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own records, not the data
+        for (mission,) in sorted(observations(spark, sf_dir).select("mission").distinct().collect()):
+            seal = search.write_seal(f"record of {mission}", f"{folder}/{mission}")
+            touch = search.LockedTouch(mission, True)
+            with touch:
+                pass
+            try:
+                with touch:
+                    refused = False
+            except PermissionError:
+                refused = True
+            try:
+                search.write_seal("another record", f"{folder}/{mission}")
+                refused = False
+            except FileExistsError:
+                pass
+            rows.append((mission, seal, len(touch.ledger), refused))
+    return spark.createDataFrame(rows, "mission string, seal string, opened int, refused boolean")
+
+
+@query("""SELECT n_name AS name, '/cache/' || substr(sha256('https://data.example/' || n_name || '.nc'), 1, 16) || '-' || n_name || '.nc' AS path FROM nation""")
+def cache_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a content cache keeps what it was asked for."""
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"))
+    return _each(names, lambda r: [{"name": r["name"], "path": ContentCache("/cache").path(f"https://data.example/{r['name']}.nc")}], "name string, path string")
+
+
+@query(f"""WITH {OBS_SQL} SELECT seq, {r6('sla')} AS sla, {r6('sin(radians(floor(lon)))')} AS truth FROM obs WHERE lon BETWEEN 297 AND 303 AND lat BETWEEN 35 AND 41 AND t BETWEEN 4 AND 9""")
+def osse_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source with a known truth: observations of a box, and the truth at them."""
+    source = src.OsseSource(observations(spark, sf_dir), F.sin(F.radians(F.floor("lon"))))
+    return rounded(source.truth(source.window((297, 303), (35, 41), (4, 9))).select("seq", "sla", "truth"), "sla", "truth")

@@ -80,6 +80,21 @@ class SourceDescriptor:
         return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class OsseSource:
+    """Observations of a simulated ocean whose true field is known: an expression of lon, lat and t."""
+
+    obs: DataFrame
+    field: Column
+
+    def window(self, lon: tuple[float, float], lat: tuple[float, float], time: tuple[float, float]) -> DataFrame:
+        return box_window(self.obs, lon, lat, time)
+
+    def truth(self, points: DataFrame) -> DataFrame:
+        """Adds the true value at each point."""
+        return points.withColumn("truth", self.field)
+
+
 class AlongTrackSource:
     """Loader with a fixed list of missions: box, half-open times, finite values, mission refusals."""
 

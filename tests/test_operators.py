@@ -299,3 +299,99 @@ def test_mission_variance_refuses_unknown(spark, obs):
         reconstruct.mission_variance(obs, {"alg": 0.0}, 0.01).agg(F.sum("err_var")).collect()
     out = reconstruct.mission_variance(obs, {"alg": 0.0, "j3": 1.0, "c2": -1.0}, 0.01)
     assert out.where("mission = 'j3'").first()["err_var"] == pytest.approx(0.01 * np.e)
+
+
+def test_two_level_windows_equal_plain_ones(spark):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from swathkit.operators.ordered import beside, running
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 50.0).alias("t"), F.col("id").alias("seq"))
+    w = W.partitionBy("k").orderBy("t", "seq")
+    plain = {r["seq"]: (r["a"], r["b"], r["c"]) for r in df.select("seq", F.lag("seq").over(w).alias("a"), F.lead("seq").over(w).alias("b"), F.sum("seq").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("c")).collect()}
+    near = beside(df, ["k"], F.floor("t"), ["t", "seq"], ["seq"])
+    both = running(near, ["k"], F.floor("t"), ["t", "seq"], F.col("seq"), "total")
+    got = {r["seq"]: (r["_prev"] and r["_prev"]["seq"], r["_next"] and r["_next"]["seq"], r["total"]) for r in both.collect()}
+    assert got == plain
+    assert running(df.where("false"), ["k"], F.floor("t"), ["t", "seq"], F.col("seq"), "total").count() == 0
+
+
+def test_nearest_of_scattered_clusters(spark):
+    """Far points and dense clusters alike find the nearest row, however empty the cells between them are."""
+    import numpy as np
+
+    from swathkit.operators.grid import nearest_of
+
+    rng = np.random.default_rng(3)
+    support = np.concatenate([rng.normal(0, 0.01, (200, 2)), rng.normal(50, 0.5, (20, 2)), [[-80.0, 40.0]]])
+    points = np.concatenate([rng.uniform(-170, 170, (100, 2)), support[:5]])
+    s = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(support)], "node long, lon double, lat double")
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "seq long, lon double, lat double")
+    got = {r["seq"]: r["node"] for r in nearest_of(p, "seq", s).collect()}
+    d2 = ((points[:, None] - support[None]) ** 2).sum(2)
+    assert [got[k] for k in range(len(points))] == d2.argmin(1).tolist()
+    assert {r["node"] for r in nearest_of(p, "seq", s.where("false")).collect()} == {None}
+
+
+def test_exact_median(spark):
+    from pyspark.sql import functions as F
+
+    from swathkit.operators.calibrate import exact_median
+
+    for n in (0, 1, 2, 7, 5000, 5001):
+        df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("x"))
+        exact = df.agg(F.percentile("x", F.lit(0.5))).first()[0]
+        assert exact_median(df, F.col("x")) == exact
+    assert exact_median(spark.range(3000).select(F.lit(2.5).alias("x")), F.col("x")) == 2.5
+
+
+def test_content_cache(tmp_path):
+    from swathkit.sources.cache import ContentCache
+
+    calls = []
+
+    def fetch(address):
+        calls.append(address)
+        if len(calls) == 1:
+            raise ConnectionError("once")
+        return b"data"
+
+    cache = ContentCache(str(tmp_path), wait_s=0.0)
+    path = cache.get("https://x.example/a/b.nc", fetch)
+    assert open(path, "rb").read() == b"data" and path.endswith("-b.nc")
+    assert cache.get("https://x.example/a/b.nc", fetch) == path and len(calls) == 2
+    assert cache.path("https://y.example/a/b.nc") != path
+
+
+def test_stages_touch_acceptance_once():
+    from swathkit.plans import search
+
+    touched = []
+    space, bars = {"a": (0.0, 1.0)}, [search.Bar("mu", "ge", 0.5)]
+    out = search.run_stage(space, search.RandomSearch(6, 1), lambda p: (p["a"] < 0.9, "high"), lambda p: {"mu": p["a"] + 0.4, "loss": 1 - p["a"]}, lambda p: touched.append(p) or {"mu": 0.7}, bars, "loss")
+    assert len(out["trials"]) == 6 and out["winner"].scores["mu"] >= 0.5 and len(touched) == 1 and out["acceptance"] == {"mu": 0.7}
+    none = search.run_stage(space, search.RandomSearch(3, 1), lambda p: (False, "no"), lambda p: {}, lambda p: touched.append(p), bars, "loss")
+    assert none["winner"] is None and none["acceptance"] is None and len(touched) == 1
+
+
+def test_entries_outside_the_pattern_are_refused():
+    import numpy as np
+    import pytest
+
+    from swathkit.kernels.gmrf import Sparse
+
+    with pytest.raises(ValueError, match="outside"):
+        Sparse.zeros(9, 3).add(np.array([0]), np.array([8]), np.array([1.0]))
+
+
+def test_providers():
+    import pytest
+
+    from swathkit.plans.reconstruct import Provider
+
+    one = Provider({"a": 1.0, "b": 2.0}, {"c": ("exp_quad", (0.1, 0.2))})
+    assert one.key() == Provider({"b": 2.0, "a": 1.0}, {"c": ("exp_quad", (0.1, 0.2))}).key() != Provider({"a": 1.0, "b": 2.5}).key()
+    assert one.constant("a") == 1.0
+    with pytest.raises(TypeError):
+        one.constant("c")
