@@ -106,13 +106,61 @@ def independent_nodes(field: np.ndarray) -> float:
     return float(min(max(count / shrink, 1.0), count))
 
 
-def scattered_to_grid(lon: np.ndarray, lat: np.ndarray, value: np.ndarray, at: np.ndarray, most: int = 2000, seed: int = 0) -> np.ndarray:
-    """Linear interpolation of scattered values over a triangulation, nearest value outside its hull.
+#: Points that one triangulation aims at.
+LOCAL_POINTS = 400
 
-    The triangulation takes a seeded subset of at most ``most`` points, a documented bound."""
-    if len(value) > most:
-        keep = np.sort(np.random.default_rng(seed).permutation(len(value))[:most])
-        lon, lat, value = lon[keep], lat[keep], value[keep]
+
+def _circles(points: np.ndarray, triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of the triangles' circumcircles."""
+    a, b, c = (points[triangles[:, k]] for k in range(3))
+    u, v = b - a, c - a
+    det = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+    u2, v2 = (u**2).sum(1), (v**2).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        off = np.stack([v[:, 1] * u2 - u[:, 1] * v2, u[:, 0] * v2 - v[:, 0] * u2], 1) / det[:, None]
+    return a + off, np.hypot(*off.T)
+
+
+def scattered_to_grid(lon: np.ndarray, lat: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Linear interpolation of scattered values over their Delaunay triangulation, nearest value outside its hull.
+
+    All points count, however many there are: the places ``at`` are dealt to cells, and a cell's
+    surroundings are triangulated alone. A triangle found there belongs to the triangulation of all
+    points if its circumcircle lies within these surroundings; places without such a triangle look
+    again with twice the surroundings, until these hold all points.
+    """
     points = np.column_stack([lon, lat])
-    nodes, w = barycentric(points, delaunay(points), at)
-    return (value[nodes] * w).sum(1)
+    low, span = points.min(0), np.maximum(np.ptp(points, axis=0), 1e-9)
+    cell = float(np.sqrt(span.prod() * LOCAL_POINTS / 9 / max(len(points), 1)))
+    out, open_ = np.full(len(at), np.nan), np.arange(len(at))
+    reach = cell
+    while len(open_):
+        key = np.floor((np.clip(at[open_], low, low + span) - low) / reach).astype(np.int64)
+        order = np.lexsort(key.T)
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(key[order], axis=0) != 0).any(1)]))
+        left = []
+        for group in np.split(open_[order], cuts[1:]):
+            box = np.floor((np.clip(at[group[0]], low, low + span) - low) / reach) * reach + low
+            inside = np.flatnonzero(((points >= box - reach) & (points <= box + 2 * reach)).all(1))
+            every = len(inside) == len(points)
+            if len(inside) < 3 and not every:
+                left.append(group)
+                continue
+            own = points[inside]
+            triangles = delaunay(own)
+            if not len(triangles):
+                nearest = ((own[None] - at[group][:, None]) ** 2).sum(2).argmin(1)
+                settled = np.full(len(group), every)
+                found = value[inside][nearest]
+            else:
+                nodes, w = barycentric(own, triangles, at[group])
+                found = (value[inside][nodes] * w).sum(1)
+                centre, radius = _circles(own, triangles)
+                whole = ((centre - radius[:, None] >= box - reach) & (centre + radius[:, None] <= box + 2 * reach)).all(1)
+                known = {tuple(t) for t in np.sort(triangles[whole], axis=1).tolist()}
+                settled = np.array([every or tuple(sorted(t)) in known for t in nodes.tolist()])
+            out[group[settled]] = found[settled]
+            left.append(group[~settled])
+        open_ = np.concatenate(left) if left else np.zeros(0, np.int64)
+        reach *= 2
+    return out

@@ -142,13 +142,19 @@ def banded_winner(rows: list[dict], stages: list[tuple[str, bool, float]]) -> tu
     return live[0], audit
 
 
-def tune(space: Space, strategy: RandomSearch | HaltonSearch | ParzenSearch, feasible: Callable[[dict], tuple[bool, str]], scorer: Callable[[dict], dict[str, float]], bars: list[Bar], score: str, rounds: int = 1) -> list[Trial]:
-    """All trials; infeasible ones are never scored. The winner is the first of those that pass the bars."""
+def tune(space: Space, strategy: RandomSearch | HaltonSearch | ParzenSearch, feasible: Callable[[dict], tuple[bool, str]], scorer: Callable[[dict], dict[str, float]] | None, bars: list[Bar], score: str, rounds: int = 1, batch: Callable[[list[dict]], list[dict[str, float]]] | None = None) -> list[Trial]:
+    """All trials; infeasible ones are never scored. The winner is the first of those that pass the bars.
+
+    With ``batch`` the proposals of a round are scored together, in one plan, instead of one by one.
+    """
     history: list[Trial] = []
     for turn in range(rounds):
-        for params in strategy.propose(space, history, turn):
-            ok, reason = feasible(params)
-            history.append(Trial(len(history), params, scorer(params) if ok else None, ok, reason))
+        proposed = strategy.propose(space, history, turn)
+        gates = [feasible(params) for params in proposed]
+        asked = [p for p, (ok, _) in zip(proposed, gates, strict=True) if ok]
+        found = iter(batch(asked) if batch is not None and asked else [scorer(p) for p in asked])
+        for params, (ok, reason) in zip(proposed, gates, strict=True):
+            history.append(Trial(len(history), params, next(found) if ok else None, ok, reason))
     return sorted(history, key=lambda t: (not (t.scores is not None and all(b.passes(t.scores) for b in bars)), (t.scores or {}).get(score, np.inf), t.id))
 
 

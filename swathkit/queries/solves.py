@@ -191,12 +191,20 @@ def tuned_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search over two parameters: gate, score, rank."""
     obs = _thin(spark, sf_dir).cache()
 
-    def scorer(params: dict) -> dict[str, float]:
-        run = plan.Run("oi", GRID, (5.0,), params, half_window=0.5, withheld="purchase")
-        rows = plan.report_rows(spark, plan.run_single(obs, run), run, obs.where("mission = 'purchase' AND abs(t - 5) < 1").select("seq", "lon", "lat", "sla"))
-        return rows.agg(stats.rmse(F.col("value"), F.col("mean")).alias("rmse")).first().asDict()
-
-    found = search.tune({"length_scale": (50.0, 400.0), "variance": (0.01, 0.1)}, search.HaltonSearch(2), lambda p: search.bytes_feasible(p["length_scale"], 1e9), scorer, [search.Bar("rmse", "le", 10.0)], "rmse")
+    def batch(asked: list[dict]) -> list[dict[str, float]]:
+        """All trials of a round in one plan: each one's report rows under its number."""
+        parts = []
+        for k, params in enumerate(asked):
+            run = plan.Run("oi", GRID, (5.0,), params, half_window=0.5, withheld="purchase")
+            withheld = obs.where("mission = 'purchase' AND abs(t - 5) < 1").select("seq", "lon", "lat", "sla")
+            parts.append(plan.report_rows(spark, plan.run_single(obs, run), run, withheld).withColumn("trial", F.lit(k)))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        found = {r["trial"]: r["rmse"] for r in rows.groupBy("trial").agg(stats.rmse(F.col("value"), F.col("mean")).alias("rmse")).collect()}
+        return [{"rmse": found[k]} if k in found else {} for k in range(len(asked))]
+
+    found = search.tune({"length_scale": (50.0, 400.0), "variance": (0.01, 0.1)}, search.HaltonSearch(2), lambda p: search.bytes_feasible(p["length_scale"], 1e9), None, [search.Bar("rmse", "le", 10.0)], "rmse", batch=batch)
     obs.unpersist()
     return spark.createDataFrame([(t.id, round(t.params["length_scale"], 6), round(t.scores["rmse"], 6)) for t in found], "id int, length_scale double, rmse double")
 

@@ -287,6 +287,19 @@ def test_scattered_plane_is_recovered():
     assert got[2] == (2 * x - y)[((np.column_stack([x, y]) - at[2]) ** 2).sum(1).argmin()]
 
 
+def test_scattered_values_take_all_points():
+    from swathkit.kernels import ensembles
+
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.uniform(0, 10, (1500, 2)), rng.normal(3, 0.05, (800, 2))])
+    value = np.sin(points[:, 0]) + points[:, 1] ** 2
+    at = np.concatenate([rng.uniform(0.5, 9.5, (200, 2)), [[-4.0, 5.0]]])
+    triangles = fem.delaunay(points)
+    nodes, w = fem.barycentric(points, triangles, at)
+    got = ensembles.scattered_to_grid(*points.T, value, at)
+    np.testing.assert_allclose(got, (value[nodes] * w).sum(1), atol=1e-9)
+
+
 def test_structured_errors_equal_a_dense_posterior():
     """Basis and pass errors together: the field is that of the covariance G Q G' with errors R + B L B'."""
     rng = np.random.default_rng(4)
