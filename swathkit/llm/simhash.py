@@ -234,9 +234,8 @@ def classes(docs: DataFrame, work: Workspace, group_rows: int = GROUP_ROWS) -> D
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "_text", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _simhash_pairs(texts: DataFrame, work: Workspace, words: int) -> DataFrame:
-    """Pairs (a, b) of texts ``t`` that SimHash links, through the least text of each fingerprint."""
-    prints = work.save(document_fingerprints(texts.select(F.col("t").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("t"), "fp"), "prints")
+def _simhash_pairs(prints: DataFrame, work: Workspace) -> DataFrame:
+    """Pairs (a, b) of texts (t, fp) that SimHash links, through the least text of each fingerprint."""
     least = work.save(prints.groupBy("fp").agg(F.min("t").alias("least")), "least", 16 * prints.count())
     linked = links(least.select("fp"), work)
     far = linked.join(least.select(F.col("fp").alias("a"), F.col("least").alias("_a")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("_b")), "b")
@@ -252,10 +251,10 @@ def near_classes(docs: DataFrame, work: Workspace, words: int = _jaccard.WORDS,
     arrow_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), F.coalesce("text", F.lit("")).alias("text"))
     texts = work.save(rows.select(F.col("_text").alias("t"), "text").dropDuplicates(["t"]), "texts")
-    sets = work.save(_jaccard.open_texts(texts, words, similarity), "sets")
-    pairs = _simhash_pairs(texts.join(sets.select("t"), "t", "left_semi"), work, words)
-    roots = _jaccard.classes(sets, pairs, work, similarity)
-    work.drop("texts", "sets")
+    sets = work.save(_jaccard.open_texts(texts, words, similarity, lambda body, offsets: fingerprints(body, offsets, words)), "sets")
+    work.drop("texts")
+    roots = _jaccard.classes(sets, _simhash_pairs(sets.select("t", "fp"), work), work, similarity)
+    work.drop("sets")
     return rows.select("doc_id", "_text").join(roots, F.col("_text") == F.col("node"), "left").select("doc_id", "_text", F.coalesce("root", "_text").alias("component_id"))
 
 
