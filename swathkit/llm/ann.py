@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import FILE_BYTES, Workspace, partitions
+from .common import FILE_BYTES, Workspace, arrow_batches, partitions
 
 #: Neighbours per node, those of one kind joined in a round, rounds, share of changed edges at which they end.
 DEGREE, SAMPLE, ROUNDS, SETTLED = 24, 14, 6, 0.03
@@ -104,7 +104,7 @@ class Graph:
 
     def __init__(self, vectors: DataFrame, work: Workspace, members: int, degree: int = DEGREE, rounds: int = ROUNDS) -> None:
         self.spark, self.work, self.degree = vectors.sparkSession, work, degree
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        arrow_batches(self.spark)
         self.kind = kind = np.float32 if isinstance(vectors.schema["vector"].dataType.elementType, FloatType) else np.float64
         sizes = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
         self.dimension = sizes["n"] if sizes else 1

@@ -34,7 +34,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written under the shared folder; they cut lineage and survive lost executors."""
+    """Tables written under the shared folder; they cut lineage and survive lost executors.
+
+    Results are read from some of them, so they stay until ``close``, which whoever has used up the
+    result may call; operators drop what nothing reads any more themselves.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -49,14 +53,20 @@ class Workspace:
         df.write.mode("overwrite").parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more, and let Spark drop unreachable shuffle files."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.path}/{name}")
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
+
+    def close(self) -> None:
+        """Delete everything; results that read from here can't be read again."""
+        self._delete(self.path)
 
 
 def named(column: str) -> Column:
@@ -79,9 +89,15 @@ def restored(rows: DataFrame, columns: list[str], **new: Column | None) -> DataF
     return rows.select(*[(new[c] if new.get(c) is not None else F.col("_row").getField(c)).alias(c) for c in columns])
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch to a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What one Arrow batch to a Python worker holds, the same for all operators: whichever query was built
+#: last sets nothing else. A longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes, and by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:

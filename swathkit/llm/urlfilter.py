@@ -9,7 +9,9 @@ that is found counts only if the stored string equals the candidate.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +57,7 @@ class DigestRules:
     def publish(self, spark: SparkSession) -> dict:
         """Write the arrays and hand them to every executor; returns what ``opened`` takes."""
         name, folder = uuid.uuid4().hex, tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the files from here
         files = {}
         for part in ("digests", "ends", "blocks", "strings"):
             path = os.path.join(folder, f"rules-{name}.{part}")

@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, work: Workspace, file_bytes: int = FILE_BYT
     an empty table gives an empty index and no archive. Columns other than page_id, url and html,
     whatever their names, are not read.
     """
-    arrow_batches(pages.sparkSession, 500)
+    arrow_batches(pages.sparkSession)
     folder = f"{work.path}/archives"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
