@@ -40,7 +40,7 @@ from .common import Workspace, arrow_batches, carried, partitions, restored, tex
 
 WIDTH, GRAM = 200, 64
 #: Rows of an initial bucket that one task may gather, and rows that are refined at once.
-BUCKET_ROWS, BATCH_ROWS = 512, 2048
+BUCKET_ROWS, BATCH_ROWS = 8192, 2048
 #: Bytes of text per anchor.
 ANCHOR_BYTES = 60
 #: Stands for a null doc_id in joins.
@@ -140,7 +140,9 @@ def refine(place: np.ndarray, alone: np.ndarray, context: np.ndarray) -> tuple[n
     eight = np.zeros((len(context), width - 7), np.uint64)
     for k in range(8):
         eight |= context[:, k : width - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    pointer, n = _numbered(eight, np.ones(eight.shape, dtype=bool))
+    # Places that no start's string reaches stay out from the beginning.
+    column, far, near = np.arange(width - 7), (place & 255)[:, None], ((place >> 8) & 255)[:, None]
+    pointer, n = _numbered(eight, (column >= _REACH - far) & (column + 8 <= _REACH - near + WIDTH))
     have = 8
     while 2 * have <= WIDTH:
         own, later = pointer[:, :-have], pointer[:, have:]
