@@ -22,6 +22,8 @@ from .common import WORD_PATTERN, Workspace, arrow_batches, carried, restored, t
 
 #: Other documents of a host that make a line boilerplate when they hold it too.
 LINE_LIMIT = 20
+#: Tasks that the copies of one text are dealt to.
+SALTS = 32
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -127,7 +129,11 @@ def judge(docs: DataFrame, work: Workspace, limit: int = LINE_LIMIT) -> DataFram
     above = work.save(boilerplate(docs, limit), "boilerplate")
     # Both tables may be of any size: they are broadcast only where Spark knows them to be below its size limit.
     cut = document_lines(docs).join(above, ["_host", "_line"])
-    cut = cut.join(copies(docs), (F.col("_host") == F.col("_h")) & (F.col("_text") == F.col("_t")), "left").where(F.col("_held") - F.coalesce("_copies", F.lit(1)) >= limit)
+    # Copies of one text may be any share of the rows: salted by document, so that they meet in many tasks.
+    salted = copies(docs).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = cut.withColumn("_salt", F.pmod(F.xxhash64("_doc", "_at"), F.lit(SALTS)).cast("int"))
+    same = (F.col("_host") == F.col("_h")) & (F.col("_text") == F.col("_t")) & (F.col("_salt") == F.col("_s"))
+    cut = of.join(salted, same, "left").where(F.col("_held") - F.coalesce("_copies", F.lit(1)) >= limit)
     cut = cut.groupBy("_doc", "_host", "_text", "_at").agg(F.first("_n").alias("_n"))
     cut = cut.groupBy("_doc", "_host", "_text").agg(F.sum("_n").alias("n_line_words"), F.collect_list("_at").alias("_cut"))
     cut = cut.select(F.col("_doc").alias("_d"), F.col("_host").alias("_h"), F.col("_text").alias("_t"), "n_line_words", "_cut")
