@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.geo import in_range
 
 #: Seam verdict limits, days of the climatology's boxcar.
 CLEAN_MOST, ELEVATED_MOST, BOXCAR = 1.0, 2.5, 15
@@ -63,6 +65,43 @@ def applicable(evaluators: dict[str, set[str]], available: set[str]) -> list[str
     return [name for name, need in evaluators.items() if need <= available]
 
 
+@dataclass
+class Registry:
+    """Evaluators in order: a name, what they need, and named aggregates."""
+
+    evaluators: list[tuple[str, set[str], dict[str, Column]]] = field(default_factory=list)
+
+    def applicable(self, available: set[str]) -> list[str]:
+        return [name for name, need, _ in self.evaluators if need <= available]
+
+    def run(self, rows: DataFrame, available: set[str]) -> dict[str, float]:
+        """All metrics of the applicable evaluators in one aggregation; of two metrics of one name the later holds."""
+        merged: dict[str, Column] = {}
+        for _, need, metrics in self.evaluators:
+            if need <= available:
+                merged |= metrics
+        return rows.agg(*[m.alias(k) for k, m in merged.items()]).first().asDict() if merged else {}
+
+
+def default_registry() -> Registry:
+    """Every evaluator of rows (value, mean, var) that needs no spectrum."""
+    y, m, v = F.col("value"), F.col("mean"), F.col("var")
+    return Registry([
+        ("accuracy", {"withheld"}, {"rmse": stats.rmse(y, m)}),
+        ("calibration", {"withheld", "variance"}, {"reduced_chi2": stats.reduced_chi2(m, v, y), "coverage_1sigma": stats.coverage(m, v, y), "crps": F.avg(stats.crps_gaussian(m, v, y))}),
+        ("skill", {"withheld"}, {"mu_score": stats.skill(y, m)}),
+    ])
+
+
+def score_tile(track: DataFrame, west: float, east: float, south: float, north: float) -> dict[str, float]:
+    """Daily skill inside a tile's core; a core without a point is refused."""
+    inside = track.where(in_range("lon", west, east) & in_range("lat", south, north))
+    row = leaderboard(inside).first()
+    if not row["n_days"]:
+        raise ValueError("no point of the track lies in the tile's core")
+    return row.asDict()
+
+
 # Gauges.
 def climatology_null(series: DataFrame) -> DataFrame:
     """Day-of-year mean (day 366 as 365) smoothed by a circular 15-day boxcar, for each row of (gauge_id, day, value)."""

@@ -24,6 +24,7 @@ from ..kernels.noise import derive_seed, lattice_identity, normals
 from ..operators.blend import Tile, blend, in_tiles, partition_weights, tile_table
 from ..operators.grid import Grid, interpolate
 from ..operators.orbit import arc_coordinate, segment_passes
+from ..sources.observations import CHALLENGE_MISSIONS
 
 
 @dataclass(frozen=True)
@@ -147,6 +148,24 @@ def solve_unit(run: Run, t: float, obs: pd.DataFrame, nodes: pd.DataFrame) -> pd
 
 
 METHODS = ("oi", "gmrf", "fem", "miost", "trivial")
+#: What the product of a method stores beside mean and variance.
+REDUCTIONS = {"oi": "low_rank", "gmrf": "precision", "fem": "precision", "miost": "empirical", "trivial": "empirical"}
+#: Methods with a shipped product, and its settings.
+SHIPPED = {"miost": {"missions": CHALLENGE_MISSIONS, "members": 100, "wavelengths": (800.0, 400.0, 200.0)}}
+
+
+def select_reduction(method: str) -> str:
+    if method not in REDUCTIONS:
+        raise ValueError(f"no reduction for {method!r}")
+    return REDUCTIONS[method]
+
+
+def prepared(obs: DataFrame, run: Run) -> tuple[DataFrame, DataFrame]:
+    """What a run learns from, and where it is evaluated: the withheld mission's places, at the first output time."""
+    held = F.col("mission") == run.withheld
+    return obs.where(~held), obs.where(held).withColumn("t", F.lit(float(run.output_times[0])))
+
+
 _OUT = "tile int, time_days double, node_id long, lon double, lat double, mean double, var double, factor array<double>, resid double"
 
 

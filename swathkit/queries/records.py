@@ -161,12 +161,14 @@ def polar_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT * FROM (VALUES ('driver', 'low_rank', 'shared_basis_field'), ('driver', 'precision', 'tree_members'), ('driver', 'none', 'independent'), ('driver', 'other', 'independent'),
 ('route', 'linear EXACT', 'covariance'), ('route', 'linear LOW_RANK', 'covariance'), ('route', 'linear SAMPLES', 'sample'), ('route', 'other EXACT', 'sample'),
-('transform', 'BLENDED', 'perfect-correlation crossfade'), ('transform', 'DEGRADED_COHERENCE', 'independent draws per tile'), ('methods', 'oi,gmrf,fem,miost,trivial', '5')) v(kind, name, value)""")
+('transform', 'BLENDED', 'perfect-correlation crossfade'), ('transform', 'DEGRADED_COHERENCE', 'independent draws per tile'), ('methods', 'oi,gmrf,fem,miost,trivial', '5'), ('shipped', 'miost', 'alg,h2g,j2g,j2n,j3,s3a'),
+('reduction', 'oi', 'low_rank'), ('reduction', 'gmrf', 'precision'), ('reduction', 'fem', 'precision'), ('reduction', 'miost', 'empirical'), ('reduction', 'trivial', 'empirical')) v(kind, name, value)""")
 def plan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What plans choose and record: drivers of members, routes of derived fields, transforms, methods."""
     rows = [("driver", k, coherent.select_driver(k)) for k in ("low_rank", "precision", "none", "other")]
     rows += [("route", f"{'linear' if lin else 'other'} {f}", evaluate.route(lin, f)) for lin, f in ((True, "EXACT"), (True, "LOW_RANK"), (True, "SAMPLES"), (False, "EXACT"))]
     rows += [("transform", t["kind"], t["bias"]) for t in (blend.blend_transform(0.5, 0.01, True), blend.degradation_transform())]
+    rows += [("shipped", k, ",".join(v["missions"])) for k, v in plan.SHIPPED.items()] + [("reduction", m, plan.select_reduction(m)) for m in plan.METHODS]
     return spark.createDataFrame([*rows, ("methods", ",".join(plan.METHODS), str(len(plan.METHODS)))], "kind string, name string, value string")
 
 
@@ -413,3 +415,40 @@ def osse_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source with a known truth: observations of a box, and the truth at them."""
     source = src.OsseSource(observations(spark, sf_dir), F.sin(F.radians(F.floor("lon"))))
     return rounded(source.truth(source.window((297, 303), (35, 41), (4, 9))).select("seq", "sla", "truth"), "sla", "truth")
+
+
+@query(f"WITH {OBS_SQL} SELECT seq, {r6('lon')} AS lon, {r6('lat')} AS lat, 5.0::DOUBLE AS t FROM obs WHERE mission = 'purchase'")
+def prepared_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a run is evaluated: the withheld mission's places, at the first output time."""
+    _, points = plan.prepared(observations(spark, sf_dir), plan.Run("oi", GRID, (5.0, 15.0), withheld="purchase"))
+    return rounded(points.select("seq", "lon", "lat", "t"), "lon", "lat")
+
+
+@query(f"""WITH {OBS_SQL}, e AS (SELECT mission, sla AS y, 0.5 * sla AS m, 0.04::DOUBLE AS v FROM obs)
+SELECT mission, {r6('sqrt(avg(pow(y - m, 2)))')} AS rmse, {r6('avg(pow(y - m, 2) / v)')} AS reduced_chi2, {r6('avg(CASE WHEN abs(y - m) <= 0.2 THEN 1.0::DOUBLE ELSE 0 END)')} AS coverage_1sigma, {r6('avg(y)')} AS mu_score, 'accuracy,calibration,skill,last' AS applicable FROM e GROUP BY mission""")
+def evaluator_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluators that apply, and their merged metrics: a later one with the same name takes the earlier one's place."""
+    registry = evaluate.default_registry()
+    registry.evaluators += [("last", {"withheld"}, {"mu_score": F.avg("value")}), ("spectrum", {"track"}, {"rmse": F.lit(0.0)})]
+    obs, rows = observations(spark, sf_dir).select("mission", F.col("sla").alias("value"), (0.5 * F.col("sla")).alias("mean"), F.lit(0.04).alias("var")), []
+    for (m,) in sorted(obs.select("mission").distinct().collect()):
+        found = registry.run(obs.where(F.col("mission") == m), {"withheld", "variance"})
+        rows.append((m, found["rmse"], found["reduced_chi2"], found["coverage_1sigma"], found["mu_score"], ",".join(registry.applicable({"withheld", "variance"}))))
+    return rounded(spark.createDataFrame(rows, "mission string, rmse double, reduced_chi2 double, coverage_1sigma double, mu_score double, applicable string"), "rmse", "reduced_chi2", "coverage_1sigma", "mu_score")
+
+
+@query(f"""WITH {OBS_SQL}, k AS (SELECT unnest(range(0, 4))::INT AS tile), p AS (SELECT tile, t, sla, 0.5 * sla AS m FROM obs JOIN k ON lon BETWEEN 295 + 5 * (tile % 2) AND 300 + 5 * (tile % 2) AND lat BETWEEN 33 + 5 * (tile // 2) AND 38 + 5 * (tile // 2)),
+d AS (SELECT tile, floor(t) AS day, 1 - sqrt(avg(pow(sla - m, 2))) / sqrt(avg(sla * sla)) AS s FROM p GROUP BY 1, 2)
+SELECT tile, {r6('avg(s)')} AS mu, {r6('stddev_pop(s)')} AS sigma, count(*) AS n_days FROM d GROUP BY tile UNION ALL SELECT -1, NULL, NULL, 0""")
+def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily skill inside the cores of four tiles; a core without points is refused."""
+    track = observations(spark, sf_dir).select("t", "lon", "lat", F.col("sla").alias("value"), (0.5 * F.col("sla")).alias("mean"))
+    rows = []
+    for t in blend.lonlat_tiles((295.0, 305.0), (33.0, 43.0), 2, 2, 0.0):
+        s = evaluate.score_tile(track, t.west, t.east, t.south, t.north)
+        rows.append((t.tile, s["mu"], s["sigma"], s["n_days"]))
+    try:
+        evaluate.score_tile(track, 0.0, 1.0, 0.0, 1.0)
+    except ValueError:
+        rows.append((-1, None, None, 0))
+    return rounded(spark.createDataFrame(rows, "tile int, mu double, sigma double, n_days long"), "mu", "sigma")
