@@ -13,8 +13,8 @@ precision and without the clipping of components beyond 1e30.
 The search keeps a beam per query and expands its nearest nodes that weren't expanded yet, for all
 queries at once, until every beam is done. A query that is in the index begins at its own node, so
 that it doesn't depend on paths into its part of the graph, and every query at the nearest of a
-sample of entries that grows with the square root of the index. Adjacency rows hold the neighbours'
-vectors, and are bucketed by node, so that a round shuffles the queries' frontier only.
+sample of entries that grows with the square root of the index. Adjacency rows hold ids and are
+bucketed by node; a round joins the vectors of those neighbours that a beam doesn't hold yet.
 """
 
 from __future__ import annotations
@@ -200,13 +200,13 @@ class Graph:
         return now
 
     def adjacency(self) -> str:
-        """Name of a bucketed table (node, ids, packed): neighbours of both directions, reverse ones limited."""
-        both = self.edges.select("v", "u", "d").unionByName(self.edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "d").withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("_r") <= self.degree).drop("_r"))
-        lists = both.select("v", "u").distinct().join(self.nodes.select(F.col("id").alias("u"), "packed"), "u")
-        grouped = lists.groupBy(F.col("v").alias("node")).agg(F.collect_list(F.struct("u", "packed")).alias("near"))
+        """Name of a bucketed table (node, near): neighbours of both directions, reverse ones limited. Ids alone:
+        vectors are stored once, with the nodes."""
+        back = self.edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "d").withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("_r") <= self.degree)
+        both = self.edges.select("v", "u").unionByName(back.select("v", "u"))
+        grouped = both.groupBy(F.col("v").alias("node")).agg(F.collect_set("u").alias("near"))
         name = f"sk_adjacency_{uuid.uuid4().hex}"
-        row = self.degree * (self.dimension * np.dtype(self.kind).itemsize + 12) * 2
-        files = int(min(max(2 * self.spark.sparkContext.defaultParallelism, -(-self.n * row // FILE_BYTES)), MOST_FILES))
+        files = int(min(max(2 * self.spark.sparkContext.defaultParallelism, -(-self.n * self.degree * 16 // FILE_BYTES)), MOST_FILES))
         grouped.repartition(files, "node").write.bucketBy(files, "node").format("parquet").saveAsTable(name)
         return name
 
@@ -233,7 +233,8 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
     A row of the index with the id of the query is not a candidate of it.
     """
     spark, work, kind = graph.spark, graph.work, graph.kind
-    asked = work.save(queries.where(F.size("vector") == graph.dimension).select("query", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["query"]), "queries", graph.n * graph.dimension)
+    rows = queries.where(F.size("vector") == graph.dimension).select(F.col("query"), F.col("vector").cast("array<double>").alias("vector"), F.array().cast("array<long>")).dropDuplicates(["query"])
+    asked = work.save(rows.mapInArrow(_pack_rows(kind), "query long, vector array<double>, members array<long>, packed binary").drop("members"), "queries", graph.n * graph.dimension)
     sample = graph.nodes.orderBy(F.xxhash64("id", F.lit(_SEED)), "id").limit(entry_count(graph.n)).select("id", "packed").collect()  # bounded by MOST_ENTRIES
     entries = spark.sparkContext.broadcast(([r["id"] for r in sample], b"".join(bytes(r["packed"]) for r in sample)))
 
@@ -249,23 +250,13 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
             query = np.repeat(batch.column(0).to_numpy(), best.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.array(ids, np.int64)[best.ravel()]), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float32)), pa.array(np.zeros(len(query), np.int32))], names=["query", "node", "d", "done"])
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distances of (query, node, packed query, packed node, bar), those up to the bar."""
         for batch in batches:
-            near, bar = batch.column(2), batch.column(3).to_numpy()
-            count = near.value_lengths().to_numpy()
-            flat = near.flatten()
-            y = unpack(_packed(flat.field(1)), kind)
-            x = np.clip(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), -1e30, 1e30)
-            x = np.repeat(x, count, axis=0)
-            d = ((x - y) ** 2).sum(1)
-            query, node = np.repeat(batch.column(0).to_numpy(), count), flat.field(0).to_numpy()
-            near_enough = d.astype(np.float32) <= np.repeat(bar, count)
-            query, node, d = query[near_enough], node[near_enough], d[near_enough]
-            order = np.lexsort((d, node, query))
-            query, node, d = query[order], node[order], d[order]
-            new = np.ones(len(d), dtype=bool)
-            new[1:] = (query[1:] != query[:-1]) | (node[1:] != node[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(query[new]), pa.array(node[new]), pa.array(d[new].astype(np.float32)), pa.array(np.zeros(int(new.sum()), np.int32))], names=["query", "node", "d", "done"])
+            d = ((unpack(_packed(batch.column(2)), kind) - unpack(_packed(batch.column(3)), kind)) ** 2).sum(1).astype(np.float32)
+            near = pa.array(d <= batch.column(4).to_numpy())
+            own = [batch.column(k).filter(near) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(d).filter(near), pa.array(np.zeros(len(own[0]), np.int32))], names=["query", "node", "d", "done"])
 
     nbytes = 24 * beam * asked.count()
     own = asked.join(graph.nodes.select(F.col("id").alias("node"), "vector"), "vector").select("query", "node", F.lit(0.0).cast("float").alias("d"), F.lit(0).alias("done"))
@@ -273,7 +264,7 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
     now = work.save(first, "beam-0", nbytes)
     name = graph.adjacency()
     try:
-        now = _walked(now, asked, name, work, beam, expand, nbytes)
+        now = _walked(now, asked, graph, name, work, beam, measure, nbytes)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     best = now.select("query", "node")
@@ -284,27 +275,27 @@ def search(graph: Graph, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
     return work.save(rows.select("query", "id", "score", F.col("rank").cast("int").alias("rank")), "results", nbytes)
 
 
-def _walked(now: DataFrame, asked: DataFrame, name: str, work: Workspace, beam: int, expand: Callable, nbytes: float) -> DataFrame:
+def _walked(now: DataFrame, asked: DataFrame, graph: Graph, name: str, work: Workspace, beam: int, measure: Callable, nbytes: float) -> DataFrame:
     """The beams once nothing in them is left to expand; a round expands something in every open one."""
-    spark = asked.sparkSession
+    spark, k_round = asked.sparkSession, 0
     ordered = W.partitionBy("query").orderBy("d", "node")
-    k_round = 0
+    vectors = graph.nodes.select(F.col("id").alias("node"), "packed")
     while True:
         k_round += 1
         frontier = now.where("done = 0").withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= EXPAND).select("query", "node")
         frontier = work.save(frontier, f"frontier-{k_round}", nbytes)
         if not frontier.limit(1).count():
-            break
-        # What is beyond the last of a full beam would only be dropped again.
+            return now
+        # Neighbours that the beam doesn't hold, each once; what is beyond the last of a full beam would only be dropped again.
+        seen = frontier.join(spark.table(name), "node").select("query", F.explode("near").alias("node")).distinct().join(now.select("query", "node"), ["query", "node"], "left_anti")
         bars = now.groupBy("query").agg(F.when(F.count(F.lit(1)) >= beam, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("bar"))
-        given = frontier.join(asked.join(bars, "query"), "query").join(spark.table(name), "node").select("query", "vector", "near", "bar")
-        found = given.mapInArrow(expand, "query long, node long, d float, done int")
+        given = seen.join(vectors, "node").join(asked.select("query", F.col("packed").alias("_own")).join(bars, "query"), "query").select("query", "node", "_own", "packed", "bar")
+        found = given.mapInArrow(measure, "query long, node long, d float, done int")
         expanded = frontier.withColumn("d", F.lit(float("inf")).cast("float")).withColumn("done", F.lit(1)).select("query", "node", "d", "done")
         union = now.unionByName(found).unionByName(expanded).groupBy("query", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
         after = work.save(union.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") <= beam).drop("_r"), f"beam-{k_round}", nbytes)
         work.drop(f"beam-{k_round - 1}", f"frontier-{k_round}")
         now = after
-    return now
 
 
 def neighbours(vectors: DataFrame, work: Workspace, every: int, k: int = 10, beam: int = BEAM) -> DataFrame:
