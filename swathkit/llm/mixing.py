@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, Workspace, named
 
 #: Rows that a bucket of keys holds on average, and buckets of a source at most: beyond 4 million
-#: rows buckets grow, which a sorting task takes. Quantiles are off by a sixteenth of such a bucket.
-BUCKET_ROWS, MOST_BUCKETS = 4096, 1024
-_ACCURACY = 16 * MOST_BUCKETS
+#: rows buckets grow, which a sorting task takes. Rows of a source that its bounds are read off.
+BUCKET_ROWS, MOST_BUCKETS, SAMPLED = 4096, 1024, 1 << 16
 #: A source is taken at most this many times.
 MOST_EPOCHS = 3
 
@@ -92,8 +91,8 @@ def mix(docs: DataFrame, work: Workspace, carry: list[str], quality: Callable[[C
     # Texts are counted and digested once; those that are carried themselves, once more at the end.
     narrow = work.save(keyed.drop("_row") if "text" in carry else keyed, "sized")
     keyed = keyed if "text" in carry else narrow
-    quantiles = F.approx_percentile("_key", [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)], _ACCURACY)
-    totals = work.save(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), quantiles.alias("_bounds")), "sources", 0)
+    totals = work.save(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), "totals", 0)
+    totals = work.save(totals.join(quantiles(narrow, totals), F.col("source").eqNullSafe(F.col("_q")), "left").drop("_q"), "sources", 0)
     aimed = targets(cyclic_weights(totals))
     plan = aimed.select(F.col("source").alias("_source"), "source_size", "target", bounds().alias("_bounds"), epochs().alias("_epochs")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     plan = work.save(plan, "plan", 0)
@@ -110,6 +109,14 @@ def mix(docs: DataFrame, work: Workspace, carry: list[str], quality: Callable[[C
     return rows.select("_row", "size", "source_size", "target", times.cast("int").alias("times")).withColumn("taken", F.col("times") * F.col("size"))
 
 
+def quantiles(narrow: DataFrame, totals: DataFrame) -> DataFrame:
+    """(_q, _bounds): MOST_BUCKETS - 1 quantiles of the keys of each source ``_q``, from about SAMPLED of its
+    rows, drawn by a digest. They decide which task sorts a row, and nothing else."""
+    known = totals.select(F.col("source").alias("_q"), "_n")
+    drawn = narrow.join(known, F.col("source").eqNullSafe(F.col("_q"))).where(uniform(F.col("doc_id"), F.col("_text"), salt="bounds") * F.col("_n") < SAMPLED)
+    return drawn.groupBy("_q").agg(F.approx_percentile("_key", [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)], SAMPLED // 4).alias("_bounds"))
+
+
 def bounds() -> Column:
     """Of the quantiles ``_bounds`` of a source those that leave ``_n`` rows about BUCKET_ROWS a bucket."""
     buckets = F.least(F.ceil(F.col("_n") / BUCKET_ROWS), F.lit(MOST_BUCKETS)).cast("int")
