@@ -164,10 +164,11 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 def test_buckets_of_a_source_are_even(spark, weight):
     """Bounds between quantiles of the keys: no bucket above four times the mean, whatever the weights are."""
     n = 300_000
-    keyed = spark.range(n).select((-F.log(mixing.uniform(F.col("id"))) / F.when(F.col("id") % 2 == 0, weight).otherwise(1.0)).alias("_key"), F.lit("s").alias("source"))
-    quantiles = F.approx_percentile("_key", [i / mixing.MOST_BUCKETS for i in range(1, mixing.MOST_BUCKETS)], mixing._ACCURACY)
-    plan = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("_n"), quantiles.alias("_bounds")).select("source", mixing.bounds().alias("_bounds"))
-    sizes = [r["count"] for r in keyed.join(plan, "source").withColumn("b", mixing.bucket()).groupBy("b").count().collect()]
+    key = -F.log(mixing.uniform(F.col("id"))) / F.when(F.col("id") % 2 == 0, weight).otherwise(1.0)
+    keyed = spark.range(n).select(key.alias("_key"), F.lit("s").alias("source"), F.col("id").alias("doc_id"), F.lit("t").alias("_text"))
+    totals = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    plan = totals.join(mixing.quantiles(keyed, totals), F.col("source") == F.col("_q")).select(F.col("source").alias("_s"), mixing.bounds().alias("_bounds"))
+    sizes = [r["count"] for r in keyed.join(plan, F.col("source") == F.col("_s")).withColumn("b", mixing.bucket()).groupBy("b").count().collect()]
     assert sum(sizes) == n and len(sizes) >= n // mixing.BUCKET_ROWS and max(sizes) <= 4 * n / len(sizes)
 
 
