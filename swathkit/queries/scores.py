@@ -193,7 +193,14 @@ def likelihood_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*[F.round(c, 3).alias(c) for c in ("nll", "g0", "g1")])
 
 
-@query()
+_STEPS = " ".join(
+    f""", n{k} AS (SELECT label, any_value(s) - greatest(least(sum(0.5 * exp(s) * v / (exp(s) * v + 0.0009) * (1 - resid * resid / (exp(s) * v + 0.0009))) / greatest(sum(0.5 * pow(exp(s) * v / (exp(s) * v + 0.0009), 2)), 1e-12), 1), -1) AS s FROM l JOIN n{k - 1} USING (label) GROUP BY label)"""
+    for k in range(1, 16)
+)
+
+
+@query(f"""WITH {OBS_SQL}, {_POINTS}, l AS (SELECT resid, v, CASE WHEN lat < 38 THEN CASE WHEN lon < 300 THEN 'SW' ELSE 'SE' END ELSE CASE WHEN lon < 300 THEN 'NW' ELSE 'NE' END END AS label FROM x),
+n0 AS (SELECT DISTINCT label, 0.0::DOUBLE AS s FROM l) {_STEPS} SELECT label, {r6('s')} AS log_s FROM n15""")
 def region_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newton fit of log s in five regions."""
     points = _points(spark, sf_dir).withColumn("label", F.when(F.col("lat") < 38, F.when(F.col("lon") < 300, "SW").otherwise("SE")).otherwise(F.when(F.col("lon") < 300, "NW").otherwise("NE")))
