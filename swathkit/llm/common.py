@@ -91,7 +91,7 @@ def restored(rows: DataFrame, columns: list[str], **new: Column | None) -> DataF
 
 #: What one Arrow batch to a Python worker holds, the same for all operators: whichever query was built
 #: last sets nothing else. A longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
