@@ -250,9 +250,8 @@ def near_classes(docs: DataFrame, work: Workspace, words: int = _jaccard.WORDS,
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = work.save(rows.select(F.col("_text").alias("t"), "text").dropDuplicates(["t"]), "texts")
-    sets = work.save(_jaccard.open_texts(texts, words, similarity, lambda body, offsets: fingerprints(body, offsets, words)), "sets")
-    work.drop("texts")
+    texts = rows.select(F.col("_text").alias("t"), "text").dropDuplicates(["t"])
+    sets = _jaccard.open_texts(texts, words, similarity, lambda body, offsets: fingerprints(body, offsets, words), work)
     roots = _jaccard.classes(sets, _simhash_pairs(sets.select("t", "fp"), work), work, similarity)
     work.drop("sets")
     return rows.select("doc_id", "_text").join(roots, F.col("_text") == F.col("node"), "left").select("doc_id", "_text", F.coalesce("root", "_text").alias("component_id"))

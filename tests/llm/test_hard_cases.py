@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from swathkit.llm import _kernels, _sketch, ann, bpe, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from swathkit.llm import _jaccard, _kernels, _sketch, ann, bpe, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from swathkit.llm.common import Workspace, arrow_batches
 
 from .helpers import frame, prose, words
@@ -189,6 +189,35 @@ def test_parts_of_a_sketch_have_few_rows():
         assert set(_sketch.counters(hashes[:1000], 0, bits).tolist()) <= set(at.tolist())
 
 
+def test_texts_without_a_near_copy_have_no_keys_whatever_the_size(spark, monkeypatch):
+    """Ranges of the hash space bound what a task holds; no table of a fixed width fills up."""
+    for name in ("LEAST_BITS", "MOST_BITS"):
+        monkeypatch.setattr(_sketch, name, 16)
+    monkeypatch.setattr(_jaccard, "RANGE_HASHES", 1 << 15, raising=False)
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.getrandbits(40)) for _ in range(1000)) for _ in range(400)]
+    texts += ["edited " + texts[k] for k in range(5)] + ["few words", "Few\nwords", " ", "  "]
+    seen, classes = [], _jaccard.classes
+    monkeypatch.setattr(_jaccard, "classes", lambda sets, *rest: (seen.append(sets.count()), classes(sets, *rest))[1])
+    got = simhash.near_classes(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)]), Workspace(spark, "t")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["component_id"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, (g for g in groups.values() if len(g) > 1))) == [*([k, 400 + k] for k in range(5)), [405, 406], [407, 408]]
+    assert seen == [14]
+
+
+def test_marks_of_ranges_equal_counts():
+    rng = np.random.default_rng(6)
+    blocks = [np.unique(rng.integers(0, 5000, 700, dtype=np.uint32)) for _ in range(6)]
+    count = Counter(np.concatenate(blocks).tolist())
+    assert [m.tolist() for m in _jaccard.shared_marks(blocks)] == [[count[x] > 1 for x in b.tolist()] for b in blocks]
+    places = np.sort(rng.integers(0, 1 << 64, 9000, dtype=np.uint64))
+    for n in (1, 3, 7, 100):
+        at = _jaccard._ranges(places, n)
+        assert np.repeat(np.arange(n), np.diff(at)).tolist() == [(int(x) >> 32) * n >> 32 for x in places]
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_gray_forest_equals_all_pairs(radius):
     rng = np.random.default_rng(radius)
